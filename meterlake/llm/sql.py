@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from . import quality_rules as rules
 from . import sharding
 
 
@@ -16,4 +19,34 @@ SELECT doc_id, slot, CAST(shards[slot + 1] AS INTEGER) AS shard FROM placed, own
 """
 
 
-ORACLES = {"op6_sharding": _sharding()}
+def _quality_rules() -> str:
+    count = lambda x, pattern: f"len(regexp_extract_all({x}, '{pattern}'))"
+    closing, menu, phrases = (re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", p).replace("'", "''") for p in (rules.CLOSING, rules.MENU, rules.BOILERPLATE))
+    words = f"{rules.NON_SPACE}+"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+word AS (SELECT r, unnest(regexp_extract_all(text, '{words}')) AS w, generate_subscripts(regexp_extract_all(text, '{words}'), 1) AS i FROM docs),
+gram AS (SELECT r, i, concat_ws(' ', w, lead(w, 1) OVER a, lead(w, 2) OVER a, lead(w, 3) OVER a, lead(w, 4) OVER a) AS g, lead(w, 4) OVER a AS last
+  FROM word WINDOW a AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM gram WHERE last IS NOT NULL) WHERE n > 1),
+again AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(5) AS t(j) GROUP BY r),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs),
+full_line AS (SELECT r, l, row_number() OVER (PARTITION BY r, l ORDER BY k) AS nth,
+    {count('l', '[A-Z]')} AS upper_n, {count('l', '[a-z]')} AS lower_n, {count('l', rules.NON_SPACE)} AS chars, {count('l', words)} AS words,
+    {count('l', f'[!?]{{2,}}({rules.SPACE}|$)')} AS marks, {count('l', rules.SYMBOLS)} AS symbols
+  FROM line WHERE regexp_matches(l, '{rules.NON_SPACE}')),
+judged AS (SELECT *, nth > 1 OR (upper_n >= 8 AND upper_n > lower_n) OR 5 * marks > words OR 10 * symbols > chars
+    OR (words <= 12 AND NOT regexp_matches(rtrim(l, ' '), '{closing}') AND regexp_matches(l, '{menu}')) OR regexp_matches(l, '{phrases}') AS bad
+  FROM full_line),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE bad), 0) AS lost FROM judged GROUP BY r),
+base AS (SELECT doc_id, {count('text', words)} AS n_words, {count('text', rules.NON_SPACE)} AS word_chars, {count('text', rules.SYMBOLS)} AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM docs LEFT JOIN lines USING (r) LEFT JOIN again USING (r)),
+failed AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= {rules.MAX_LOST_PERCENT} * word_chars AS kept, CAST(lost AS BIGINT) AS lost_chars
+FROM failed
+"""
+
+
+ORACLES = {"op5_quality_rules": _quality_rules(), "op6_sharding": _sharding()}
