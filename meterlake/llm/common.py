@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,9 +31,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files that nothing refers to any more; it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by written()."""
     spark = df.sparkSession
