@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that nothing refers to any more; it acts when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner delete shuffle files that nothing refers to any more; it acts when the driver collects garbage.
+
+    Twice: the first collection lets go of the query that has ended, the second of what it held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def dropped(df: DataFrame) -> None:
