@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, sql, suffix_dedup
+from . import imatch, quality_rules, sharding, sql, suffix_dedup
 from .common import table
 
 
@@ -20,6 +20,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, sharding.shard_names()).select("doc_id", "slot", "shard")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", imatch.as_text(F.col("print")).alias("fingerprint"), imatch.as_text(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove_repeats(docs, texts=False)
