@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, quality_rules, sharding, sql, suffix_dedup
+from . import dartminhash, imatch, quality_rules, sharding, sql, suffix_dedup
 from .common import table
 
 
+def op1_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dartminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("key").alias("doc_id"), "class_id", F.col("keep").alias("kept"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.judge(docs)
