@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, imatch, quality_rules, sharding, sql, suffix_dedup
+from . import dartminhash, html_text, imatch, quality_rules, sharding, sql, suffix_dedup
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, sharding.shard_names()).select("doc_id", "slot", "shard")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
