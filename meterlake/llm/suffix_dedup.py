@@ -38,7 +38,7 @@ from .fingerprints64 import Rolling, packed, received, sent, slices, text_parts
 WIDTH = 200
 GAP = 96
 #: Bytes of input for one part of the dictionary, and phrases that a task gathers before it sends them.
-PART_BYTES = 16 << 20
+PART_BYTES = 64 << 20
 FLUSH = 1 << 21
 #: A core with more contexts than this within a task is dealt by context instead.
 HOT_CORE = 4
@@ -48,7 +48,8 @@ REP, BY_CONTEXT, CORE_REP, ANSWER = 1, 2, 4, 8
 PHRASE = np.dtype([("core", "<u4"), ("full", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("span", "u1"), ("flag", "u1")])
 REPLY = np.dtype([("lo", "<u4"), ("span", "u1"), ("state", "u1")])
 SUFFIX = np.dtype([("hash", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("flag", "u1")])
-PLACE = np.dtype("<u4")
+PLACE = np.dtype([("lo", "<u4")])
+TO_KEY = [("key", "<i8")]
 
 
 def triggers(roll: Rolling, windows: int, gap: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def _parse(width: int, gap: int, parts: int):
     return run
 
 
-def _dictionary(table: pa.Table) -> pa.Table:
+def _dictionary(table: pa.Table) -> np.ndarray:
     """Answers of one part: which phrases are repeats, which are edges of one, and which stand for a context that edges are held against."""
     rec = received(table.column("blob"), PHRASE)
     answer = (rec["flag"] & ANSWER) > 0
@@ -178,12 +179,37 @@ def _dictionary(table: pa.Table) -> pa.Table:
     witness = repeated & leads & asked[group]
     state = np.r_[np.full(len(known), IN), np.where(repeated, IN, EDGE)[told], np.full(int(witness.sum()), WITNESS)]
     rec = np.concatenate([known, rec[told], rec[witness]])
-    out = np.zeros(len(rec), REPLY)
-    out["lo"], out["span"], out["state"] = rec["lo"], rec["span"], state
-    keys, blobs = packed(rec["key"], out)
-    looks = np.zeros(len(keys), bool)
-    looks[np.searchsorted(keys, rec["key"][state != IN])] = True
-    return pa.table({"key": pa.array(keys), "blob": blobs, "looks": pa.array(looks)})
+    out = np.zeros(len(rec), TO_KEY + REPLY.descr)
+    out["key"], out["lo"], out["span"], out["state"] = rec["key"], rec["lo"], rec["span"], state
+    return out
+
+
+def _answering(order_part, parts: int):
+    """A part's answers, dealt by the key of their text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = order_part(table)
+        return pa.Table.from_batches([sent((out["key"].view(np.uint64) % np.uint64(parts)).astype(np.int64), out)])
+
+    return run
+
+
+def _by_key(reply: np.dtype):
+    """The answers of each text: (key, blob, looks); looks: not all of them are repeats."""
+    dtype = np.dtype(TO_KEY + reply.descr)
+
+    def run(table: pa.Table) -> pa.Table:
+        rec = received(table.column("blob"), dtype)
+        out = np.zeros(len(rec), reply)
+        for f in reply.names:
+            out[f] = rec[f]
+        keys, blobs = packed(rec["key"], out)
+        looks = np.zeros(len(keys), bool)
+        if "state" in reply.names:
+            looks[np.searchsorted(keys, rec["key"][rec["state"] != IN])] = True
+        return pa.table({"key": pa.array(keys), "blob": blobs, "looks": pa.array(looks)})
+
+    return run
 
 
 def _suffixes(width: int, parts: int):
@@ -233,7 +259,7 @@ def _suffixes(width: int, parts: int):
 
 
 def _records(blobs, dtype=REPLY) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs.as_py() or []), dtype)
+    return np.frombuffer(blobs.as_py() or b"", dtype)
 
 
 def _positions(rec: np.ndarray) -> np.ndarray:
@@ -243,15 +269,16 @@ def _positions(rec: np.ndarray) -> np.ndarray:
     return np.unique(np.repeat(rec["lo"].astype(np.int64) - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0))
 
 
-def _boundary(table: pa.Table) -> pa.Table:
+def _boundary(table: pa.Table) -> np.ndarray:
     rec = received(table.column("blob"), SUFFIX)
     answer = (rec["flag"] & ANSWER) > 0
     known, rec = rec[answer], rec[~answer]
     order, first = _runs(rec["hash"])
     told = (_counts(order, first) > 1) & (rec["flag"] == 0)
     rec = np.concatenate([known, rec[told]])
-    keys, blobs = packed(rec["key"], rec["lo"].astype(PLACE))
-    return pa.table({"key": pa.array(keys), "blob": blobs})
+    out = np.zeros(len(rec), TO_KEY + PLACE.descr)
+    out["key"], out["lo"] = rec["key"], rec["lo"]
+    return out
 
 
 def spans(n: int, phrase_replies: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
@@ -277,7 +304,7 @@ def _cut(width: int):
             rows = []
             for b, phrase, place in zip(raw, batch.column("phrases"), batch.column("places"), strict=True):
                 text = b.as_py()
-                cut = spans(len(text), _records(phrase), _records(place, PLACE), width)
+                cut = spans(len(text), _records(phrase), _records(place, PLACE)["lo"], width)
                 at, keep = 0, []
                 for lo, hi in cut.tolist():
                     keep.append(text[at:lo])
@@ -293,11 +320,11 @@ def _cut(width: int):
 
 
 def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
-    """Parts of the dictionary: by the optimiser's estimate of the input's size, and a few for each shuffle partition."""
+    """Parts of the dictionary: by the optimiser's estimate of the input's size, at least one for each shuffle partition."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = 1 << 20
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, size // part_bytes))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, size // part_bytes))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gap: int = GAP, key: str = "doc_id", texts: bool = True) -> DataFrame:
@@ -311,8 +338,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gap: int = GAP, key: str
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in made and (texts or c != "text")]).alias("row"), text, F.xxhash64(F.col(key), text).alias("id"))
     parts = parts_for(docs.select("text"))
     parsed = rows.where(F.octet_length("text") >= width).select("id", "text").mapInArrow(_parse(width, gap, parts), "part int, blob binary")
-    replies = parsed.groupBy("part").applyInArrow(_dictionary, "key bigint, blob binary, looks boolean")
-    replies = replies.groupBy("key").agg(F.collect_list("blob").alias("phrases"), F.max("looks").alias("looks"))
+    packs, answers = "part int, blob binary", "key bigint, blob binary, looks boolean"
+    replies = parsed.groupBy("part").applyInArrow(_answering(_dictionary, parts), packs).groupBy("part").applyInArrow(_by_key(REPLY), answers)
+    replies = replies.withColumnRenamed("blob", "phrases")
     joined = rows.join(replies, F.col("id") == F.col("key"), "left").drop("key").withColumn("found", F.col("phrases").isNotNull())
     if not texts:  # what is untouched needs no text from here on
         joined = joined.select("row", "id", F.when(F.col("found"), F.col("text")).alias("text"), "phrases", "looks", "found", F.octet_length("text").alias("size"), F.when(~F.col("found"), F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
@@ -321,9 +349,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gap: int = GAP, key: str
     joined = written(joined, "repeats")
     at_edge = joined.where("looks")
     suffixes = at_edge.select("id", "text", "phrases").mapInArrow(_suffixes(width, parts), "part int, blob binary")
-    places = suffixes.groupBy("part").applyInArrow(_boundary, "key bigint, blob binary").groupBy("key").agg(F.collect_list("blob").alias("places"))
+    places = suffixes.groupBy("part").applyInArrow(_answering(_boundary, parts), packs).groupBy("part").applyInArrow(_by_key(PLACE), answers)
+    places = places.select("key", F.col("blob").alias("places"))
     with_edge = at_edge.join(places, F.col("id") == F.col("key"), "left").drop("key")
-    inside = joined.where("found and not looks").withColumn("places", F.lit(None).cast("array<binary>"))
+    inside = joined.where("found and not looks").withColumn("places", F.lit(None).cast("binary"))
     cut_in = with_edge.unionByName(inside).select("row", F.col("text").cast("binary").alias("raw"), "phrases", "places")
     row = rows.schema["row"].dataType.simpleString()
     cut = cut_in.mapInArrow(_cut(width), f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
