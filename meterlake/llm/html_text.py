@@ -56,7 +56,7 @@ LABELLED = [
     (0, 1, 120, 0.05, 100, 0.0, 90, 0.1, 1), (0, 1, 300, 0.0, 2, 1.0, 3, 1.0, 1), (0, 1, 15, 0.4, 60, 0.0, 70, 0.0, 1), (0, 1, 2, 0.0, 1, 1.0, 2, 0.0, 1), (0, 1, 1, 0.0, 0, 0.0, 0, 0.0, 1),
     # text on pages without an article element
     (0, 0, 60, 0.0, 50, 0.0, 70, 0.0, 1), (0, 0, 35, 0.1, 5, 0.0, 45, 0.0, 1), (0, 0, 25, 0.0, 80, 0.0, 6, 0.0, 1), (0, 0, 18, 0.0, 60, 0.0, 55, 0.0, 1), (0, 0, 7, 0.0, 40, 0.0, 65, 0.0, 1),
-    (0, 0, 30, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 45, 0.0, 3, 1.0, 2, 1.0, 1), (0, 0, 20, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 16, 0.0, 50, 0.0, 3, 0.0, 1),
+    (0, 0, 4, 0.0, 3, 0.2, 60, 0.0, 1), (0, 0, 7, 0.0, 5, 1.0, 45, 0.0, 1), (0, 0, 30, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 45, 0.0, 3, 1.0, 2, 1.0, 1), (0, 0, 20, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 16, 0.0, 50, 0.0, 3, 0.0, 1),
     (0, 0, 200, 0.1, 3, 1.0, 4, 1.0, 1), (0, 0, 90, 0.3, 70, 0.1, 80, 0.2, 1), (0, 0, 22, 0.0, 2, 1.0, 30, 0.0, 1),
 ]
 
