@@ -28,25 +28,32 @@ class Vocabulary:
         self.pieces, self.scores, self.byte_of, self.usable = pieces, np.asarray(scores, float), np.asarray(byte_of), np.asarray(usable)
         self.longest = max((len(p) for p, u in zip(pieces, usable, strict=True) if u), default=1)
         self.key, self.id = _sorted_keys(pieces, usable)
-        # a bit for each value of the keys' first bits, so that most substrings are told from pieces by one look
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.key >> np.uint64(42)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 where there is none."""
-        out = np.full(hashes.shape, -1, np.int32)
-        maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(42)).astype(np.int64)])
-        if len(maybe) and len(self.key):
-            h = hashes[maybe]
-            at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-            hit = self.key[at] == h
-            out[maybe[hit]] = self.id[at[hit]]
-        return out
+        # the first key of each value of the keys' first bits, -1 where there is none: most substrings are told from pieces by one look
+        top = (self.key >> np.uint64(42)).astype(np.int64)
+        self.slot = np.full(1 << 22, -1, np.int32)
+        self.slot[top[::-1]] = np.arange(len(top))[::-1]
+        self.chain = int(np.bincount(top).max()) if len(top) else 0
+        self._bytes = None
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces', and the pieces' ids."""
+        at = self.slot[(hashes >> np.uint64(42)).astype(np.int64)]
+        rows = np.flatnonzero(at >= 0)
+        at, h = at[rows], hashes[rows]
+        id_ = np.where(self.key[at] == h, self.id[at], -1) if len(rows) else np.zeros(0, np.int32)
+        for step in range(1, self.chain):
+            near = np.minimum(at + step, len(self.key) - 1)
+            id_ = np.where(self.key[near] == h, self.id[near], id_)
+        hit = id_ >= 0
+        return (rows, id_) if hit.all() else (rows[hit], id_[hit])
 
     def bytes_of(self) -> tuple[np.ndarray, np.ndarray]:
         """What the pieces stand for as bytes, one after the other, and the n + 1 offsets."""
+        if self._bytes is not None:
+            return self._bytes
         out = [bytes([b]) if b >= 0 else (p.replace(chr(SPACE), " ").encode() if u else b"") for p, b, u in zip(self.pieces, self.byte_of.tolist(), self.usable.tolist(), strict=True)]
-        return np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int64)
+        self._bytes = np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int64)
+        return self._bytes
 
 
 @cache
@@ -135,7 +142,7 @@ def by_length(lo: np.ndarray, hi: np.ndarray, most: int = 1 << 19):
     for group in np.split(order, cuts):
         if len(group):
             n = int(length[group[0]])
-            step = max(1, most // max(1, n * 8))
+            step = max(1, most // n)
             for i in range(0, len(group), step):
                 yield n, group[i : i + step]
 
@@ -147,7 +154,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-def batches_of(column: pa.Array, most: int = 1 << 19):
+def batches_of(column: pa.Array, most: int = 1 << 21):
     """(first row, texts) of stretches of about `most` characters; a longer text stands alone. Nulls are empty texts."""
     held, size, first = [], 0, 0
     for i, t in enumerate(column.to_pylist()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, html_text, imatch, quality_rules, sharding, sql, suffix_dedup
+from . import dartminhash, html_text, imatch, langid, quality_rules, sentencepiece_codec, sharding, sql, suffix_dedup
 from .common import table
 
 
@@ -14,6 +14,17 @@ def op1_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "class_id", F.col("keep").alias("kept"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5) == 0
+    langs, prob = langid.train(docs.where(~held_out).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), langs, prob)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.judge(docs)

@@ -37,12 +37,12 @@ def best_pieces(chars: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     for e in range(1, n + 1):
         top, length, last = best[:, e - 1] + unknown, np.ones(m, np.int32), -1 - chars[:, e - 1].astype(np.int32)
         for k in range(1, min(e, vocab.longest) + 1):
-            found = vocab.find(hashed(sums, e - k, e))
-            rows = np.flatnonzero(found >= 0)
+            rows, found = vocab.find(hashed(sums, e - k, e))
             if len(rows):
-                score = best[rows, e - k] + vocab.scores[found[rows]]
-                rows, score = rows[score >= top[rows]], score[score >= top[rows]]
-                top[rows], length[rows], last[rows] = score, k, found[rows]
+                score = best[rows, e - k] + vocab.scores[found]
+                better = score >= top[rows]
+                rows = rows[better]
+                top[rows], length[rows], last[rows] = score[better], k, found[better]
         best[:, e], size[:, e], piece[:, e] = top, length, last
     return _traced(size, piece)
 
@@ -69,9 +69,8 @@ def best_pieces_long(chars: np.ndarray, vocab: Vocabulary) -> np.ndarray:
         part = chars[s : s + tile + vocab.longest]
         for k in range(1, min(len(part), vocab.longest) + 1):
             windows = np.lib.stride_tricks.sliding_window_view(part, k)[:tile]
-            found = vocab.find(hashed(prefixes(windows), 0, k))
-            rows = np.flatnonzero(found >= 0)
-            hits.append((k, rows + s + k, found[rows]))
+            rows, found = vocab.find(hashed(prefixes(windows), 0, k))
+            hits.append((k, rows + s + k, found))
     ends, sizes, ids = np.concatenate([h[1] for h in hits]), np.concatenate([np.full(len(h[1]), h[0]) for h in hits]), np.concatenate([h[2] for h in hits])
     order = np.lexsort((sizes, ends))
     ends, sizes, ids = ends[order], sizes[order], ids[order]
