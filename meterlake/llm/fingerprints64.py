@@ -123,3 +123,12 @@ def received(column, dtype: np.dtype) -> np.ndarray:
             place += n * dtype[f].itemsize
         at += n
     return out
+
+
+def whole_texts(at: np.ndarray, most: int = SLICE):
+    """(first row, rows, starts and ends in the data) of stretches of whole texts; one longer than `most` bytes comes by itself."""
+    n, i = len(at) - 1, 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        yield i, j - i, at[i:j], at[i + 1 : j + 1]
+        i = j

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .fingerprints64 import M2, M3, mix, powers
+from .fingerprints64 import M2, M3, SLICE, mix, powers
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,15 +26,31 @@ def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     closed[1:] = solid
     closed[1:-1] &= ~solid[1:] | open_[1:]
     hi = np.flatnonzero(closed)
-    with np.errstate(over="ignore"):
-        up, down = powers()
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(BYTE[buf] * up[: len(buf)], out=sums[1:])
-        h = mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+    h = _hashes(buf, lo, hi)
     text = np.searchsorted(ends - base, lo, side="right")
     return lo, hi, text, h
 
 
+def _hashes(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of each stretch of bytes. Exponents start anew every SLICE bytes; a stretch across such a place is summed by itself."""
+    up, down = powers()
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        for s in range(0, len(buf), SLICE):
+            part = buf[s : s + SLICE]
+            np.cumsum(BYTE[part] * up[: len(part)], out=sums[s + 1 : s + 1 + len(part)])
+            sums[s + 1 : s + 1 + len(part)] += sums[s]
+        h = (sums[hi] - sums[lo]) * down[lo % SLICE]
+        for w in np.flatnonzero(lo // SLICE != (hi - 1) // SLICE):
+            part, total, step = BYTE[buf[lo[w] : hi[w]]], np.uint64(0), np.uint64(1)
+            for s in range(0, len(part), SLICE):
+                piece = part[s : s + SLICE]
+                total = total + (piece * up[: len(piece)]).sum(dtype=np.uint64) * step
+                step = step * up[SLICE]
+            h[w] = total
+        return mix(h + (hi - lo).astype(np.uint64))
+
+
 def shingles(text: np.ndarray, h: np.ndarray, texts: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """text and hash of each run of n words; a text of fewer words has one run of all its words."""
     count = np.bincount(text, minlength=texts)
