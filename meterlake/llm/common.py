@@ -27,12 +27,16 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later reads survive lost executors and nothing is computed twice."""
+def written(df: DataFrame, label: str, release: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: later reads survive lost executors and nothing is computed twice.
+
+    release: let go of shuffle files at once; for tables whose making moved little it isn't worth the pause.
+    """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    released(spark)
+    if release:
+        released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, html_text, imatch, langid, quality_rules, sentencepiece_codec, sharding, sql, suffix_dedup
+from . import dartminhash, html_text, imatch, langid, mixing, pu_quality, quality_rules, sentencepiece_codec, sharding, sql, suffix_dedup
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4) == 2
+    scorer = pu_quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = pu_quality.score(docs.withColumn("held_out", held_out), scorer)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= pu_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5) == 0
@@ -53,6 +61,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.described(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), texts=False)
+    out = mixing.probabilities(docs)
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "drawn")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
