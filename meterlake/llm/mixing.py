@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import bind, blank_null, dropped, written
@@ -32,7 +32,7 @@ TOPICS = 8
 TEMPER = 0.7
 RATE = 1.0
 ROUNDS = 40
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 MARGINS = ("source", "lang", "topic")
 SEPARATORS = r"[\x20\x09-\x0D]+"
 DRAWS = 1 << 40
@@ -99,8 +99,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             off = F.coalesce(F.col("target") / F.nullif("now", F.lit(0.0)), F.lit(0.0))
             old = factors[m].withColumnsRenamed({"_value": "_old", "_factor": "_was"})
             new = target.join(now, F.col("_value").eqNullSafe(F.col("_now"))).join(old, F.col("_value").eqNullSafe(F.col("_old")))
-            new = written(new.select("_value", (F.col("_was") * off).alias("_factor"), F.when(off > 0, F.abs(off - 1.0)).alias("_off")), "factors", release=False)
-            worst = max(worst, new.agg(F.max("_off")).first()[0] or 0.0)
+            seen = Observation()
+            new = new.select("_value", (F.col("_was") * off).alias("_factor"), F.when(off > 0, F.abs(off - 1.0)).alias("_off"))
+            new = written(new.observe(seen, F.max("_off").alias("off")), "factors", release=False)
+            worst = max(worst, seen.get["off"] or 0.0)
             if step:
                 dropped(factors[m])
             factors[m] = new.select("_value", "_factor")
