@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlake.llm import stages
 from meterlake.llm.common import table, written
 
-STAGES: list = []
+STAGES = [
+    ("quality", stages.quality),
+    ("near_dedup", stages.near_dedup),
+    ("repeats", stages.repeats),
+    ("mixing", stages.mix),
+    ("pieces", stages.pieces),
+]
 
 #: The trained classifier, sketches and tokenisation are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -16,4 +23,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
