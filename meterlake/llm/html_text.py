@@ -31,6 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("script style noscript template svg canvas head title iframe object select option button textarea math datalist dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+SILENT = frozenset("script style noscript template link meta".split())
 MARKED = frozenset("nav aside footer form menu".split())
 #: Words of class, id and role names of containers that hold no article text.
 SIGNS = frozenset(
@@ -133,7 +134,7 @@ def blocks(page: str):
             continue
         name = name.lower()
         top = stack[-1] if stack else ("", False, False, False)
-        if name not in INLINE:
+        if name not in INLINE and name not in SILENT:
             flush(top[2], top[3])
         if close:
             for k in range(len(stack) - 1, -1, -1):

@@ -49,4 +49,18 @@ FROM failed
 """
 
 
-ORACLES = {"op5_quality_rules": _quality_rules(), "op6_sharding": _sharding()}
+REPEATS = """
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS w FROM (SELECT r, h, unnest(range(CAST(len(h) // 2 - 199 AS BIGINT))) AS i FROM doc WHERE len(h) >= 400)),
+rep AS (SELECT r, i FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(*) > 1)),
+step AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200 AS apart FROM rep),
+run AS (SELECT r, i, count(*) FILTER (WHERE apart) OVER (PARTITION BY r ORDER BY i) AS g FROM step),
+span AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM run GROUP BY r, g),
+gap AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since, row_number() OVER (PARTITION BY r ORDER BY lo DESC) = 1 AS last FROM span),
+cut AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head, max(hi) AS tail FROM gap JOIN doc USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM doc LEFT JOIN cut USING (r)
+"""
+
+ORACLES = {"op9_suffix_dedup": REPEATS, "op5_quality_rules": _quality_rules(), "op6_sharding": _sharding()}
