@@ -8,8 +8,11 @@ for the few texts with a coordinate left empty the bound is doubled. Weights are
 in the bands below their weight alone.
 
 Coordinates are joined in bands of ROWS. Texts with an equal band meet in a bucket; a bucket never becomes all of its pairs. Its
-smallest member is held against each other one; a bucket whose members still fall into several classes takes its next two members,
-then four, and so on, against later members of other classes, until all members served. Buckets of copies end after one round.
+smallest member is held against each other one, which makes most buckets of copies one component. Where members still fall into several
+components, so is the member with the most common shingles, the likeliest original. What is left is joined exactly by its rarest shingles: a pair at the threshold has its first common shingle, in the order of
+frequency, within a prefix of each text, at places that leave room for the overlap it needs, which also bounds the sizes that can meet.
+Under a shingle that one component fills, only the others look for partners. So no link is lost, and a large group of copies costs no pairs
+within itself. The coordinates, a byte each, tell most pairs that are far apart.
 Each pair is checked on the whole texts: shingles in common over shingles in either, at least `similarity`. Classes are the
 connected components of the pairs that pass. A pair at 0.8 shares no band with odds of 7 in a million.
 
@@ -21,17 +24,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, written
-from .fingerprints64 import M1, M2, M3, mix, slices, text_parts
+from .fingerprints64 import M1, M2, M3, mix, text_parts, whole_texts
 from .graph import components
 from .shingles import distinct, shingles, words
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 30
+#: Bytes of text whose darts are thrown together.
+STRETCH = 1 << 18
+#: Share of equal coordinate bytes below which a pair isn't looked at: six standard deviations under 0.8.
+AGREE = 0.6
 
 
 def throw(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, sizes: np.ndarray, bound: np.ndarray, k: int):
@@ -94,7 +101,8 @@ def _sign(n: int, rows: int, bands: int, weighted: bool):
             data, at = text_parts(batch.column(1))
             texts = len(at) - 1
             node, size, marks = np.zeros(texts, np.int64), np.zeros(texts, np.int64), np.zeros((texts, bands), np.int64)
-            for i, count, starts, ends in _groups(at):
+            sketch = np.zeros((texts, k), np.uint8)
+            for i, count, starts, ends in whole_texts(at, STRETCH):
                 owner, h, weight = elements(data, starts, ends, n)
                 if not weighted:
                     weight = np.ones(len(h), np.int64)
@@ -106,25 +114,38 @@ def _sign(n: int, rows: int, bands: int, weighted: bool):
                     node[i : i + count] = mix(sums + sizes.astype(np.uint64) * M1).view(np.int64)
                     size[i : i + count] = sizes
                     sig = signatures(owner, h, weight, count, k)
+                    sketch[i : i + count] = (sig >> np.uint64(56)).astype(np.uint8)
                     band = np.full((count, bands), M1) + np.arange(bands, dtype=np.uint64) * M3
                     for j in range(rows):
                         band = mix(band + sig[:, j::rows][:, :bands])
                     marks[i : i + count] = band.view(np.int64)
             filled = size > 0
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(filled * bands)].astype(np.int32)), pa.array(marks[filled].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array(size), lists], ["id", "key", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array(size), lists, _bytes(sketch)], ["id", "key", "node", "size", "bands", "sketch"])
 
     return run
 
 
-def _groups(at: np.ndarray):
-    """Texts in stretches; a text longer than a slice comes whole, by itself."""
-    last = -1
-    for i, count, starts, ends, _ in slices(at):
-        if i == last:
-            continue
-        last = i
-        yield (i, count, starts, ends) if count > 1 else (i, 1, at[i : i + 1], at[i + 1 : i + 2])
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of bytes."""
+    at = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _agreeing(share: float):
+    """Keeps the pairs (a, b) whose sketches have that share of bytes in common."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (text_parts(batch.column(c))[0] for c in (2, 3))
+            (xs, ys) = (text_parts(batch.column(c))[1] for c in (2, 3))
+            x, y = x[xs[0] : xs[-1]].reshape(batch.num_rows, -1), y[ys[0] : ys[-1]].reshape(batch.num_rows, -1)
+            keep = pa.array((x == y).mean(1) >= share)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
 
 
 def elements(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int):
@@ -146,7 +167,7 @@ def _checked(n: int, similarity: float, weighted: bool):
             for c in (2, 3):
                 data, at = text_parts(batch.column(c))
                 per = []
-                for _, count, starts, ends in _groups(at):
+                for _, count, starts, ends in whole_texts(at):
                     owner, h, w = elements(data, starts, ends, n)
                     cut = np.searchsorted(owner, np.arange(count + 1))
                     per += [(h[cut[j] : cut[j + 1]], w[cut[j] : cut[j + 1]]) for j in range(count)]
@@ -170,54 +191,98 @@ def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: fl
     rows equal to the one that stands for it. weighted: shingle counts are weights; else each distinct shingle weighs one."""
     base = docs.select(row_id(key).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col(key).alias("key"))
     kind = base.schema["key"].dataType.simpleString()
-    signed = written(base.mapInArrow(_sign(n, rows, bands, weighted), f"id bigint, key {kind}, node bigint, size bigint, bands array<bigint>"), "signatures")
+    signed = written(base.mapInArrow(_sign(n, rows, bands, weighted), f"id bigint, key {kind}, node bigint, size bigint, bands array<bigint>, sketch binary"), "signatures")
     band = signed.select("node", F.explode("bands").alias("band"))
     buckets = band.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("band", "center")
     members = written(band.join(buckets, "band").groupBy("band", "node").agg(F.first("center").alias("center")), "members")
     # one text for each node that meets another, in the order of a hash, not of the input
-    nodes = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    texts = written(nodes.join(base.select("id", "text"), "id").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    check = _checked(n, similarity, weighted)
+    nodes = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+    texts = written(nodes.join(base.select("id", "text"), "id").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts")
+    check, agree = _checked(n, similarity, weighted), AGREE * similarity / SIMILARITY
+
+    def sides(pairs: DataFrame, column: str) -> DataFrame:
+        left = pairs.join(texts.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
+        return left.join(texts.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
     def passed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        return written(both.mapInArrow(check, "a bigint, b bigint"), "links")
+        near = sides(pairs, "sketch").mapInArrow(_agreeing(agree), "a bigint, b bigint")
+        return written(sides(near, "text").mapInArrow(check, "a bigint, b bigint"), "links", release=False)
 
     links = passed(members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    turn = 1
-    rest = members.select("band", "node")
-    while True:
-        label = _labels(links)
-        known = rest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = known.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).where(f"l0 < l1 and n > {2**turn}").select("band")
-        known = known.join(open_, "band", "left_semi")
-        if turn == 1:
-            known = known.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("node")))
-        else:
-            known = known.join(places, ["band", "node"])
-        known = written(known, "open")
-        if not known.limit(1).count():
-            break
-        if turn == 1:
-            places = known.select("band", "node", "place")
-        rest = known.select("band", "node")
-        centers = known.where(f"place >= {2**turn // 1} and place < {2 ** (turn + 1)}").select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("place").alias("pa"))
-        pairs = known.join(centers, "band").where("place > pa and label != la").select("a", F.col("node").alias("b")).distinct()
-        links = links.unionByName(passed(pairs))
-        turn += 1
-    released(docs.sparkSession)
     component = components(links)
+
+    def undecided() -> DataFrame:
+        known = members.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        several = known.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band")
+        return written(known.join(several, "band", "left_semi"), "open", release=False)
+
+    rest = undecided()
+    tokens = texts.join(rest.select("node").distinct(), "node").select("node", "text").mapInArrow(_tokens(n, weighted), "node bigint, tokens array<bigint>")
+    ranked = written(by_frequency(tokens), "tokens", release=False)
+    original = rest.join(ranked.select("node", "common"), "node").groupBy("band").agg(F.max(F.struct("common", "node", "component")).alias("top"))
+    pairs = rest.join(original, "band").where("component != top.component").select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+    links = links.unionByName(passed(pairs))
+    component = components(links)
+    rest = undecided().groupBy("node").agg(F.first("component").alias("component"))
+    links = links.unionByName(passed(prefix_pairs(ranked.join(rest, "node"), similarity)))
+    component = components(links)
+    released(docs.sparkSession)
     named = signed.select("id", "key", "node").join(component, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
     lead = named.groupBy("component").agg(F.min(F.struct("key", "id")).alias("lead"))
     return named.join(lead, "component").select("id", "key", F.col("lead.key").alias("class_id"), (F.col("id") == F.col("lead.id")).alias("keep"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, label): nodes with the same label are in one component; not the other way round."""
-    one = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    up = one.select(F.col("node").alias("label"), F.col("label").alias("above"))
-    return one.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+def by_frequency(sets: DataFrame) -> DataFrame:
+    """(node, size, common, order) of sets (node, tokens): the tokens from rare to frequent, and how frequent they are on average."""
+    frequency = sets.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    each = sets.select("node", F.explode("tokens").alias("h")).join(frequency, "h")
+    return each.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("size"), F.avg(F.log("df")).alias("common"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
+
+
+def prefix_pairs(ordered: DataFrame, t: float) -> DataFrame:
+    """(a, b): pairs of sets (node, component, size, order) of different components; all that have a Jaccard similarity of t or more are
+    among them."""
+    prefix = F.slice("order", F.lit(1), (F.col("size") * (1 - t) + 1 + 1e-9).cast("int"))
+    rows = ordered.select("node", "component", "size", F.posexplode(prefix).alias("pos", "o")).where("o.df > 1").select("node", "component", "size", "pos", F.col("o.h").alias("h"))
+    rows = written(rows, "prefixes", release=False)
+    eps, level = F.lit(1e-6), lambda s: F.floor(F.log(s) / F.lit(0.2)).cast("int")
+    small = rows.where(F.col("pos") <= F.col("size") * ((1 - t) / (1 + t)) + eps).withColumn("level", level(F.col("size").cast("double")))
+    most = F.least(F.col("size").cast("double"), (F.col("size") - F.col("pos")) * ((1 + t) / t) - F.col("size") + eps)
+    least = F.col("size") * t - eps
+    large = rows.where(most >= least).withColumn("level", F.explode(F.sequence(level(F.greatest(least, F.lit(1.0))), level(F.greatest(most, F.lit(1.0))))))
+    by = ["h", "level"]
+    counts = small.select(*by, "component").unionByName(large.select(*by, "component")).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*by, F.col("top.component").alias("main"))
+    main = written(main, "mains", release=False)
+    name = lambda df, x: df.join(main, by).select(*by, "main", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "size", "pos")])
+    s, g = name(small, "s"), name(large, "g").drop("main")
+    need = (F.col("s_size") + F.col("g_size")) * (t / (1 + t)) - eps
+    fits = (F.col("s_component") != F.col("g_component")) & (F.col("s_size") <= F.col("g_size")) & (F.col("s_size") - F.col("s_pos") >= need) & (F.col("g_size") - F.col("g_pos") >= need)
+    minor = s.where("s_component != main").drop("main").join(g, by).where(fits)
+    major = s.where("s_component = main").drop("main").join(name(large, "g").where("g_component != main").drop("main"), by).where(fits)
+    both = minor.unionByName(major)
+    return both.select(F.least("s_node", "g_node").alias("a"), F.greatest("s_node", "g_node").alias("b")).distinct()
+
+
+def _tokens(n: int, weighted: bool):
+    """The distinct shingles of texts; where they are weighted, each as often as it weighs, under numbers of its own."""
+
+    def run(batches):
+        for batch in batches:
+            data, at = text_parts(batch.column(1))
+            flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, count, starts, ends in whole_texts(at):
+                owner, h, weight = elements(data, starts, ends, n)
+                if weighted:
+                    turn = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                    with np.errstate(over="ignore"):
+                        owner, h = np.repeat(owner, weight), mix(np.repeat(h, weight) + turn.astype(np.uint64) * M1)
+                flat.append(h.view(np.int64))
+                sizes.append(np.bincount(owner, minlength=count))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)), pa.array(np.concatenate(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "tokens"])
+
+    return run
 
 
 def row_id(key: str = "doc_id"):
