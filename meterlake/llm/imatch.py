@@ -63,11 +63,17 @@ def hashes(kept: Column, own: Column) -> Column:
         inside = F.transform(F.filter(entries, lambda e: F.getbit(e["mask"], s) == 1), lambda e: e["code"].cast("string"))
         return bind(inside, lambda i: F.when(F.size(i) == 0, F.lit(0)).otherwise(number(F.array_join(i, ","))))
 
+    def of_density(g: int, entries: Column) -> Column:
+        # the sparser a density's subsets, the fewer terms are in any of them
+        bits = sum(1 << s for s in range(g, SUBSETS, len(DENSITIES)))
+        met = F.filter(entries, lambda e: e["mask"].bitwiseAND(F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("bigint")) != 0)
+        return bind(met, lambda m: F.transform(F.sequence(F.lit(g), F.lit(SUBSETS - 1), F.lit(len(DENSITIES))), lambda s: one(s, m)))
+
     def all_of(entries: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: one(s, entries))
+        every = F.concat(*[of_density(g, entries) for g in range(len(DENSITIES))])
         return F.when(F.size(entries) == 0, F.array_repeat(number(F.concat(F.lit("text:"), own)), SUBSETS)).otherwise(every)
 
-    return bind(F.array_sort(kept), all_of)
+    return bind(F.sort_array(kept), all_of)
 
 
 def as_text(hashes: Column) -> Column:
