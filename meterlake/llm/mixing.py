@@ -31,8 +31,8 @@ from .common import bind, blank_null, dropped, written
 TOPICS = 8
 TEMPER = 0.7
 RATE = 1.0
-ROUNDS = 40
-TOLERANCE = 1e-5
+ROUNDS = 12
+TOLERANCE = 1e-4
 MARGINS = ("source", "lang", "topic")
 SEPARATORS = r"[\x20\x09-\x0D]+"
 DRAWS = 1 << 40
@@ -81,34 +81,25 @@ def targets_for(cells: DataFrame, margin: str, given: dict | None = None, temper
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (margins, tokens) with weight: shares whose margins are the targets. Cells that no weights can serve get none.
 
-    The state is a factor for each value of each margin; a cell's weight is its tokens times its factors.
+    Every step writes the cells with one margin set right; it moves one row a cell and one a value.
     """
-    factors = {m: t.select("_value", F.lit(1.0).alias("_factor")) for m, t in targets.items()}
-
-    def weighted() -> DataFrame:
-        df = cells.withColumn("weight", F.col("tokens").cast("double"))
-        for m, f in factors.items():
-            df = df.join(f, F.col(m).eqNullSafe(F.col("_value")), "left").drop("_value")
-            df = df.withColumn("weight", F.col("weight") * F.coalesce("_factor", F.lit(0.0))).drop("_factor")
-        return df
-
+    state, first = cells.withColumn("weight", F.col("tokens").cast("double")), True
     for step in range(rounds):
         worst = 0.0
         for m, target in targets.items():
-            now = weighted().groupBy(F.col(m).alias("_now")).agg(F.sum("weight").alias("now"))
-            off = F.coalesce(F.col("target") / F.nullif("now", F.lit(0.0)), F.lit(0.0))
-            old = factors[m].withColumnsRenamed({"_value": "_old", "_factor": "_was"})
-            new = target.join(now, F.col("_value").eqNullSafe(F.col("_now"))).join(old, F.col("_value").eqNullSafe(F.col("_old")))
+            now = state.groupBy(F.col(m).alias("_now")).agg(F.sum("weight").alias("now")).join(target, F.col("_now").eqNullSafe(F.col("_value")))
+            off = now.select("_value", F.coalesce(F.col("target") / F.nullif("now", F.lit(0.0)), F.lit(0.0)).alias("_off"))
+            new = state.join(off, F.col(m).eqNullSafe(F.col("_value")), "left").withColumn("weight", F.col("weight") * F.coalesce("_off", F.lit(0.0)))
             seen = Observation()
-            new = new.select("_value", (F.col("_was") * off).alias("_factor"), F.when(off > 0, F.abs(off - 1.0)).alias("_off"))
-            new = written(new.observe(seen, F.max("_off").alias("off")), "factors", release=False)
+            new = new.observe(seen, F.max(F.when(F.col("weight") > 0, F.abs(F.col("_off") - 1.0))).alias("off")).select(*cells.columns, "weight")
+            new = written(new, "weights", release=False)
             worst = max(worst, seen.get["off"] or 0.0)
-            if step:
-                dropped(factors[m])
-            factors[m] = new.select("_value", "_factor")
+            if not first:
+                dropped(state)
+            state, first = new, False
         if step and worst < tolerance:
             break
-    return weighted()
+    return state
 
 
 def probabilities(docs: DataFrame, targets: dict[str, dict] | None = None, rate: float = RATE, temper: float = TEMPER, margins=MARGINS) -> DataFrame:
@@ -116,7 +107,7 @@ def probabilities(docs: DataFrame, targets: dict[str, dict] | None = None, rate:
     filled = docs.where("n_tokens > 0")
     cells = written(filled.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "counts")
     goals = {m: written(targets_for(cells, m, (targets or {}).get(m), temper), "targets") for m in margins}
-    raked = written(rake(cells, goals), "raked").withColumn("ratio", F.col("weight") / F.col("tokens"))
+    raked = rake(cells, goals).withColumn("ratio", F.col("weight") / F.col("tokens"))
     most = raked.agg(F.max("ratio"), F.sum("tokens")).first()
     scale = min(1.0 / most[0], rate * float(most[1])) if most[0] else 0.0
     chance = raked.select(*[F.col(m).alias(f"_{m}") for m in margins], F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)).alias("probability"))
