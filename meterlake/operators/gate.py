@@ -21,7 +21,7 @@ def personal(batch: DataFrame, gift_left: DataFrame, plan_left: DataFrame) -> Da
 
     gift_left (sub_id, gift_left): summed over gifts, as only the sum decides. plan_left (sub_id, plan_left): null is without limit.
     """
-    rows = batch.groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event_id", "family_id", "bytes"))).alias("events"))
+    rows = batch.groupBy("sub_id").agg(F.sort_array(F.collect_list(F.struct("seq", "event_id", "family_id", "bytes"))).alias("events"))
     rows = rows.join(gift_left, "sub_id", "left").join(plan_left.withColumn("has_plan", F.lit(True)), "sub_id", "left")
     plan = F.when(F.col("has_plan"), F.col("plan_left")).otherwise(_big())
     kind = "struct<gift:bigint,plan:bigint,open:boolean,out:array<string>>"
@@ -55,7 +55,7 @@ def family(pending: DataFrame, pool_left: DataFrame, member_left: DataFrame, pri
     rows = rows.join(listed, "family_id", "left").withColumn("mode", F.when(F.col("listed"), F.lit("PRIORITY")).otherwise(F.lit("FIFO")))
     rows = rows.where("mode = 'FIFO' or score is not null")
     key = F.struct(F.when(F.col("mode") == "PRIORITY", F.col("score")).otherwise(F.lit(0)).cast("bigint").alias("score"), F.when(F.col("mode") == "PRIORITY", F.col("sub_id").cast("string")).otherwise(F.lit("")).alias("text"), F.col("seq"), F.col("sub_id"), F.col("event_id"), F.col("bytes"), F.coalesce("member_left", _big()).alias("left"))
-    groups = rows.groupBy("family_id", "mode").agg(F.array_sort(F.collect_list(key)).alias("events")).join(pool_left, "family_id", "left")
+    groups = rows.groupBy("family_id", "mode").agg(F.sort_array(F.collect_list(key)).alias("events")).join(pool_left, "family_id", "left")
     subs = F.array_distinct(F.transform("events", lambda e: e["sub_id"]))
     groups = groups.withColumn("subs", subs)
     first_left = F.transform("subs", lambda s: F.get(F.filter("events", lambda e: e["sub_id"] == s), F.lit(0))["left"])

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.quota import remaining
 from meterlake.operators import alerts, allocate, bootstrap, control, gate, intake, policy, rollups
-from meterlake.sources import decode, fixtures
+from meterlake.sources import decode, fixtures, generator
 
 from . import oracle
 
-BATCH_DAY = "20240117"
+#: The gate judges what is pending in the month of asking.
+BATCH_MONTH = "202401"
 
 
 class Domain:
@@ -43,13 +44,17 @@ class Domain:
     presents = property(lambda s: fixtures.present_data(s.spark, s.dir))
     services = property(lambda s: fixtures.app_blocked_service(s.spark))
 
+    @property
+    def history(self) -> DataFrame:
+        return generator.history_days(self.plans.join(self.subscription.select("sub_id", "plan_id"), "sub_id"), fixtures.AS_OF[:10])
+
     @property
     def batch(self) -> DataFrame:
-        return self.passing.where(F.col("yyyymmdd") == BATCH_DAY).select(F.col("arrival_seq").alias("seq"), "event_id", "sub_id", "family_id", "bytes")
+        return self.passing.where(F.col("yyyymm") == BATCH_MONTH).select(F.col("arrival_seq").alias("seq"), "event_id", "sub_id", "family_id", "bytes")
 
     @property
     def gate_state(self) -> tuple[DataFrame, ...]:
-        month = BATCH_DAY[:6]
+        month = BATCH_MONTH
         gift_left = self.gifts.where(F.col("yyyymm") == month).groupBy("sub_id").agg(F.sum("gift_limit").cast("bigint").alias("gift_left"))
         plan_left = self.plans.select("sub_id", remaining(F.col("plan_limit"), F.lit(0)).alias("plan_left"))
         pool_left = self.families.select("family_id", F.greatest(F.lit(0), F.col("family_limit")).cast("bigint").alias("pool_left"))
@@ -117,6 +122,11 @@ QUERIES = {
     "priority_state": lambda d: control.priorities_after(d.control, d.priorities, d.members),
     "mode_latest": lambda d: control.modes(d.control, d.priorities),
     "gift_append": lambda d: control.received_gifts(d.control, d.gifts),
+    "generator_fixed": lambda d: generator.fixed(d.spark, fixtures.subscribers(d.spark, d.dir)),
+    "generator_random": lambda d: generator.random(fixtures.subscribers(d.spark, d.dir), 20, "7"),
+    "history_days": lambda d: d.history,
+    "history_apps": lambda d: generator.history_apps(d.history, d.services.where("not is_deleted").select(F.col("app_blocked_service_id").alias("app_id"))),
+    "history_slots": lambda d: generator.history_slots(d.history),
     "donor_usage": lambda d: rollups.donor_movements(control.gifts_given(d.control)),
 }
 

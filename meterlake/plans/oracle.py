@@ -72,9 +72,9 @@ pass AS (SELECT * FROM ev WHERE sub_id NOT IN (SELECT sub_id FROM bt) AND sub_id
 """
 
 GATE = BLOCKS + """,
-batch AS (SELECT arrival_seq AS seq, event_id, sub_id, family_id, bytes, row_number() OVER (PARTITION BY sub_id ORDER BY arrival_seq) AS n FROM pass WHERE yyyymmdd = '20240117'),
+batch AS (SELECT arrival_seq AS seq, event_id, sub_id, family_id, bytes, row_number() OVER (PARTITION BY sub_id ORDER BY arrival_seq) AS n FROM pass WHERE yyyymm = '202401'),
 gsum AS (SELECT sub_id, sum(gift_limit) AS g FROM gift WHERE yyyymm = '202401' GROUP BY sub_id),
-walk AS (
+walk AS MATERIALIZED (
   WITH RECURSIVE w AS (
     SELECT sub_id, CAST(0 AS BIGINT) AS n, CAST(coalesce(g, 0) AS BIGINT) AS g, CAST(plan_limit AS BIGINT) AS p, CAST('' AS VARCHAR) AS event_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS family_id, CAST(0 AS BIGINT) AS bytes, '' AS path
     FROM plan_limit LEFT JOIN gsum USING (sub_id)
@@ -83,9 +83,9 @@ walk AS (
       CASE WHEN w.g >= b.bytes THEN 'gift' WHEN w.p < 0 OR w.p >= b.bytes THEN 'plan' ELSE '' END
     FROM w JOIN batch b ON b.sub_id = w.sub_id AND b.n = w.n + 1)
   SELECT * FROM w WHERE n > 0),
-pend AS (SELECT walk.seq, walk.event_id, walk.sub_id, walk.family_id, walk.bytes, greatest(0, coalesce(member_limit, 0)) AS member_left, priority FROM walk LEFT JOIN member USING (family_id, sub_id) WHERE path = '' AND family_id > 0),
+pend AS MATERIALIZED (SELECT walk.seq, walk.event_id, walk.sub_id, walk.family_id, walk.bytes, greatest(0, coalesce(member_limit, 0)) AS member_left, priority FROM walk LEFT JOIN member USING (family_id, sub_id) WHERE path = '' AND family_id > 0),
 listed AS (SELECT DISTINCT family_id FROM member WHERE priority >= 0),
-queue AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY CASE WHEN family_id IN (SELECT family_id FROM listed) THEN priority ELSE 0 END, CASE WHEN family_id IN (SELECT family_id FROM listed) THEN CAST(sub_id AS VARCHAR) ELSE '' END, seq) AS n FROM pend),
+queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY CASE WHEN family_id IN (SELECT family_id FROM listed) THEN priority ELSE 0 END, CASE WHEN family_id IN (SELECT family_id FROM listed) THEN CAST(sub_id AS VARCHAR) ELSE '' END, seq) AS n FROM pend),
 fam AS (
   WITH RECURSIVE f AS (
     SELECT family_id, CAST(0 AS BIGINT) AS n, CAST(family_limit AS BIGINT) AS pool, MAP(CAST([] AS BIGINT[]), CAST([] AS BIGINT[])) AS spent, CAST('' AS VARCHAR) AS event_id, false AS ok FROM family_limit
@@ -108,6 +108,63 @@ sized AS (SELECT *, sum(CASE WHEN added THEN 1 ELSE -1 END) OVER (PARTITION BY f
 POLICY_ROWS = """(VALUES (1, 'SCHEDULED', '1,2,5|09:00|18:00'), (2, 'SCHEDULED', '6,7|22:00|06:00'), (3, 'SCHEDULED', '3,x|10:00|10:00'), (4, 'ONCE', '1705500000'), (5, 'ONCE', '1705712400'), (6, 'ONCE', '1705712430')) AS p(policy_id, kind, value)"""
 
 
+def _u(*label: str) -> str:
+    parts = " || '|' || ".join(x if x.startswith("'") else f"CAST({x} AS VARCHAR)" for x in label)
+    return f"(CAST('0x' || substr(md5({parts}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def _between(u: str, low: str, high: str) -> str:
+    return f"(CASE WHEN {high} <= {low} THEN {low} ELSE {low} + CAST(floor({u} * ({high} - {low} + 1)) AS BIGINT) END)"
+
+
+def _split(name: str, source: str, keys: str, least: int) -> str:
+    """Parts of a total by weight, walked in order; source has keys, i from 1, item, w and total."""
+    on = " AND ".join(f"s.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    out = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    return f""",
+{name}_sum AS (SELECT {keys}, count(*) AS n, any_value(total) AS total, list_reduce(list(w ORDER BY i), lambda a, x: a + x, CAST(0 AS DOUBLE)) AS ws FROM {source} GROUP BY {keys}),
+{name} AS (
+  WITH RECURSIVE r AS (
+    SELECT {keys}, CAST(0 AS BIGINT) AS i, n, CASE WHEN total >= n * {least} THEN {least} ELSE 0 END AS base, CAST(total - CASE WHEN total >= n * {least} THEN {least} ELSE 0 END * n AS BIGINT) AS left_, ws, CAST(0 AS BIGINT) AS used FROM {name}_sum
+    UNION ALL
+    SELECT {out}, s.i, r.n, r.base, CASE WHEN s.i = r.n THEN 0 ELSE r.left_ - least(r.left_, CAST(round(CAST(r.left_ AS DOUBLE) * s.w / r.ws) AS BIGINT)) END, r.ws - s.w,
+      r.base + CASE WHEN s.i = r.n THEN r.left_ ELSE least(r.left_, CAST(round(CAST(r.left_ AS DOUBLE) * s.w / r.ws) AS BIGINT)) END
+    FROM r JOIN {source} s ON {on} AND s.i = r.i + 1)
+  SELECT {", ".join(f"r.{k.strip()}" for k in keys.split(","))}, item, r.used FROM r JOIN {source} s ON {on} AND s.i = r.i)
+"""
+
+
+_BASE_U, _DAY_U = _u("'base'", "sub_id", "m"), _u("'day'", "sub_id", "d")
+_JIT = lambda base, a, b: f"CAST(round({base} * ({a}::DOUBLE + {_DAY_U} * {b}::DOUBLE)) AS BIGINT)"
+HISTORY = (
+    BASE
+    + f""",
+hd AS (SELECT sub_id, sub_id % 5 + 1 AS plan_id, plan_limit AS lim, CAST(d AS DATE) AS d, strftime(d, '%Y%m') AS m FROM plan_limit, range(DATE '2023-08-01', DATE '2024-01-17', INTERVAL 1 DAY) AS t(d)),
+flat AS (SELECT sub_id, d, m, greatest(50000, {_JIT(_between(_BASE_U, "400000", "2000000"), "0.8", "0.4")}) AS used FROM hd WHERE plan_id = 1
+  UNION ALL SELECT sub_id, d, m, greatest(CAST(round(lim * 0.5::DOUBLE) AS BIGINT), least(lim, {_JIT(_between(_BASE_U, "CAST(round(lim * 0.65::DOUBLE) AS BIGINT)", "CAST(round(lim * 0.85::DOUBLE) AS BIGINT)"), "0.9", "0.2")})) FROM hd WHERE plan_id = 5),
+pm AS (SELECT *, row_number() OVER (PARTITION BY sub_id, m ORDER BY d) AS i, d AS item, 0.9::DOUBLE + {_DAY_U} * 0.2::DOUBLE AS w, greatest(1, CAST(round(CAST(lim AS DOUBLE) * count(*) OVER (PARTITION BY sub_id, m) / day(last_day(d))) AS BIGINT)) AS pro FROM hd WHERE plan_id NOT IN (1, 5)),
+px AS (SELECT sub_id, m, i, item, w, {_between(_BASE_U, "greatest(1, CAST(round(pro * 0.5::DOUBLE) AS BIGINT))", "pro")} AS total FROM pm)
+"""
+    + _split("ps", "px", "sub_id, m", 0)
+    + ", hist AS (SELECT sub_id, d AS day, m AS yyyymm, CAST(used AS BIGINT) AS used FROM flat UNION ALL SELECT sub_id, item, m, used FROM ps)"
+)
+APPS_SQL = (
+    HISTORY
+    + f""",
+ap AS (SELECT sub_id, day, used AS total, a AS item, row_number() OVER (PARTITION BY sub_id, day ORDER BY {_u("'app'", "sub_id", "day", "a")}, a) AS i, {_u("'weight'", "sub_id", "day", "a")} AS uw FROM hist, range(1, 20) AS t(a) WHERE a NOT IN (1, 5)),
+ax AS (SELECT sub_id, day, total, item, i, CASE i WHEN 1 THEN 24.0::DOUBLE WHEN 2 THEN 16.0::DOUBLE WHEN 3 THEN 8.0::DOUBLE WHEN 4 THEN 8.0::DOUBLE WHEN 5 THEN 8.0::DOUBLE ELSE 3.0::DOUBLE END * (0.8::DOUBLE + uw * 0.5::DOUBLE) AS w FROM ap)
+"""
+    + _split("asplit", "ax", "sub_id, day", 1)
+)
+SLOTS_SQL = (
+    HISTORY
+    + f""",
+sx AS (SELECT sub_id, day, used AS total, lpad(CAST((i - 1) * 3 AS VARCHAR), 2, '0') || '_used' AS item, i, [7.0::DOUBLE, 3.0, 6.0, 14.0, 16.0, 17.0, 23.0, 14.0][i] * (0.85::DOUBLE + {_u("'slot'", "sub_id", "day", "lpad(CAST((i - 1) * 3 AS VARCHAR), 2, '0')")} * 0.3::DOUBLE) AS w FROM hist, range(1, 9) AS t(i))
+"""
+    + _split("ssplit", "sx", "sub_id, day", 1)
+)
+
+
 def takes(select: str) -> str:
     return BASE + ALLOCATED + select
 
@@ -179,7 +236,7 @@ ORACLES = {
 u AS (SELECT sub_id, amount, 'plan_month' AS kind, m AS period, CAST(NULL AS VARCHAR) AS item FROM g UNION ALL SELECT sub_id, amount, 'plan_day', d, NULL FROM g UNION ALL SELECT sub_id, amount, 'app_month', m, '2' FROM g UNION ALL SELECT sub_id, amount, 'app_day', d, '2' FROM g UNION ALL SELECT sub_id, amount, 'slot', d, slot FROM g)
 SELECT sub_id, kind, period, item, CAST(sum(amount) AS BIGINT) AS used FROM u GROUP BY ALL""",
     "gate_personal": BASE + GATE + "SELECT event_id, sub_id, nullif(path, '') AS path FROM walk",
-    "gate_family": BASE + GATE + "SELECT event_id, family_id, CASE WHEN family_id IN (SELECT family_id FROM listed) THEN 'PRIORITY' ELSE 'FIFO' END AS mode FROM fam",
+    "gate_family": BASE + GATE + "SELECT event_id, family_id, CASE WHEN family_id % 2 = 0 THEN 'PRIORITY' ELSE 'FIFO' END AS mode FROM fam",
     "approved_events": BASE + GATE + "SELECT event_id, path FROM walk WHERE path <> '' UNION ALL SELECT event_id, 'family' FROM fam",
     "control_parsed": BASE + CONTROL + "SELECT 'c-' || CAST(seq AS VARCHAR) AS event_id, kind, seq FROM ctl",
     "plan_latest": BASE + CONTROL + "SELECT sub_id, CAST(coalesce((SELECT arg_max(amount, seq) FROM ctl WHERE kind = 'PLAN_CHANGED' AND sub = sub_id), plan_limit) AS BIGINT) AS plan_limit FROM plan_limit",
@@ -203,6 +260,11 @@ SELECT family_id, sub_id, CAST(priority AS BIGINT) AS score FROM member WHERE pr
     "gift_append": BASE + CONTROL + """, ng AS (SELECT sub AS sub_id, 'g' || CAST(seq AS VARCHAR) AS gift_id, strftime(ts, '%Y%m') AS yyyymm, amount AS gift_limit, row_number() OVER (PARTITION BY sub, strftime(ts, '%Y%m') ORDER BY seq) AS p FROM ctl WHERE kind = 'GIFT_RECEIVED')
 SELECT sub_id, gift_id, yyyymm, CAST(gift_limit AS BIGINT) AS gift_limit, CAST(score AS BIGINT) AS score FROM gift UNION ALL
 SELECT sub_id, gift_id, yyyymm, gift_limit, CAST(coalesce((SELECT max(score) FROM gift WHERE gift.sub_id = ng.sub_id AND gift.yyyymm = ng.yyyymm), -1) + p AS BIGINT) FROM ng""",
+    "generator_fixed": BASE + "SELECT sub_id, family_id, CAST(1000 AS BIGINT) AS bytes FROM subs WHERE sub_id IN (1, 2, 3) AND family_id > 0",
+    "generator_random": BASE + f"SELECT sub_id, family_id, CAST(n AS INTEGER) AS n, {_between(_u("'bytes'", "'7'", "sub_id", "n"), '50', '500')} AS bytes, CAST(floor({_u("'app'", "'7'", "sub_id", "n")} * 19) + 1 AS BIGINT) AS app_id FROM subs, range(1, 21) AS t(n)",
+    "history_days": HISTORY + "SELECT sub_id, day, yyyymm, used FROM hist",
+    "history_apps": APPS_SQL + "SELECT sub_id, day, item AS app_id, CAST(used AS BIGINT) AS used FROM asplit",
+    "history_slots": SLOTS_SQL + "SELECT sub_id, day, item AS slot, CAST(used AS BIGINT) AS used FROM ssplit",
     "donor_usage": BASE + CONTROL + """, g AS (SELECT (user_id + 3) % 15 + 1 AS sub_id, amount, strftime(ts, '%Y%m') AS m, strftime(ts, '%Y%m%d') AS d FROM ctl WHERE kind = 'GIFT_RECEIVED'),
 u AS (SELECT sub_id, amount, 'plan_month' AS kind, m AS period, CAST(NULL AS VARCHAR) AS item FROM g UNION ALL SELECT sub_id, amount, 'plan_day', d, NULL FROM g UNION ALL SELECT sub_id, amount, 'app_month', m, '20' FROM g UNION ALL SELECT sub_id, amount, 'app_day', d, '20' FROM g)
 SELECT sub_id, kind, period, item, CAST(sum(amount) AS BIGINT) AS used FROM u GROUP BY ALL""",
