@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from . import imatch
 from . import quality_rules as rules
 from . import sharding
 
@@ -63,4 +64,43 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM doc LEFT JOIN cut USING (r)
 """
 
-ORACLES = {"op9_suffix_dedup": REPEATS, "op5_quality_rules": _quality_rules(), "op6_sharding": _sharding()}
+def _dartminhash() -> str:
+    words = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+gram AS (SELECT DISTINCT r, md5(CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END) AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN size s ON s.r = x JOIN size t ON t.r = y WHERE 10 * c >= 8 * (s.n + t.n - c) UNION ALL SELECT a.r, b.r FROM doc a JOIN doc b ON len(a.w) = 0 AND len(b.w) = 0 AND a.r <> b.r),
+reach AS (WITH RECURSIVE t AS (SELECT r AS x, r AS y FROM doc UNION SELECT t.x, link.y FROM t JOIN link ON link.x = t.y) SELECT * FROM t),
+class AS (SELECT x AS r, min(doc_id) AS class_id FROM reach JOIN doc ON doc.r = reach.y GROUP BY x)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM doc JOIN class USING (r)
+"""
+
+
+def _imatch() -> str:
+    m = imatch
+    subsets = ", ".join(f"({s}, {a}, {b}, {limit}, {s % len(m.DENSITIES) * (m.SUBSETS // len(m.DENSITIES)) + s // len(m.DENSITIES)})" for s, (a, b, limit) in enumerate(m.multipliers()))
+    code = lambda x: f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
+    number = lambda x: f"CAST('0x' || substr(md5({x}), 1, 7) AS INTEGER) + 1"
+    return f"""
+WITH subset(s, a, b, lim, place) AS (VALUES {subsets}),
+doc AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+nxt AS (SELECT r, doc_id, t, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r)) AS u FROM doc),
+ed AS (SELECT *, left(t, length(t) - length(t) // 2) || CASE WHEN length(t) < 2 THEN '' ELSE left(u, length(t) // 2) END AS e FROM nxt),
+kinds AS (SELECT r, 0 AS kind, t FROM ed UNION ALL SELECT r, 1, e FROM ed UNION ALL SELECT r, 2, u FROM ed),
+term AS (SELECT DISTINCT r, kind, w FROM (SELECT r, kind, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM kinds)),
+lex AS (SELECT w, {code('w')} AS code FROM term WHERE kind = 0 GROUP BY w HAVING count(*) >= greatest(2, {m.LOW} * (SELECT count(*) FROM doc)) AND count(*) <= {m.HIGH} * (SELECT count(*) FROM doc)),
+part AS MATERIALIZED (SELECT w, code, s, place FROM lex, subset WHERE (code % {m.PRIME} * a + b) % {m.PRIME} < lim),
+met AS (SELECT DISTINCT r, kind FROM term JOIN lex USING (w)),
+hashed AS MATERIALIZED (SELECT r, kind, place, {number("string_agg(CAST(code AS VARCHAR), ',' ORDER BY code)")} AS h FROM term JOIN part USING (w) GROUP BY r, kind, place),
+full_print AS MATERIALIZED (SELECT k.r, k.kind, p.place, CASE WHEN met.r IS NULL THEN {number("'text:' || md5(k.t)")} ELSE coalesce(h, 0) END AS h
+  FROM kinds k CROSS JOIN (SELECT DISTINCT place FROM subset) p LEFT JOIN met ON met.r = k.r AND met.kind = k.kind LEFT JOIN hashed ON hashed.r = k.r AND hashed.kind = k.kind AND hashed.place = p.place),
+near AS (SELECT a.r, b.kind, coalesce(CAST(count(*) FILTER (WHERE a.h = b.h AND a.h > 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE a.h + b.h > 0), 0), 0.0) AS n FROM full_print a JOIN full_print b ON a.r = b.r AND a.place = b.place AND a.kind = 0 GROUP BY a.r, b.kind),
+print AS (SELECT r, kind, string_agg(CAST(h AS VARCHAR), '.' ORDER BY place) AS f FROM full_print GROUP BY r, kind)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, p0.f AS fingerprint, p1.f AS edited_fingerprint, CAST(n1.n AS DOUBLE) AS near_edited, CAST(n2.n AS DOUBLE) AS near_next
+FROM ed JOIN print p0 ON p0.r = ed.r AND p0.kind = 0 JOIN print p1 ON p1.r = ed.r AND p1.kind = 1 JOIN near n1 ON n1.r = ed.r AND n1.kind = 1 JOIN near n2 ON n2.r = ed.r AND n2.kind = 2
+"""
+
+
+ORACLES = {"op1_dartminhash": _dartminhash(), "op8_imatch": _imatch(), "op9_suffix_dedup": REPEATS, "op5_quality_rules": _quality_rules(), "op6_sharding": _sharding()}
