@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions import policy_text, timekeys
@@ -81,6 +81,6 @@ def once_policies(policy_sub: DataFrame, block_policy: DataFrame) -> DataFrame:
 
 
 def first_by_subscriber(rows: DataFrame, order: str) -> DataFrame:
-    """Of several rows of a subscriber the first."""
-    w = Window.partitionBy("sub_id").orderBy(order)
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """Of several rows of a subscriber the first, by a partial aggregate."""
+    rest = [c for c in rows.columns if c != "sub_id"]
+    return rows.groupBy("sub_id").agg(F.min_by(F.struct(*rest), order).alias("r")).select("sub_id", "r.*")

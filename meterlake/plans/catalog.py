@@ -111,6 +111,9 @@ QUERIES = {
     "gate_personal": lambda d: gate.personal(d.batch, *d.gate_state[:2]).select("event_id", "sub_id", "path"),
     "gate_family": _gate_family,
     "approved_events": lambda d: gate.approved(d.batch, *d.gate_state),
+    "published_events": lambda d: gate.keep_approved(d.batch, gate.approved(d.batch, *d.gate_state)).select("event_id", "sub_id", "bytes"),
+    "block_time_pruned": lambda d: policy.pruned(d.block_time, fixtures.AS_OF),
+    "first_gift": lambda d: bootstrap.first_by_subscriber(d.presents.select(F.col("target_sub_id").alias("sub_id"), "present_data_id", "data_amount"), "present_data_id"),
     "control_parsed": lambda d: d.control.select("event_id", "kind", "seq"),
     "plan_latest": lambda d: control.plan_limits(d.control, d.plans),
     "lock_latest": lambda d: control.locks(d.control, d.locked),

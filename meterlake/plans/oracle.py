@@ -238,6 +238,9 @@ SELECT sub_id, kind, period, item, CAST(sum(amount) AS BIGINT) AS used FROM u GR
     "gate_personal": BASE + GATE + "SELECT event_id, sub_id, nullif(path, '') AS path FROM walk",
     "gate_family": BASE + GATE + "SELECT event_id, family_id, CASE WHEN family_id % 2 = 0 THEN 'PRIORITY' ELSE 'FIFO' END AS mode FROM fam",
     "approved_events": BASE + GATE + "SELECT event_id, path FROM walk WHERE path <> '' UNION ALL SELECT event_id, 'family' FROM fam",
+    "published_events": BASE + GATE + "SELECT event_id, sub_id, bytes FROM batch WHERE event_id IN (SELECT event_id FROM walk WHERE path <> '' UNION ALL SELECT event_id FROM fam)",
+    "block_time_pruned": BASE + "SELECT sub_id, CAST(1705505400 AS BIGINT) AS expire_epoch FROM subs WHERE sub_id % 13 = 5 AND sub_id % 2 = 0",
+    "first_gift": BASE + "SELECT sub AS sub_id, min(event_id) AS present_data_id, arg_min(CAST(floor(abs(value)) * 1000 + 1000 AS BIGINT), event_id) AS data_amount FROM src WHERE event_id % 25 = 0 GROUP BY sub",
     "control_parsed": BASE + CONTROL + "SELECT 'c-' || CAST(seq AS VARCHAR) AS event_id, kind, seq FROM ctl",
     "plan_latest": BASE + CONTROL + "SELECT sub_id, CAST(coalesce((SELECT arg_max(amount, seq) FROM ctl WHERE kind = 'PLAN_CHANGED' AND sub = sub_id), plan_limit) AS BIGINT) AS plan_limit FROM plan_limit",
     "lock_latest": BASE + CONTROL + "SELECT sub_id FROM subs WHERE coalesce((SELECT arg_max(kind, seq) = 'SUBSCRIPTION_LOCKED' FROM ctl WHERE kind LIKE 'SUBSCRIPTION%' AND sub = sub_id), sub_id % 17 = 3)",
