@@ -44,6 +44,15 @@ def test_placement(spark, sample):
     assert sharding.assign_shards(sample.limit(0), sharding.shard_names(4), 101).count() == 0
 
 
+def test_written_shards(spark, tmp_path):
+    df = spark.range(2000).withColumnRenamed("id", "doc_id")
+    sharding.write_shards(df, str(tmp_path / "s"), sharding.shard_names(4), 101, files_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "s")).toPandas()
+    want = sharding.assign_shards(df, sharding.shard_names(4), 101).toPandas()
+    assert dict(zip(back.doc_id, back.shard, strict=True)) == dict(zip(want.doc_id, want.shard, strict=True))
+    assert want.shard.value_counts().max() < 1.2 * want.shard.value_counts().min()
+
+
 # quality rules
 
 
