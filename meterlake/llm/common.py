@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The columns of the documents table; extra columns of an input are carried along untouched.
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,6 +60,11 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row(rows: DataFrame, ddl: str) -> T.StructType:
+    """The schema of rows' struct column `row` and of columns made beside it; names of the struct's fields may be any."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(ddl).fields])
+
+
 def bind(expr: Column, body) -> Column:
     """body(value of expr), with expr evaluated once a row; the optimiser would copy a projected column into lambdas."""
     return F.get(F.transform(F.array(expr), body), F.lit(0))

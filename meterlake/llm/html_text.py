@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_row
+
 #: A tag, a comment or another declaration; or a start of one that the page's end cuts off.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -194,5 +196,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without the html column, with text and n_chars; columns of these names are replaced."""
     kept = [c for c in pages.columns if c not in (column, "text", "n_chars")]
     rows = pages.select(F.struct(*kept).alias("row"), F.col(column).cast("string").alias("html"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_extract(trained()), f"row {kind}, text string, n_chars bigint").select("row.*", "text", "n_chars")
+    return rows.mapInArrow(_extract(trained()), with_row(rows, "text string, n_chars bigint")).select("row.*", "text", "n_chars")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_row
 from .pieces import MODEL, Vocabulary, batches_of, by_length, code_points, distinct_words, hashed, prefixes, split_words, vocabulary
 
 #: Documents of a language that its model is fitted on, about; and rounds of expectation maximisation.
@@ -190,8 +191,7 @@ def train(docs: DataFrame, path: str = MODEL, sample: int = SAMPLE) -> tuple[lis
 def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str = MODEL, text: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score (the probability of lang_pred against the other languages)."""
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in (text, "lang_pred", "score")]).alias("row"), F.col(text).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
     # pieces that no sample has share one value a language and stay out of what is sent to the tasks
     rest = prob[vocabulary(path).usable].min(0) if langs else np.zeros(0)
     ids = np.flatnonzero((prob > rest).any(1)) if langs else np.zeros(0, np.int64)
-    return rows.mapInArrow(_predict(path, langs, ids, prob[ids], rest), f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(_predict(path, langs, ids, prob[ids], rest), with_row(rows, "lang_pred string, score double")).select("row.*", "lang_pred", "score")
