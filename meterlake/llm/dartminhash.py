@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import dropped, written
 from .fingerprints64 import M1, M2, M3, mix, text_parts, whole_texts
 from .graph import components
 from .shingles import distinct, shingles, words
@@ -191,13 +191,19 @@ def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: fl
     rows equal to the one that stands for it. weighted: shingle counts are weights; else each distinct shingle weighs one."""
     base = docs.select(row_id(key).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col(key).alias("key"))
     kind = base.schema["key"].dataType.simpleString()
-    signed = written(base.mapInArrow(_sign(n, rows, bands, weighted), f"id bigint, key {kind}, node bigint, size bigint, bands array<bigint>, sketch binary"), "signatures")
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+        made.append(written(df, label, release))
+        return made[-1]
+
+    signed = kept(base.mapInArrow(_sign(n, rows, bands, weighted), f"id bigint, key {kind}, node bigint, size bigint, bands array<bigint>, sketch binary"), "signatures", True)
     band = signed.select("node", F.explode("bands").alias("band"))
     buckets = band.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("band", "center")
-    members = written(band.join(buckets, "band").groupBy("band", "node").agg(F.first("center").alias("center")), "members")
+    members = kept(band.join(buckets, "band").groupBy("band", "node").agg(F.first("center").alias("center")), "members", True)
     # one text for each node that meets another, in the order of a hash, not of the input
     nodes = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
-    texts = written(nodes.join(base.select("id", "text"), "id").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts")
+    texts = kept(nodes.join(base.select("id", "text"), "id").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts", True)
     check, agree = _checked(n, similarity, weighted), AGREE * similarity / SIMILARITY
 
     def sides(pairs: DataFrame, column: str) -> DataFrame:
@@ -206,7 +212,7 @@ def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: fl
 
     def passed(pairs: DataFrame) -> DataFrame:
         near = sides(pairs, "sketch").mapInArrow(_agreeing(agree), "a bigint, b bigint")
-        return written(sides(near, "text").mapInArrow(check, "a bigint, b bigint"), "links", release=False)
+        return kept(sides(near, "text").mapInArrow(check, "a bigint, b bigint"), "links")
 
     links = passed(members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
     component = components(links)
@@ -214,22 +220,25 @@ def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: fl
     def undecided() -> DataFrame:
         known = members.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
         several = known.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band")
-        return written(known.join(several, "band", "left_semi"), "open", release=False)
+        return kept(known.join(several, "band", "left_semi"), "open")
 
     rest = undecided()
     tokens = texts.join(rest.select("node").distinct(), "node").select("node", "text").mapInArrow(_tokens(n, weighted), "node bigint, tokens array<bigint>")
-    ranked = written(by_frequency(tokens), "tokens", release=False)
+    ranked = kept(by_frequency(tokens), "tokens")
     original = rest.join(ranked.select("node", "common"), "node").groupBy("band").agg(F.max(F.struct("common", "node", "component")).alias("top"))
     pairs = rest.join(original, "band").where("component != top.component").select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
     links = links.unionByName(passed(pairs))
     component = components(links)
     rest = undecided().groupBy("node").agg(F.first("component").alias("component"))
-    links = links.unionByName(passed(prefix_pairs(ranked.join(rest, "node"), similarity)))
+    links = links.unionByName(passed(prefix_pairs(ranked.join(rest, "node"), similarity, kept)))
     component = components(links)
-    released(docs.sparkSession)
     named = signed.select("id", "key", "node").join(component, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
     lead = named.groupBy("component").agg(F.min(F.struct("key", "id")).alias("lead"))
-    return named.join(lead, "component").select("id", "key", F.col("lead.key").alias("class_id"), (F.col("id") == F.col("lead.id")).alias("keep"))
+    out = named.join(lead, "component").select("id", "key", F.col("lead.key").alias("class_id"), (F.col("id") == F.col("lead.id")).alias("keep"))
+    out = written(out, "classes")
+    for table in made:  # nothing reads them any more
+        dropped(table)
+    return out
 
 
 def by_frequency(sets: DataFrame) -> DataFrame:
@@ -239,12 +248,12 @@ def by_frequency(sets: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("size"), F.avg(F.log("df")).alias("common"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
 
 
-def prefix_pairs(ordered: DataFrame, t: float) -> DataFrame:
+def prefix_pairs(ordered: DataFrame, t: float, write=written) -> DataFrame:
     """(a, b): pairs of sets (node, component, size, order) of different components; all that have a Jaccard similarity of t or more are
     among them."""
     prefix = F.slice("order", F.lit(1), (F.col("size") * (1 - t) + 1 + 1e-9).cast("int"))
     rows = ordered.select("node", "component", "size", F.posexplode(prefix).alias("pos", "o")).where("o.df > 1").select("node", "component", "size", "pos", F.col("o.h").alias("h"))
-    rows = written(rows, "prefixes", release=False)
+    rows = write(rows, "prefixes", release=False)
     eps, level = F.lit(1e-6), lambda s: F.floor(F.log(s) / F.lit(0.2)).cast("int")
     small = rows.where(F.col("pos") <= F.col("size") * ((1 - t) / (1 + t)) + eps).withColumn("level", level(F.col("size").cast("double")))
     most = F.least(F.col("size").cast("double"), (F.col("size") - F.col("pos")) * ((1 + t) / t) - F.col("size") + eps)
@@ -253,7 +262,7 @@ def prefix_pairs(ordered: DataFrame, t: float) -> DataFrame:
     by = ["h", "level"]
     counts = small.select(*by, "component").unionByName(large.select(*by, "component")).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*by, F.col("top.component").alias("main"))
-    main = written(main, "mains", release=False)
+    main = write(main, "mains", release=False)
     name = lambda df, x: df.join(main, by).select(*by, "main", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "size", "pos")])
     s, g = name(small, "s"), name(large, "g").drop("main")
     need = (F.col("s_size") + F.col("g_size")) * (t / (1 + t)) - eps

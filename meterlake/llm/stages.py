@@ -24,10 +24,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that the corpus holds more than once; documents of which nothing but space is left go."""
-    out = suffix_dedup.remove_repeats(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"))
+    rest = [c for c in docs.columns if c != "text"]  # texts travel once
+    out = suffix_dedup.remove_repeats(docs.select(F.struct(*rest, F.col("text").isNull().alias("no text")).alias("doc"), "doc_id", "text"))
     out = out.where(~((F.col("n_removed") > 0) & F.col("kept_text").rlike(r"^\s*$")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("doc.text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("doc.n_chars"))}
+    new = {"text": F.when(~F.col("doc.`no text`"), F.col("kept_text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("doc.n_chars"))}
     return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 

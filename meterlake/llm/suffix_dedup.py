@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_row, written
 from .fingerprints64 import Rolling, packed, received, sent, slices, text_parts
 
 WIDTH = 200
@@ -328,14 +328,15 @@ def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gap: int = GAP, key: str = "doc_id", texts: bool = True) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and, if texts are asked for, kept_text; one row out for each row in."""
+    """docs without their text, with n_bytes, n_removed, n_spans, kept_sha256 and, if texts are asked for, kept_text; one row out for each
+    row in."""
     if not 8 <= gap <= width - 8 or gap > 255:
         raise ValueError("gap must leave room for a core of eight bytes and fit a byte")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * texts]
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     # the row travels as one struct, so that no column of the input meets a name used here; rows with the same key are equal in
     # id and text, and get equal answers
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in made and (texts or c != "text")]).alias("row"), text, F.xxhash64(F.col(key), text).alias("id"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in (*made, "text")]).alias("row"), text, F.xxhash64(F.col(key), text).alias("id"))
     parts = parts_for(docs.select("text"))
     parsed = rows.where(F.octet_length("text") >= width).select("id", "text").mapInArrow(_parse(width, gap, parts), "part int, blob binary")
     packs, answers = "part int, blob binary", "key bigint, blob binary, looks boolean"
@@ -354,8 +355,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gap: int = GAP, key: str
     with_edge = at_edge.join(places, F.col("id") == F.col("key"), "left").drop("key")
     inside = joined.where("found and not looks").withColumn("places", F.lit(None).cast("binary"))
     cut_in = with_edge.unionByName(inside).select("row", F.col("text").cast("binary").alias("raw"), "phrases", "places")
-    row = rows.schema["row"].dataType.simpleString()
-    cut = cut_in.mapInArrow(_cut(width), f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+    cut = cut_in.mapInArrow(_cut(width), with_row(rows, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"))
     none = F.lit(0).cast("bigint")
     same = joined.where("not found").select(
         "row", F.col("size").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("digest").alias("kept_sha256"), F.col("text").alias("kept_text"),
