@@ -18,6 +18,8 @@ no words and fails the base rules; equal rows get equal results, one row out for
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +38,24 @@ MAX_LOST_PERCENT = 50
 CLOSING = r"[.!?:;,\x22')\]…”’»]$"
 MENU = r"[|›»→]| > | / | · "
 BOILERPLATE = (
-    r"(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|licensed under|"
-    r"subscribe to our|sign up for|skip to content|click here|lorem ipsum|copyright \(c\)|powered by"
-)
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "licensed under", "subscribe to our", "sign up for", "skip to content",
+    "click here", "lorem ipsum", "copyright (c)", "powered by",
+)
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({NON_SPACE}+)"), F.lit(1))
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """How many words of an array are in windows found twice or more in it."""
 
     def marked(grams: Column) -> Column:
-        ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
             twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["g"] == x["g"]) | (F.get(s, k + 1)["g"] == x["g"]))
-            return F.array_sort(F.transform(twice, lambda x: x["i"]))
+            return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
         def covered(at: Column) -> Column:
             steps = F.transform(at, lambda x, k: F.least(F.lit(window), F.coalesce(F.get(at, k + 1) - x, F.lit(window))))
@@ -76,15 +78,20 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """The length of a text without the runs of a pattern: fewer matches than one for each character."""
+    return F.length(F.regexp_replace(text, F.lit(pattern), F.lit("")))
+
+
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails a rule other than repetition."""
-    upper = _count(line, "[A-Z]")
-    chars = _count(line, NON_SPACE)
+    upper = F.length(line) - _without(line, "[A-Z]+")
     words = _count(line, f"{NON_SPACE}+")
-    shouting = (upper >= 8) & (upper > _count(line, "[a-z]"))
-    punctuation = (5 * _count(line, rf"[!?]{{2,}}({SPACE}|$)") > words) | (10 * _count(line, SYMBOLS) > chars)
+    shouting = (upper >= 8) & (upper > F.length(line) - _without(line, "[a-z]+"))
+    punctuation = (5 * _count(line, rf"[!?]{{2,}}({SPACE}|$)") > words) | (10 * _count(line, SYMBOLS) > _without(line, f"{SPACE}+"))
     navigation = (words <= 12) & ~F.rtrim(line).rlike(CLOSING) & line.rlike(MENU)
-    return shouting | punctuation | navigation | line.rlike(BOILERPLATE)
+    boilerplate = bind(F.lower(line), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
+    return shouting | punctuation | navigation | boilerplate
 
 
 def clean_lines(text: Column) -> Column:
@@ -97,18 +104,11 @@ def judge(df: DataFrame) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean_text"]
     text = blank_null()
     full = bind(F.split(text, "\n"), lambda a: bind(F.filter(a, lambda x: x.rlike(NON_SPACE)), lambda b: F.size(b) - F.size(F.array_distinct(b))))
-    base = df.drop(*made).withColumns(
-        {
-            "n_words": _count(text, f"{NON_SPACE}+").cast("bigint"),
-            "word_chars": _count(text, NON_SPACE).cast("bigint"),
-            "n_symbols": _count(text, SYMBOLS).cast("bigint"),
-            "n_dup_lines": full.cast("bigint"),
-            "n_repeat_words": repeat_words(words_of(text)),
-            "clean_text": F.array_join(clean_lines(text), "\n"),
-        }
-    )
+    counts = bind(words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
+    base = df.drop(*made).withColumns({"n_symbols": _count(text, SYMBOLS).cast("bigint"), "n_dup_lines": full.cast("bigint"), "clean_text": F.array_join(clean_lines(text), "\n"), "_counts": counts})
+    base = base.withColumns({c: F.col(f"_counts.{c}") for c in ("n_words", "word_chars", "n_repeat_words")}).drop("_counts")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = F.col("word_chars") - _count(F.col("clean_text"), NON_SPACE)
+    lost = F.col("word_chars") - _without(F.col("clean_text"), f"{SPACE}+")
     out = base.withColumns({"base_failed": failed, "lost_chars": lost})
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars"))
     return out.withColumn("kept", kept)

@@ -22,7 +22,8 @@ SELECT doc_id, slot, CAST(shards[slot + 1] AS INTEGER) AS shard FROM placed, own
 
 def _quality_rules() -> str:
     count = lambda x, pattern: f"len(regexp_extract_all({x}, '{pattern}'))"
-    closing, menu, phrases = (re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", p).replace("'", "''") for p in (rules.CLOSING, rules.MENU, rules.BOILERPLATE))
+    closing, menu = (re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", p).replace("'", "''") for p in (rules.CLOSING, rules.MENU))
+    phrases = " OR ".join(f"contains(lower(l), '{p}')" for p in rules.BOILERPLATE)
     words = f"{rules.NON_SPACE}+"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -37,7 +38,7 @@ full_line AS (SELECT r, l, row_number() OVER (PARTITION BY r, l ORDER BY k) AS n
     {count('l', f'[!?]{{2,}}({rules.SPACE}|$)')} AS marks, {count('l', rules.SYMBOLS)} AS symbols
   FROM line WHERE regexp_matches(l, '{rules.NON_SPACE}')),
 judged AS (SELECT *, nth > 1 OR (upper_n >= 8 AND upper_n > lower_n) OR 5 * marks > words OR 10 * symbols > chars
-    OR (words <= 12 AND NOT regexp_matches(rtrim(l, ' '), '{closing}') AND regexp_matches(l, '{menu}')) OR regexp_matches(l, '{phrases}') AS bad
+    OR (words <= 12 AND NOT regexp_matches(rtrim(l, ' '), '{closing}') AND regexp_matches(l, '{menu}')) OR {phrases} AS bad
   FROM full_line),
 lines AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE bad), 0) AS lost FROM judged GROUP BY r),
 base AS (SELECT doc_id, {count('text', words)} AS n_words, {count('text', rules.NON_SPACE)} AS word_chars, {count('text', rules.SYMBOLS)} AS n_symbols,
