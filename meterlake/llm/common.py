@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import time
@@ -19,13 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meterlake-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+    """A folder of this application in the one that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset
+    (local tests). It goes when the application ends."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not base:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="meterlake-"))
+            base = context.getCheckpointDir()
+        _folders[app] = f"{base.rstrip('/')}/meterlake-{app}"
+        atexit.register(_deleted, spark, _folders[app])
+    return _folders[app]
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the application has stopped before the process
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str, release: bool = True) -> DataFrame:
