@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 The tokens of a corpus are counted by cell (source, language, topic). Raking multiplies the cells' weights, margin by margin and round by
-round, until each margin's shares are the target's; the weights then differ from the counts by a factor for each source, language and topic.
+round, until each margin's shares are the target's to TOLERANCE; the weights then differ from the counts by a factor for each source,
+language and topic. Targets that no weights meet at once are warned of, with how far off they stay.
 A document of a cell is drawn with probability rate * weight / tokens of the cell. The rate is the largest that keeps every probability at
 most 1, or the one asked for if that is smaller, so the expected tokens of the draw have the target margins exactly. Draws are hashes of the
 document's key and text, so a run can be repeated and rows don't depend on each other.
@@ -12,8 +13,8 @@ margin's target is tempered: shares to the power TEMPER, so large sources shrink
 The topic of a document is one of TOPICS classes of words by hash: the one whose share of the text's words exceeds its share of the corpus
 most. It stands in for a topic model and is a column like the others: an input's own `topic` column is used where asked for.
 
-Cells are a table like any other, never collected: there may be millions of sources. A round is three small aggregates and joins; only the
-largest deviation of a margin reaches the driver.
+Cells are a table like any other, never collected: there may be millions of sources. Up to AT_ONCE cells are raked by one task; beyond, a
+round is three small aggregates and joins. Only the largest deviation of a margin reaches the driver.
 
 Cases: null source or language is a value of its own; null and empty texts have no tokens, weigh nothing and are never drawn; repeated rows
 count and are drawn together; an empty input gives an empty result.
@@ -21,18 +22,26 @@ count and are drawn together; an empty input gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bind, blank_null, dropped, written
 
 TOPICS = 8
 TEMPER = 0.7
 RATE = 1.0
-ROUNDS = 12
-TOLERANCE = 1e-4
+#: Raking ends when no margin is off by more, or when so many rounds bring it no nearer.
+TOLERANCE = 1e-6
+PATIENCE = 50
+#: Cells that one task rakes in memory.
+AT_ONCE = 1 << 20
 MARGINS = ("source", "lang", "topic")
 SEPARATORS = r"[\x20\x09-\x0D]+"
 DRAWS = 1 << 40
@@ -78,13 +87,44 @@ def targets_for(cells: DataFrame, margin: str, given: dict | None = None, temper
     return sums.select(F.col(margin).alias("_value"), (F.col("weight") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (margins, tokens) with weight: shares whose margins are the targets. Cells that no weights can serve get none.
-
-    Every step writes the cells with one margin set right; it moves one row a cell and one a value.
-    """
-    state, first = cells.withColumn("weight", F.col("tokens").cast("double")), True
-    for step in range(rounds):
+def settled(trail: list[float], tolerance: float) -> bool:
+    """Whether raking is done, from the largest deviation of each round: within the tolerance, or no nearer than PATIENCE rounds ago."""
+    return trail[-1] < tolerance or (len(trail) > PATIENCE and trail[-1] > 0.99 * trail[-1 - PATIENCE])
+
+
+def _rake_at_once(margins: list[str], tolerance: float):
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        weight = rows["tokens"].to_numpy().astype(float)
+        steps = []
+        for m in margins:
+            code = pc.dictionary_encode(rows[m].combine_chunks(), null_encoding="encode")
+            code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
+            goal = np.zeros(code.max() + 1)
+            goal[code] = rows[f"_target_{m}"].to_numpy()
+            steps.append((code, goal))
+        trail: list[float] = []
+        while not trail or not settled(trail, tolerance):
+            worst = 0.0
+            for code, goal in steps:
+                now = np.bincount(code, weight, len(goal))
+                off = np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[code]
+                weight = weight * off
+                worst = max(worst, np.abs(off[weight > 0] - 1.0).max(initial=0.0))
+            trail.append(worst)
+        out = rows.drop_columns([f"_target_{m}" for m in margins]).append_column("weight", pa.array(weight)).append_column("_worst", pa.array(np.full(len(weight), trail[-1])))
+        yield from out.to_batches(1 << 14)
+
+    return run
+
+
+def _rake_tables(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float) -> tuple[DataFrame, float]:
+    """Every step writes the cells with one margin set right and drops the state before; it moves one row a cell and one a value."""
+    state, first, trail = cells.withColumn("weight", F.col("tokens").cast("double")), True, []
+    while not trail or not settled(trail, tolerance):
         worst = 0.0
         for m, target in targets.items():
             now = state.groupBy(F.col(m).alias("_now")).agg(F.sum("weight").alias("now")).join(target, F.col("_now").eqNullSafe(F.col("_value")))
@@ -97,9 +137,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             if not first:
                 dropped(state)
             state, first = new, False
-        if step and worst < tolerance:
-            break
-    return state
+        trail.append(worst)
+    return state, trail[-1]
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, at_once: int = AT_ONCE) -> DataFrame:
+    """cells (margins, tokens) with weight: shares whose margins are the targets. Cells that no weights can serve get none.
+
+    Goes on until no margin is off by the tolerance; where no weights meet the targets, a warning tells how far off they stay. Up to
+    `at_once` cells are raked by one task in memory, more as tables.
+    """
+    if cells.count() > at_once:
+        raked, worst = _rake_tables(cells, targets, tolerance)
+    else:
+        rows = cells
+        for m, target in targets.items():
+            goal = target.select(F.col("_value").alias("_of"), F.col("target").alias(f"_target_{m}"))
+            rows = rows.join(goal, F.col(m).eqNullSafe(F.col("_of")), "left").drop("_of").fillna(0.0, [f"_target_{m}"])
+        rows = rows.repartition(1).sortWithinPartitions(*targets)
+        kind = T.StructType([*cells.schema.fields, T.StructField("weight", T.DoubleType()), T.StructField("_worst", T.DoubleType())])
+        seen = Observation()
+        raked = written(rows.mapInArrow(_rake_at_once(list(targets), tolerance), kind).observe(seen, F.max("_worst").alias("worst")).drop("_worst"), "weights", release=False)
+        worst = seen.get["worst"] or 0.0
+    if worst >= tolerance:
+        warnings.warn(f"mixing: no weights meet the targets of {', '.join(targets)} at once; the largest share off stays {worst:.2g} off", stacklevel=2)
+    return raked
 
 
 def probabilities(docs: DataFrame, targets: dict[str, dict] | None = None, rate: float = RATE, temper: float = TEMPER, margins=MARGINS) -> DataFrame:

@@ -386,6 +386,27 @@ def test_mixing_on_odd_rows(spark, sample):
     assert mixing.probabilities(mixing.described(sample.limit(0))).count() == 0
 
 
+def raked_margins(spark, rows, shares, **options):
+    cells = spark.createDataFrame(rows, "source string, lang string, topic int, tokens bigint")
+    out = mixing.rake(cells, {m: mixing.targets_for(cells, m, shares.get(m)) for m in mixing.MARGINS}, **options).toPandas()
+    return out, {m: out.groupby(m, dropna=False).weight.sum() for m in mixing.MARGINS}
+
+
+def test_raking_goes_on_until_slow_margins_meet(spark):
+    rows = [("a", "x", 0, 10**6), ("a", "y", 0, 30), ("b", "x", 0, 50), (None, "y", 0, 10**6)]
+    shares = {"source": {"a": 0.5, "b": 0.2}, "lang": {"x": 0.3}}
+    out, sums = raked_margins(spark, rows, shares)
+    assert np.allclose(sums["source"][["a", "b"]], [0.5, 0.2], atol=1e-6) and abs(sums["lang"]["x"] - 0.3) < 1e-6
+    same, _ = raked_margins(spark, rows, shares, at_once=0, tolerance=1e-4)
+    both = out.merge(same, on=["source", "lang", "topic"])
+    assert len(both) == 4 and np.allclose(both.weight_x, both.weight_y, atol=1e-3)
+
+
+def test_raking_tells_of_targets_that_no_weights_meet(spark):
+    with pytest.warns(UserWarning, match="no weights meet"):
+        raked_margins(spark, [("a", "x", 0, 10), ("b", "y", 0, 10)], {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}})
+
+
 def test_arrow_helpers():
     from meterlake.llm.fingerprints64 import received, sent, text_parts
 
