@@ -63,7 +63,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.described(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), texts=False)
-    out = mixing.probabilities(docs)
+    out = mixing.probabilities(docs, budget=mixing.BUDGET)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "drawn")
 
 

@@ -34,7 +34,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by the calibrated probabilities."""
     rows = mixing.described(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source", "lang"), texts=False)
-    return mixing.probabilities(rows).where("drawn").select("doc.*")
+    return mixing.probabilities(rows, budget=mixing.BUDGET).where("drawn").select("doc.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

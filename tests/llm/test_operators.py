@@ -407,6 +407,23 @@ def test_raking_tells_of_targets_that_no_weights_meet(spark):
         raked_margins(spark, [("a", "x", 0, 10), ("b", "y", 0, 10)], {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}})
 
 
+def test_a_tiny_cell_does_not_throw_away_the_rest(spark):
+    rows = [(f"s{i % 4}", "xy"[i % 7 > 4], i % 3, 900 + 13 * i) for i in range(80)] + [("tiny", "x", 0, 5), ("s0", "z", 1, 2)]
+    docs = spark.createDataFrame([(i, *r, i * 2654435761) for i, r in enumerate(rows)], "doc_id int, source string, lang string, topic int, n_tokens bigint, draw bigint")
+    out = mixing.probabilities(docs, budget=0.6).toPandas()
+    expected, total = out.n_tokens * out.probability, out.n_tokens.sum()
+    assert abs(expected.sum() / total - 0.6) < 1e-6 and out.probability.between(0, 1).all()
+    assert (out[(out.source == "tiny") | (out.lang == "z")].probability == 1).all()
+    sums = out.groupby("source").n_tokens.sum()[["s0", "s1", "s2", "s3"]] ** mixing.TEMPER
+    got = expected.groupby(out.source).sum()
+    assert np.allclose(got[sums.index] / (0.6 * total - 5), sums / sums.sum(), atol=1e-6)
+    cells = docs.groupBy(*mixing.MARGINS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
+    ready = mixing.budgeted(cells, {m: mixing.targets_for(cells, m) for m in mixing.MARGINS}, 0.6)
+    one, other = (mixing.rake(*ready, tolerance=1e-4, at_once=n).toPandas().set_index(list(mixing.MARGINS)).weight.sort_index() for n in (99, 0))
+    assert np.allclose(one, other, rtol=1e-3)
+    assert (mixing.probabilities(docs, budget=1.0).toPandas().probability > 1 - 1e-9).all()
+
+
 def test_arrow_helpers():
     from meterlake.llm.fingerprints64 import received, sent, text_parts
 
