@@ -25,7 +25,8 @@ from .common import with_row
 #: A tag, a comment or another declaration; or a start of one that the page's end cuts off.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|\"[^\"]*\"|'[^']*'")
+STYLES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # fixed values: elements by their roles in HTML
@@ -102,6 +103,15 @@ def _signed(attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def _unseen(attributes: str) -> bool:
+    """Whether an attribute hides the element; words in the values of others don't."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and STYLES.search(html.unescape(value))):
+            return True
+    return False
+
+
 def blocks(page: str):
     """(text, words, words in links, marked, in an article) of each block with text, in page order."""
     out, parts, state = [], [], {"linked": 0}
@@ -160,7 +170,7 @@ def blocks(page: str):
                     break
         article = top[3] or name in ("article", "main")
         marked = top[2] or name in MARKED or (name == "header" and not article) or (name not in ("html", "body") and bool(attributes) and _signed(attributes, article))
-        dropped = top[1] or name in DROPPED or (bool(attributes) and UNSEEN.search(attributes) is not None)
+        dropped = top[1] or name in DROPPED or (bool(attributes) and _unseen(attributes))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else n

@@ -353,6 +353,13 @@ def test_pages_table(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_hidden_is_an_attribute_not_a_word():
+    for shown in ('title="The hidden valley"', 'title="a hidden gem"', 'aria-label="Our hidden costs"', "data-x='display:none'", "title='aria-hidden=\"true\"'"):
+        assert [b[0] for b in html_text.blocks(f"<p {shown}>some text</p>")] == ["some text"], shown
+    for unseen in ("hidden", 'class="x" hidden', 'hidden=""', "HIDDEN='until-found'", 'aria-hidden="true"', "aria-hidden = true", 'style="color:red; display : none"', "style=visibility:hidden"):
+        assert html_text.blocks(f"<p {unseen}>some text</p>") == [], unseen
+
+
 # mixing
 
 
