@@ -16,6 +16,8 @@ CONTROL_SCHEMA = (
     "receiverSubId bigint, giverSubId bigint, giftId string, giftLimitBytes bigint, giftAmountBytes bigint, yyyyMM string, yyyyMMDD string"
 )
 MAX_POLL = 1000
+#: Encoding doubles the backslashes before a quote, so no string of Spark's (2^31 bytes at most) holds a message wrapped more often.
+MOST_WRAPS = 32
 
 
 def usage(values: DataFrame, column: str = "value") -> DataFrame:
@@ -34,8 +36,8 @@ def encode_usage(events: DataFrame, key: str = "family_id") -> DataFrame:
     return events.select(F.col(key).cast("string").alias("key"), F.to_json(body).alias("value"))
 
 
-def control(values: DataFrame, levels: int = 2, column: str = "value") -> DataFrame:
-    """Change events, unwrapped up to `levels` times (family messages: 1, subscription messages: any; 2 serves both)."""
+def control(values: DataFrame, levels: int = MOST_WRAPS, column: str = "value") -> DataFrame:
+    """Change events, unwrapped up to `levels` times: by default as often as any message can be wrapped."""
     e = F.from_json(policy_text.unwrapped(F.col(column).cast("string"), levels), CONTROL_SCHEMA)
     rows = values.select(*[c for c in values.columns if c != column], e.alias("e"))
     return rows.select(*[c for c in rows.columns if c != "e"], "e.*").withColumnsRenamed({"type": "kind", "eventId": "event_id"})

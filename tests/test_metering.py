@@ -153,3 +153,19 @@ def test_empty_tables(spark):
     events, plans, families, members, gifts = (spark.createDataFrame([], EVENT), *[spark.createDataFrame([], s) for s in ("sub_id bigint, plan_limit bigint", "family_id bigint, family_limit bigint", "family_id bigint, sub_id bigint, member_limit bigint", "sub_id bigint, gift_id string, yyyymm string, gift_limit bigint, score int")])
     allocated = allocate.allocate(events, plans, families, members, gifts)
     assert allocated.count() == 0 and allocate.split_gifts(allocated, gifts).count() == 0
+
+
+def test_control_messages_wrapped_often(spark):
+    import json
+
+    from meterlake.sources import decode
+
+    rows = []
+    for n in range(8):
+        text = json.dumps({"type": "PLAN_CHANGED", "eventId": f"e{n}", "subId": n, "planLimit": 7})
+        for _ in range(n):
+            text = json.dumps(text)
+        rows.append((text,))
+    got = decode.control(spark.createDataFrame([*rows, (None,), ("",)], "value string"))
+    assert sorted((r.event_id, r.kind, r.subId, r.planLimit) for r in got.where("event_id is not null").collect()) == [(f"e{n}", "PLAN_CHANGED", n, 7) for n in range(8)]
+    assert got.count() == 10
