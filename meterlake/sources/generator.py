@@ -67,11 +67,11 @@ def history_days(plans: DataFrame, as_of: str, months: int = 5) -> DataFrame:
 
 def history_apps(days: DataFrame, apps: DataFrame) -> DataFrame:
     """(sub_id, day, app_id, used): a day's usage over the live apps in a drawn order; the app of gifts has none."""
-    # a dimension of a few dozen apps
-    ids = [r[0] for r in apps.where(F.col("app_id") != GIFT_APP).orderBy("app_id").limit(1000).collect()]
+    ids = apps.where(F.col("app_id") != GIFT_APP).agg(F.collect_list(F.col("app_id").cast("bigint")).alias("_apps"))
+    days = days.select("sub_id", "day", "used").crossJoin(F.broadcast(ids))  # one row
     day = F.col("day")
     rank = F.array(*[F.lit(w) for w in APP_WEIGHTS])
-    shuffled = F.transform(F.sort_array(F.transform(F.lit(ids).cast("array<bigint>"), lambda a: F.struct(uniform("app", F.col("sub_id"), day, a).alias("u"), a.alias("a")))), lambda x: x["a"])
+    shuffled = F.transform(F.sort_array(F.transform("_apps", lambda a: F.struct(uniform("app", F.col("sub_id"), day, a).alias("u"), a.alias("a")))), lambda x: x["a"])
 
     def shares(apps: Column) -> Column:
         weights = F.transform(apps, lambda a, i: F.coalesce(F.get(rank, i), F.lit(APP_REST)) * (F.lit(0.8) + uniform("weight", F.col("sub_id"), day, a) * F.lit(0.5)))

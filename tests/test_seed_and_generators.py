@@ -51,3 +51,12 @@ def test_plan_check_and_live_source(spark, tmp_path):
         q.stop()
         spark.streams.removeListener(seen)
     assert "usage_rows_total" in seen.exposition()
+
+
+def test_history_over_more_than_a_thousand_apps(spark):
+    from meterlake.sources import generator
+
+    days = spark.sql("select 1L as sub_id, '20240101' as day, '202401' as yyyymm, 10000000L as used")
+    apps = spark.range(100_001, 101_201).withColumnRenamed("id", "app_id")
+    rows = generator.history_apps(days, apps).collect()
+    assert len({r.app_id for r in rows}) == 1200 and sum(r.used for r in rows) == 10_000_000
