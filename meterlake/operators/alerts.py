@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.quota import NO_ALERT, remaining_percent, threshold, used_percent
+from meterlake.functions.quota import remaining_percent, used_percent
 
 
-def fired(rows: DataFrame, quota: str, used: str, *keys: str, opening: DataFrame | None = None) -> DataFrame:
-    """rows that reach a lower level than any earlier row of their key, with threshold and remaining_pct. opening: (keys, last)."""
-    level = rows.withColumn("threshold", threshold(F.col(quota), F.col(used)).cast("int"))
-    earlier = Window.partitionBy(*keys).orderBy("kst", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.coalesce(F.min("threshold").over(earlier), F.lit(NO_ALERT))
-    if opening is not None:
-        level = level.join(opening, list(keys), "left")
-        last = F.least(last, F.coalesce("last", F.lit(NO_ALERT)))
-    out = level.withColumn("before", last).where(f"threshold <> {NO_ALERT} and threshold < `before`")
-    return out.withColumn("remaining_pct", remaining_percent(F.col(quota), F.col(used))).drop("before", "last")
+def plan_alerts(allocated: DataFrame) -> DataFrame:
+    """The events that bring a plan to a lower level for the first time in a month, with threshold and remaining_pct."""
+    return _fired(allocated.where("plan_alert is not null"), "plan_alert", "plan_limit", "plan_used")
 
 
-def plan_alerts(allocated: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    """A plan counts by its own period, but fires once a level and month."""
-    return fired(allocated.where("plan_take > 0"), "plan_limit", "plan_used", "sub_id", "yyyymm", opening=opening)
+def family_alerts(allocated: DataFrame) -> DataFrame:
+    return _fired(allocated.where("family_alert is not null"), "family_alert", "family_limit", "family_used")
 
 
-def family_alerts(allocated: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    return fired(allocated.where("family_take > 0"), "family_limit", "family_used", "family_id", "yyyymm", opening=opening)
+def gift_alerts(split: DataFrame) -> DataFrame:
+    return _fired(split.where("threshold is not null"), "threshold", "gift_limit", "gift_used")
 
 
-def gift_alerts(split: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    return fired(split, "gift_limit", "gift_used", "sub_id", "gift_id", "yyyymm", opening=opening)
+def _fired(rows: DataFrame, level: str, quota: str, used: str) -> DataFrame:
+    return rows.withColumns({"threshold": F.col(level), "remaining_pct": remaining_percent(F.col(quota), F.col(used))})
 
 
 def _metrics(provided: Column, used: Column) -> tuple[Column, Column]:
@@ -40,24 +32,29 @@ def _metrics(provided: Column, used: Column) -> tuple[Column, Column]:
     return p.cast("string"), F.when(p > 0, F.least(u, p)).otherwise(u).cast("string")
 
 
-def _outbox(rows: DataFrame, kind: str, sub: Column, family: Column, gift: Column, owner: Column, quota: str, used: str) -> DataFrame:
-    provided, spent = _metrics(F.col(quota), F.col(used))
-    alert_id = F.sha2(F.concat_ws("|", F.lit(kind), "event_id", owner, F.col("threshold").cast("string")), 256)
-    return rows.select(
-        alert_id.alias("alert_id"), F.lit("user-alert").alias("aggregatetype"), owner.alias("aggregateid"), F.lit("USAGE_THRESHOLD").alias("event_type"), F.lit(kind).alias("alert_type"), "event_id",
-        sub.cast("bigint").alias("sub_id"), family.cast("bigint").alias("family_id"), F.col("threshold").cast("string").alias("threshold"), gift.cast("string").alias("gift_id"), provided.alias("provided_amount"),
-        used_percent(F.col("remaining_pct")).cast("string").alias("used_percent"), spent.alias("used_amount"), F.col("kst").alias("created_time"),
-    )
-
-
-def outbox(plan: DataFrame, family: DataFrame, gift: DataFrame) -> DataFrame:
-    """Alerts of the three kinds; ids are digests of what they say, so a replay writes the same rows."""
+def outbox(allocated: DataFrame) -> DataFrame:
+    """Alerts of the three kinds, in one pass over the applied events; ids are digests of what they say, so a replay writes the same rows."""
     none = F.lit(None)
-    return (
-        _outbox(plan, "PLAN_REMAINING", F.col("sub_id"), none, none, F.concat(F.lit("sub:"), F.col("sub_id").cast("string")), "plan_limit", "plan_used")
-        .unionByName(_outbox(family, "FAMILY_POOL_REMAINING", none, F.col("family_id"), none, F.concat(F.lit("family:"), F.col("family_id").cast("string")), "family_limit", "family_used"))
-        .unionByName(_outbox(gift, "GIFT_REMAINING", F.col("sub_id"), none, F.col("gift_id"), F.concat(F.lit("gift:"), F.col("gift_id")), "gift_limit", "gift_used"))
-    )
+
+    def alert(kind: str, sub: Column, family: Column, gift: Column, owner: Column, level: Column, quota: Column, used: Column) -> Column:
+        provided, spent = _metrics(quota, used)
+        return F.struct(
+            F.lit(kind).alias("alert_type"), owner.alias("aggregateid"), sub.cast("bigint").alias("sub_id"), family.cast("bigint").alias("family_id"), level.cast("string").alias("threshold"),
+            gift.cast("string").alias("gift_id"), provided.alias("provided_amount"), used_percent(remaining_percent(quota, used)).cast("string").alias("used_percent"), spent.alias("used_amount"),
+        )
+
+    sub, family = F.col("sub_id"), F.col("family_id")
+    plan = F.when(F.col("plan_alert").isNotNull(), alert("PLAN_REMAINING", sub, none, none, F.concat(F.lit("sub:"), sub.cast("string")), F.col("plan_alert"), F.col("plan_limit"), F.col("plan_used")))
+    pool = F.when(F.col("family_alert").isNotNull(), alert("FAMILY_POOL_REMAINING", none, family, none, F.concat(F.lit("family:"), family.cast("string")), F.col("family_alert"), F.col("family_limit"), F.col("family_used")))
+    paid = F.filter(F.coalesce("gift_parts", F.array()), lambda g: g["threshold"].isNotNull())
+    gifts = F.transform(paid, lambda g: alert("GIFT_REMAINING", F.col("sub_id"), none, g["gift_id"], F.concat(F.lit("gift:"), g["gift_id"]), g["threshold"], g["gift_limit"], g["gift_used"]))
+    some = allocated.where("plan_alert is not null or family_alert is not null or exists(gift_parts, g -> g.threshold is not null)")
+    each = some.select("event_id", "kst", F.explode(F.array_compact(F.concat(F.array(plan, pool), gifts))).alias("a"))
+    alert_id = F.sha2(F.concat_ws("|", "a.alert_type", "event_id", "a.aggregateid", "a.threshold"), 256)
+    return each.select(
+        alert_id.alias("alert_id"), F.lit("user-alert").alias("aggregatetype"), "a.aggregateid", F.lit("USAGE_THRESHOLD").alias("event_type"), "a.alert_type", "event_id", "a.sub_id", "a.family_id",
+        "a.threshold", "a.gift_id", "a.provided_amount", "a.used_percent", "a.used_amount", F.col("kst").alias("created_time"),
+    )
 
 
 def payload(rows: DataFrame) -> DataFrame:
@@ -66,11 +63,10 @@ def payload(rows: DataFrame) -> DataFrame:
     return rows.select("alert_id", "aggregatetype", "aggregateid", F.col("event_type").alias("type"), F.to_json(F.struct(*[F.col(a).alias(b) for a, b in names.items()])).alias("payload"))
 
 
-def applied_log(allocated: DataFrame, split: DataFrame) -> DataFrame:
-    """One row for each applied event; gift details as JSON text, [] without gifts."""
-    detail = split.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(F.col("gift_id").alias("giftId"), F.col("take").alias("usedAmount")))).alias("d"))
-    rows = allocated.join(detail, "event_id", "left")
-    return rows.select(
+def applied_log(allocated: DataFrame) -> DataFrame:
+    """One row for each applied event; gift details as JSON text in order of use, [] without gifts."""
+    detail = F.to_json(F.transform("gift_parts", lambda g: F.struct(g["gift_id"].alias("giftId"), g["take"].alias("usedAmount"))))
+    return allocated.select(
         "event_id", "sub_id", "family_id", "app_id", F.col("kst").alias("occurred_at"), "yyyymm", "yyyymmdd", F.col("bytes").alias("usage_amount"), F.col("gift_take").alias("gift_used"),
-        F.col("plan_take").alias("plan_used"), F.col("family_take").alias("family_used"), F.coalesce(F.to_json("d"), F.lit("[]")).alias("gift_detail_json"),
+        F.col("plan_take").alias("plan_used"), F.col("family_take").alias("family_used"), F.coalesce(detail, F.lit("[]")).alias("gift_detail_json"),
     )

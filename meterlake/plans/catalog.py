@@ -35,8 +35,8 @@ class Domain:
     block_app = property(lambda s: fixtures.block_app(s.spark, s.dir))
     block_repeat = property(lambda s: fixtures.block_repeat(s.spark, s.dir))
     allocated = property(lambda s: allocate.allocate(s.events, s.plans, s.families, s.members, s.gifts))
-    split = property(lambda s: allocate.split_gifts(s.allocated, s.gifts))
-    log = property(lambda s: alerts.applied_log(s.allocated, s.split))
+    split = property(lambda s: allocate.split_gifts(s.allocated))
+    log = property(lambda s: alerts.applied_log(s.allocated))
     passing = property(lambda s: policy.passing(s.events, s.locked, s.block_time, s.block_app, s.block_repeat, fixtures.AS_OF))
     control = property(lambda s: control.once(decode.control(fixtures.control_messages(s.spark, s.dir))))
     policy_sub = property(lambda s: fixtures.policy_sub(s.spark, s.dir))
@@ -92,7 +92,7 @@ QUERIES = {
     "plan_alerts": lambda d: alerts.plan_alerts(d.allocated).select("event_id", "sub_id", "yyyymm", "threshold", "remaining_pct", "plan_used"),
     "family_alerts": lambda d: alerts.family_alerts(d.allocated).select("event_id", "family_id", "yyyymm", "threshold", "remaining_pct", "family_used"),
     "gift_alerts": lambda d: alerts.gift_alerts(d.split).select("event_id", "gift_id", "yyyymm", "threshold", "remaining_pct", "gift_used"),
-    "outbox_rows": lambda d: alerts.outbox(alerts.plan_alerts(d.allocated), alerts.family_alerts(d.allocated), alerts.gift_alerts(d.split)),
+    "outbox_rows": lambda d: alerts.outbox(d.allocated),
     "applied_log": lambda d: d.log,
     "rebuild_from_log": lambda d: rollups.rebuild(d.log),
     "rebuild_family": lambda d: rollups.rebuild_family(d.log),
@@ -137,9 +137,7 @@ QUERIES = {
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each applied event with its takes and the plan alert it fires."""
     d = Domain(spark, sf_dir)
-    allocated = d.allocated
-    fired = alerts.plan_alerts(allocated).select("event_id", F.col("threshold").alias("plan_threshold"))
-    return allocated.select("event_id", "sub_id", "family_id", "kst", "bytes", "gift_take", "plan_take", "family_take", "overflow").join(fired, "event_id", "left")
+    return d.allocated.select("event_id", "sub_id", "family_id", "kst", "bytes", "gift_take", "plan_take", "family_take", "overflow", F.col("plan_alert").alias("plan_threshold"))
 
 
 def _bound(make):

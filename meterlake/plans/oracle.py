@@ -5,7 +5,8 @@ from __future__ import annotations
 BASE = """
 WITH src AS (SELECT *, user_id + 1 AS sub FROM events),
 one AS (
-  SELECT 'evt-' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS event_id, sub AS sub_id, CASE WHEN sub % 11 = 0 THEN 0 ELSE (sub - 1) // 5 + 1 END AS family_id,
+  SELECT 'evt-' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS event_id, sub AS sub_id,
+    CASE WHEN sub % 11 = 0 THEN 0 ELSE (sub - 1) // 5 + 1 + CASE WHEN sub % 7 = 3 AND ts >= TIMESTAMP '2024-01-09' THEN 1 ELSE 0 END END AS family_id,
     CASE WHEN event_id % 499 = 0 THEN 0 WHEN event_id % 997 = 1 THEN -5 ELSE CAST(floor(value * 16384) AS BIGINT) END AS bytes,
     CASE WHEN event_id % 101 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) % 19 + 1 END AS app_id,
     ts + INTERVAL 1 DAY * CAST(sub % 3 * 15 AS INTEGER) AS occurred_at, event_id AS arrival_seq
@@ -18,7 +19,7 @@ subs AS (SELECT DISTINCT sub AS sub_id, CASE WHEN sub % 11 = 0 THEN 0 ELSE (sub
 plan_limit AS (SELECT sub_id, CASE sub_id % 5 WHEN 0 THEN -1 WHEN 1 THEN 10000000 WHEN 2 THEN 20000000 WHEN 3 THEN 40000000 ELSE 1048576 END AS plan_limit FROM subs),
 member AS (SELECT family_id, sub_id, CASE sub_id % 4 WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 3000000 ELSE 8000000 END AS member_limit, CASE WHEN family_id % 2 = 0 THEN sub_id * 7 % 5 ELSE -1 END AS priority FROM subs WHERE family_id > 0),
 family_limit AS (SELECT family_id, count(*) * 5242880 AS family_limit FROM member GROUP BY family_id),
-gift AS (SELECT sub_id, CAST(sub_id * 10 + n AS VARCHAR) AS gift_id, m AS yyyymm, 2000000 * n AS gift_limit, n AS score FROM subs, range(1, 3) AS r(n), (VALUES ('202401'), ('202402'), ('202403')) AS q(m) WHERE n <= sub_id % 3)
+gift AS (SELECT sub_id, CAST(sub_id * 10 + 3 - n AS VARCHAR) AS gift_id, m AS yyyymm, 2000000 * n AS gift_limit, n AS score FROM subs, range(1, 3) AS r(n), (VALUES ('202401'), ('202402'), ('202403')) AS q(m) WHERE n <= sub_id % 3)
 """
 
 ALLOCATED = """,
@@ -37,7 +38,7 @@ a8 AS (SELECT *, least(c3, pool) - least(c3 - asked, pool) AS family_take FROM a
 al AS (SELECT *, r2 - family_take AS overflow, sum(plan_take) OVER (PARTITION BY sub_id, period ORDER BY kst, event_id ROWS UNBOUNDED PRECEDING) AS plan_used,
     sum(family_take) OVER (PARTITION BY grp, yyyymm ORDER BY kst, event_id ROWS UNBOUNDED PRECEDING) AS family_used FROM a8),
 gl AS (SELECT *, sum(gift_limit) OVER (PARTITION BY sub_id, yyyymm ORDER BY score, gift_id ROWS UNBOUNDED PRECEDING) AS hi FROM gift),
-sp AS (SELECT al.event_id, al.sub_id, al.yyyymm, al.kst, gift_id, gift_limit, least(cum - bytes + gift_take, hi) - greatest(cum - bytes, hi - gift_limit) AS take, least(cum - bytes + gift_take, hi) - (hi - gift_limit) AS gift_used
+sp AS (SELECT al.event_id, al.sub_id, al.yyyymm, al.kst, gift_id, gift_limit, score, least(cum - bytes + gift_take, hi) - greatest(cum - bytes, hi - gift_limit) AS take, least(cum - bytes + gift_take, hi) - (hi - gift_limit) AS gift_used
   FROM al JOIN gl ON al.sub_id = gl.sub_id AND al.yyyymm = gl.yyyymm AND al.gift_take > 0 AND cum - bytes < hi AND hi - gift_limit < cum - bytes + gift_take)
 """
 
@@ -189,8 +190,10 @@ def _outbox() -> str:
     ])
 
 
-LOG = takes("""SELECT event_id, sub_id, family_id, app_id, kst AS occurred_at, yyyymm, yyyymmdd, bytes AS usage_amount, CAST(gift_take AS BIGINT) AS gift_used, CAST(plan_take AS BIGINT) AS plan_used, CAST(family_take AS BIGINT) AS family_used,
-  coalesce('[' || (SELECT string_agg('{"giftId":"' || gift_id || '","usedAmount":' || CAST(CAST(take AS BIGINT) AS VARCHAR) || '}', ',' ORDER BY gift_id) FROM sp WHERE sp.event_id = al.event_id) || ']', '[]') AS gift_detail_json FROM al""")
+LOG = takes("""SELECT al.event_id, sub_id, family_id, app_id, kst AS occurred_at, yyyymm, yyyymmdd, bytes AS usage_amount,
+  CAST(gift_take AS BIGINT) AS gift_used, CAST(plan_take AS BIGINT) AS plan_used, CAST(family_take AS BIGINT) AS family_used, coalesce('[' || d || ']', '[]') AS gift_detail_json
+FROM al LEFT JOIN (
+  SELECT event_id, string_agg('{"giftId":"' || gift_id || '","usedAmount":' || CAST(CAST(take AS BIGINT) AS VARCHAR) || '}', ',' ORDER BY score, gift_id) AS d FROM sp GROUP BY event_id) g USING (event_id)""")
 
 ORACLES = {
     "usage_total_month": BASE + "SELECT sub_id, yyyymm, CAST(sum(bytes) AS BIGINT) AS total_used FROM ev GROUP BY ALL",

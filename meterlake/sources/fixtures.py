@@ -9,6 +9,7 @@ from meterlake.functions.quota import DAILY_PLAN_LIMIT, MEMBER_LIMIT
 
 AS_OF = "2024-01-17 23:30:00"
 REPEAT_OFFSET = 10**9
+MOVED = "2024-01-09 00:00:00"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +17,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage messages in order of arrival, invalid and repeated ones among them."""
+    """Usage messages in order of arrival, invalid and repeated ones among them. One subscriber in seven joins the next family on MOVED."""
     sub = F.col("user_id") + 1
-    family = F.when(sub % 11 == 0, F.lit(0)).otherwise(F.floor((sub - 1) / 5) + 1).cast("bigint")
+    moved = F.when((sub % 7 == 3) & (F.col("ts").cast("timestamp_ntz") >= F.lit(MOVED).cast("timestamp_ntz")), F.lit(1)).otherwise(F.lit(0))
+    family = F.when(sub % 11 == 0, F.lit(0)).otherwise(F.floor((sub - 1) / 5) + 1 + moved).cast("bigint")
     amount = F.when(F.col("event_id") % 499 == 0, F.lit(0)).when(F.col("event_id") % 997 == 1, F.lit(-5)).otherwise(F.floor(F.col("value") * 16384)).cast("bigint")
     app = F.when(F.col("event_id") % 101 == 0, F.lit(None)).otherwise(F.get_json_object("props", "$.k").cast("bigint") % 19 + 1).cast("bigint")
     days = F.make_dt_interval((sub % 3 * 15).cast("int"))
@@ -59,7 +61,7 @@ def family(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gift(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("sub_id") % 3).cast("int")))).alias("score")
     rows = subscribers(spark, sf_dir).where("sub_id % 3 > 0").select("sub_id", n).select("sub_id", "score", F.explode(F.array(*[F.lit(m) for m in ("202401", "202402", "202403")])).alias("yyyymm"))
-    return rows.select("sub_id", (F.col("sub_id") * 10 + F.col("score")).cast("string").alias("gift_id"), "yyyymm", (F.col("score") * 2_000_000).cast("bigint").alias("gift_limit"), "score")
+    return rows.select("sub_id", (F.col("sub_id") * 10 + 3 - F.col("score")).cast("string").alias("gift_id"), "yyyymm", (F.col("score") * 2_000_000).cast("bigint").alias("gift_limit"), "score")
 
 
 def block_time(spark: SparkSession, sf_dir: str) -> DataFrame:

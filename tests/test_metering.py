@@ -24,7 +24,8 @@ def world(seed, n=150):
         s, day = r.choice(subs), r.choice([1, 2, 15, 31, 32, 40])
         month, d = ("202401", day) if day <= 31 else ("202402", day - 31)
         big = plans[s] == 1048576
-        events.append({"event_id": f"e{i:04d}", "sub_id": s, "family_id": family[s], "bytes": r.choice([1, 40, 333, 900]) * (500 if big else 1), "yyyymm": month, "yyyymmdd": f"{month}{d:02d}", "kst": f"{month[:4]}-{month[4:]}-{d:02d} {r.randrange(24):02d}:{r.randrange(3):02d}:00"})
+        home = family[s] % 3 + 1 if s in (2, 5) and day % 2 else family[s]  # two subscribers go to and fro between families
+        events.append({"event_id": f"e{i:04d}", "sub_id": s, "family_id": home, "bytes": r.choice([1, 40, 333, 900]) * (500 if big else 1), "yyyymm": month, "yyyymmdd": f"{month}{d:02d}", "kst": f"{month[:4]}-{month[4:]}-{d:02d} {r.randrange(24):02d}:{r.randrange(3):02d}:00"})
     return events, plans, families, members, gifts
 
 
@@ -48,7 +49,7 @@ def test_waterfall_equals_simulation(spark):
         allocated = allocate.allocate(ev, plans, families, members, gifts).persist()
         got = {r.event_id: (r.gift_take, r.plan_take, r.family_take, r.overflow) for r in allocated.collect()}
         assert got == takes
-        split = allocate.split_gifts(allocated, gifts).persist()
+        split = allocate.split_gifts(allocated).persist()
         sums = {r.event_id: r.s for r in split.groupBy("event_id").agg(F.sum("take").alias("s")).collect()}
         assert sums == {k: v[0] for k, v in takes.items() if v[0]}
         seen = {("plan", (r.sub_id, r.yyyymm), r.event_id, r.threshold) for r in alerts.plan_alerts(allocated).collect()}
@@ -57,6 +58,17 @@ def test_waterfall_equals_simulation(spark):
         assert seen == fired
 
 
+def test_gifts_and_plan_are_used_up_once_though_the_family_changes(spark):
+    ev, plans, families, members, gifts = frames(
+        spark, [{"event_id": f"e{i}", "sub_id": 1, "family_id": f, "bytes": 80, "kst": f"2024-01-0{i} 00:00:00", "yyyymm": "202401", "yyyymmdd": f"2024010{i}"} for i, f in ((1, 1), (2, 2))],
+        {1: 100}, {1: 500, 2: 30}, {(1, 1): -1}, {(1, "202401"): [("9", 10, 1), ("10", 15, 2)]},
+    )
+    out = allocate.allocate(ev, plans, families, members, gifts)
+    assert sorted((r.event_id, r.gift_take, r.plan_take, r.family_take, r.overflow) for r in out.collect()) == [("e1", 25, 55, 0, 0), ("e2", 0, 45, 30, 5)]
+    log = {r.event_id: r.gift_detail_json for r in alerts.applied_log(out).collect()}
+    assert log == {"e1": '[{"giftId":"9","usedAmount":10},{"giftId":"10","usedAmount":15}]', "e2": "[]"}  # in order of use, not of the ids as text
+
+
 def test_waterfall_with_opening_balances(spark):
     events, plans, families, members, gifts = world(77, 80)
     opening = {"plan": {(s, p): 100 for s in plans for p in ("202401", "202402")}, "member": {(f, s, m): 50 for f, s in members for m in ("202401", "202402")}, "pool": {(f, m): 130 for f in families for m in ("202401", "202402")}, "gift": {}}
@@ -152,7 +164,7 @@ def test_family_changes(spark):
 def test_empty_tables(spark):
     events, plans, families, members, gifts = (spark.createDataFrame([], EVENT), *[spark.createDataFrame([], s) for s in ("sub_id bigint, plan_limit bigint", "family_id bigint, family_limit bigint", "family_id bigint, sub_id bigint, member_limit bigint", "sub_id bigint, gift_id string, yyyymm string, gift_limit bigint, score int")])
     allocated = allocate.allocate(events, plans, families, members, gifts)
-    assert allocated.count() == 0 and allocate.split_gifts(allocated, gifts).count() == 0
+    assert allocated.count() == 0 and allocate.split_gifts(allocated).count() == 0
 
 
 def test_control_messages_wrapped_often(spark):
