@@ -23,9 +23,10 @@ def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
-def subscriber_limits(plans: DataFrame, members: DataFrame, gifts: DataFrame, gift_open: DataFrame | None = None) -> DataFrame:
-    """(sub_id, plan_limit, caps, buckets): a row a subscriber. caps: member limits by family; buckets: gifts by month, in order of use,
-    each with the stretch (lo, hi) that it covers of the month's running sum. Both are as long as a subscriber has families and gifts."""
+def subscriber_limits(plans: DataFrame, members: DataFrame, gifts: DataFrame, gift_open: DataFrame | None = None) -> list[DataFrame]:
+    """Tables by sub_id alone, so that events meet all of them where they lie: plan_limit; caps, the member limits by family; buckets, the
+    gifts by month in order of use, each with the stretch (lo, hi) that it covers of the month's running sum. The last two are arrays, as
+    long as a subscriber has families and gifts."""
     if gift_open is None:
         left = gifts.withColumn("gift_open", _zero())
     else:
@@ -36,7 +37,7 @@ def subscriber_limits(plans: DataFrame, members: DataFrame, gifts: DataFrame, gi
     bucket = F.struct("yyyymm", "lo", "hi", "score", "gift_id", "gift_limit", "gift_open")
     buckets = left.groupBy("sub_id").agg(F.sort_array(F.collect_list(bucket)).alias("buckets"))
     caps = members.groupBy("sub_id").agg(F.collect_list(F.struct("family_id", "member_limit")).alias("caps"))
-    return plans.select("sub_id", "plan_limit").join(caps, "sub_id", "full").join(buckets, "sub_id", "full")
+    return [plans.select("sub_id", "plan_limit"), caps, buckets]
 
 
 def _parts(buckets: Column, start: Column, end: Column) -> Column:
@@ -65,8 +66,9 @@ def allocate(events: DataFrame, plans: DataFrame, families: DataFrame, members:
     gift as threshold.
     """
     opening = opening or {}
-    limits = subscriber_limits(plans, members, gifts, opening.get("gift"))
-    rows = events.join(limits, "sub_id", "left")
+    rows = events
+    for limits in subscriber_limits(plans, members, gifts, opening.get("gift")):
+        rows = rows.join(limits, "sub_id", "left")
     rows = rows.withColumn("plan_limit", F.coalesce("plan_limit", _zero()))
     rows = rows.withColumn("plan_period", F.when(F.col("plan_limit") == DAILY_PLAN_LIMIT, F.col("yyyymmdd")).otherwise(F.col("yyyymm")))
     of_family = F.get(F.filter("caps", lambda c: c["family_id"] == F.col("family_id")), F.lit(0))["member_limit"]
@@ -75,8 +77,10 @@ def allocate(events: DataFrame, plans: DataFrame, families: DataFrame, members:
     for name in ("plan", "member"):
         rows = _opened(rows, name, opening)
 
-    def own(column: str | Column, *keys: str, until: int = 0, f=F.sum) -> Column:
-        return f(column).over(Window.partitionBy("sub_id", "yyyymm", *keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, until))
+    # a period is a prefix of the time, so ordering by it first changes nothing, and one sort serves windows by month and by period
+    def own(column: str, *keys: str, until: int = 0, f=F.sum) -> Column:
+        order = ORDER if keys else ("plan_period", *ORDER)
+        return f(column).over(Window.partitionBy("sub_id", "yyyymm", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, until))
 
     rows = rows.withColumn("cum_bytes", own("bytes").cast("bigint"))
     rows = rows.withColumn("gift_take", clip(F.col("bytes"), F.col("cum_bytes"), F.col("gift_cap")))
