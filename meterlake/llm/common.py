@@ -81,6 +81,16 @@ def with_row(rows: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([rows.schema["row"], *T.StructType.fromDDL(ddl).fields])
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """A struct of all columns but some, so that no column of an input meets a name that an operator uses; `row.*` takes it apart."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns if c not in without])
+
+
 def bind(expr: Column, body) -> Column:
     """body(value of expr), with expr evaluated once a row; the optimiser would copy a projected column into lambdas."""
     return F.get(F.transform(F.array(expr), body), F.lit(0))

@@ -22,29 +22,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers() -> tuple[np.ndarray, np.ndarray]:
+def powers(most: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64, for each i of a slice."""
-    if not _powers:
+    key = f"{most}"
+    if key + "up" not in _powers:
         with np.errstate(over="ignore"):
             for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                out = np.ones(SLICE + 1, np.uint64)
+                out = np.ones(most + 1, np.uint64)
                 n, step = 1, np.uint64(b)
                 while n < len(out):  # doubling: out[n:2n] = out[:n] * b**n
                     out[n : 2 * n] = out[: len(out[n : 2 * n])] * step
                     n, step = 2 * n, step * step
-                _powers[name] = out
-    return _powers["up"], _powers["down"]
+                _powers[key + name] = out
+    return _powers[key + "up"], _powers[key + "down"]
 
 
 class Rolling:
-    """Hashes of any substring of at least eight bytes of a buffer of at most SLICE bytes."""
+    """Hashes of any substring of at least eight bytes of a buffer."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, seed: int = 0):
         n = max(0, len(buf) - BYTES + 1)
         with np.errstate(over="ignore"):
             words = np.ndarray((n,), "<u8", np.ascontiguousarray(buf), 0, (1,)) if n else np.zeros(0, np.uint64)
-            self.at = mix(words)  # of the eight bytes at each position
-            up, self.down = powers()
+            self.at = mix(words ^ np.uint64(seed))  # of the eight bytes at each position
+            up, self.down = powers(max(SLICE, 1 << int(n).bit_length()))
             self.sums = np.zeros(n + 1, np.uint64)
             np.cumsum(self.at * up[:n], out=self.sums[1:])
 
@@ -110,6 +111,21 @@ def sent(parts: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts[first].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
+def sent_texts(parts: np.ndarray, records: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """The same for records that come with a text each, sizes bytes long, one after the other in data: (part, blob, texts)."""
+    at = np.cumsum(sizes) - sizes
+    order = np.argsort(parts, kind="stable")
+    batch = sent(parts, records)
+    parts, sizes, at = parts[order], sizes[order], at[order]
+    ends = np.cumsum(sizes)
+    place = np.repeat(at - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    flat = data[place]
+    last = np.flatnonzero(np.r_[parts[1:] != parts[:-1], True]) if len(parts) else np.zeros(0, np.int64)
+    cuts = np.r_[0, ends[last]].tolist()
+    texts = [flat[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["part", "blob", "texts"])
+
+
 def received(column, dtype: np.dtype) -> np.ndarray:
     """The records of the blobs made by sent()."""
     blobs = [b.as_py() for b in column]

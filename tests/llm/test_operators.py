@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import dartminhash, html_text, imatch, langid, mixing, pieces, pu_quality, quality_rules, sentencepiece_codec, sharding, suffix_dedup
+from meterlake.llm import dartminhash, html_text, imatch, langid, mixing, pieces, prefix_free, pu_quality, quality_rules, sentencepiece_codec, sharding, suffix_dedup
 from meterlake.llm.graph import components
 
 from .conftest import sha, words
@@ -101,6 +101,45 @@ def test_repeats_equal_brute_force(spark, width, gap, seed):
     assert rows_of(suffix_dedup.remove_repeats(df, width, gap), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, width)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_dictionary_and_parse_give_the_order_of_all_places(seed):
+    """Suffix arrays of dictionary and parse, merged, against sorting the strings; texts that repeat each other, or are one letter long."""
+    r, texts = random.Random(seed), []
+    for _ in range(r.randrange(1, 25)):
+        text = "".join(r.choice(["ab", "abcdefgh ", "a"][seed % 3]) for _ in range(r.randrange(8, 200)))
+        texts.append(text[:5] + r.choice(texts)[3:] if texts and r.random() < 0.6 else text)
+    data, n = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
+    starts, ends, width = np.cumsum(n) - n, np.cumsum(n), r.choice([9, 12, 20, 40])
+    places = np.concatenate([np.arange(a, max(a, b - width + 1)) for a, b in zip(starts, ends, strict=True)])
+    order, same = prefix_free.corpus_order(data, starts, ends, places, width, r.choice([3, 5, 9]))
+    found = [data[p : p + width].tobytes() for p in places[order]]
+    assert found == sorted(found) and sorted(order.tolist()) == list(range(len(places)))
+    assert same.tolist() == [i > 0 and found[i] == found[i - 1] for i in range(len(found))]
+    parse = prefix_free.Parse(data, starts, ends, 5)
+    phrases = {data[a : a + m].tobytes() for a, m in zip(parse.lead, parse.size, strict=True)}
+    assert len(phrases) == len(parse.lead)
+    for a, b, k in zip(parse.first, parse.end, parse.number, strict=True):
+        assert data[a:b].tobytes() == data[parse.lead[k] : parse.lead[k] + parse.size[k]].tobytes()
+
+
+def test_cores_are_ordered_in_packs_of_any_size():
+    r = random.Random(9)
+    base = [bytes(r.choices(b"abcd", k=60)) for _ in range(6)]
+    rec, data = np.zeros(60, suffix_dedup.CONTEXT), []
+    for i in range(60):
+        rec[i] = (i % 7, i, 0, 30, suffix_dedup.REP if i % 11 == 0 else 0)
+        data.append(r.choice(base)[: r.choice([40, 60])].ljust(60, bytes([97 + i % 3]))[:54])
+    flat, width = np.frombuffer(b"".join(data), np.uint8), 24
+    seen = Counter((i % 7, d[j : j + width]) for i, d in enumerate(data) for j in range(31))
+    want = {(i, j) for i, d in enumerate(data) if i % 11 for j in range(31) if seen[i % 7, d[j : j + width]] > 1}
+    # windows of other cores that happen to be equal count as well where cores share a pack; real cores are part of their windows
+    for at_once in (1, 200, 1 << 20):
+        which, start = suffix_dedup.repeated_windows(rec, flat, width, at_once)
+        assert want <= set(zip(which.tolist(), start.tolist(), strict=True))
+        if at_once == 1:
+            assert want == set(zip(which.tolist(), start.tolist(), strict=True))
+
+
 def test_repeats_on_odd_rows(spark, sample):
     plain = [(r.doc_id, r.text) for r in sample.collect()]
     out = suffix_dedup.remove_repeats(sample)
