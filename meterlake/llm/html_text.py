@@ -1,26 +1,34 @@
 """Main text of web pages: flat text blocks, judged by a decision tree over word counts and link densities of a block and its neighbours.
 
-A page is read once, tag by tag. Block-level tags part it into text blocks; a block has words, the share of them inside links, and two
-marks from the tags around it: whether a container says what it is not (menu, advert, form, comments, ...), and whether an article
-element holds it. A tree grown from LABELLED, a small table of typical blocks, tells content from the rest by these and by the words and
-link shares of the blocks before and after.
+A page is read once, tag by tag. Block-level tags part it into text blocks; a block has words and the share of them inside links. A tree
+grown from LABELLED, a small table of labelled blocks, tells content from the rest by these and by the words and link shares of the blocks
+before and after: a line of links between paragraphs is text, one among other lines of links is a menu; a short line before a paragraph is a
+heading, one after the last is not. What word counts can't tell apart (a short paragraph and a short advert) rests on three marks from the
+tags around a block: an element that HTML gives another role (nav, aside, footer, form, ...), a container whose name says so, and an article.
+
+A name is believed only of a container that holds a part of the page: one around its heading, its main element or the longest of its
+articles is a wrapper, whatever it is called; on a page without any of them, one that holds most of its words.
 
 Cases: null html counts as empty and has an empty text; tags left open end with their parent, or with the page; a tag or comment cut off
-by the end of the page is markup; scripts, styles and other elements that are never shown have no text; character references are decoded
-after the tags are read, so `&lt;p&gt;` is text; one row out for each row in.
+by the end of the page is markup; scripts, styles and other elements that are never shown have no text; a line break is a space within its
+block; character references are decoded after the tags are read, so `&lt;p&gt;` is text; equal pages have equal texts, one row out for each
+row in; equal splits of the tree go to the first feature and the lowest threshold; pages of any length are read whole; an input's own
+columns are kept whatever their names, but for text and n_chars.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row
+from .common import whole_row, with_row
 
 #: A tag, a comment or another declaration; or a start of one that the page's end cuts off.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
@@ -45,27 +53,67 @@ SIGNS = frozenset(
 )
 HEADS = frozenset(("header", "banner", "head", "topbar", "top"))
 
-#: Typical blocks: marked, in an article, words, link share, then words and link share of the block before and of the one after; content or not.
-LABELLED = [
-    # menus, trails and lists of links
-    (0, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0), (0, 0, 2, 1.0, 1, 1.0, 3, 1.0, 0), (0, 0, 3, 1.0, 2, 1.0, 40, 0.0, 0), (0, 0, 8, 0.9, 6, 1.0, 7, 0.8, 0), (0, 0, 14, 0.8, 9, 0.9, 12, 1.0, 0),
-    (0, 1, 2, 1.0, 60, 0.0, 2, 1.0, 0), (0, 1, 6, 1.0, 45, 0.1, 5, 1.0, 0), (0, 0, 30, 0.7, 20, 0.8, 25, 0.6, 0),
-    # containers that say so, however long
-    (1, 0, 2, 1.0, 2, 1.0, 2, 1.0, 0), (1, 0, 8, 0.0, 3, 1.0, 10, 0.0, 0), (1, 0, 25, 0.0, 30, 0.0, 40, 0.0, 0), (1, 1, 12, 0.0, 60, 0.0, 50, 0.0, 0), (1, 1, 60, 0.0, 55, 0.0, 70, 0.0, 0),
-    (1, 0, 120, 0.1, 80, 0.0, 90, 0.0, 0), (1, 1, 4, 0.5, 20, 0.0, 0, 0.0, 0), (1, 0, 400, 0.0, 300, 0.0, 5, 0.0, 0),
-    # short blocks far from text: dates, labels, rights
-    (0, 0, 3, 0.0, 2, 1.0, 2, 1.0, 0), (0, 0, 5, 0.0, 0, 0.0, 3, 1.0, 0), (0, 0, 6, 0.2, 4, 0.5, 0, 0.0, 0), (0, 0, 7, 0.0, 3, 0.0, 4, 0.0, 0), (0, 0, 4, 0.0, 30, 0.0, 0, 0.0, 0),
-    # text inside an article, of any length
-    (0, 1, 1, 0.0, 50, 0.0, 60, 0.0, 1), (0, 1, 3, 0.0, 2, 0.0, 4, 0.0, 1), (0, 1, 6, 0.0, 0, 0.0, 40, 0.0, 1), (0, 1, 9, 0.2, 30, 0.0, 20, 0.0, 1), (0, 1, 40, 0.1, 6, 0.0, 50, 0.0, 1),
-    (0, 1, 120, 0.05, 100, 0.0, 90, 0.1, 1), (0, 1, 300, 0.0, 2, 1.0, 3, 1.0, 1), (0, 1, 15, 0.4, 60, 0.0, 70, 0.0, 1), (0, 1, 2, 0.0, 1, 1.0, 2, 0.0, 1), (0, 1, 1, 0.0, 0, 0.0, 0, 0.0, 1),
-    # text on pages without an article element
-    (0, 0, 60, 0.0, 50, 0.0, 70, 0.0, 1), (0, 0, 35, 0.1, 5, 0.0, 45, 0.0, 1), (0, 0, 25, 0.0, 80, 0.0, 6, 0.0, 1), (0, 0, 18, 0.0, 60, 0.0, 55, 0.0, 1), (0, 0, 7, 0.0, 40, 0.0, 65, 0.0, 1),
-    (0, 0, 4, 0.0, 3, 0.2, 60, 0.0, 1), (0, 0, 7, 0.0, 5, 1.0, 45, 0.0, 1), (0, 0, 30, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 45, 0.0, 3, 1.0, 2, 1.0, 1), (0, 0, 20, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 16, 0.0, 50, 0.0, 3, 0.0, 1),
-    (0, 0, 200, 0.1, 3, 1.0, 4, 1.0, 1), (0, 0, 90, 0.3, 70, 0.1, 80, 0.2, 1), (0, 0, 22, 0.0, 2, 1.0, 30, 0.0, 1),
-]
-
-
-def grow(rows: np.ndarray, label: np.ndarray, depth: int = 6):
+#: A container with more of the page's words than this is a wrapper.
+WRAPPER = 0.8
+
+# fixed values: what the signs of the table stand for: words and link shares of a block, and of its neighbours
+WORDS = {"short": (1, 4, 9), "some": (18, 24), "many": (40, 120)}
+SHARES = {"text": (0.0, 0.2, 0.4), "links": (0.6, 0.8, 1.0)}
+BESIDE = {"none": ((0, 0.0),), "short": ((2, 0.0), (5, 0.0), (9, 0.1)), "links": ((2, 1.0), (6, 0.8), (14, 0.9)), "text": ((25, 0.0), (60, 0.1), (120, 0.0))}
+
+#: Labelled blocks: role and name (marks, see above), in an article, words, kind by links, the block before, the one after; content or not.
+#: A star is any: such a block is labelled the same whatever the others are.
+LABELLED = """
+1 * * * * * * 0
+0 1 * * * * * 0
+0 0 1 * text * * 1
+0 0 1 * links links * 0
+0 0 1 * links * links 0
+0 0 1 * links text text 1
+0 0 1 * links text short 1
+0 0 1 * links short text 1
+0 0 1 * links text none 1
+0 0 1 * links none text 1
+0 0 1 * links short short 0
+0 0 1 * links short none 0
+0 0 1 * links none short 0
+0 0 1 * links none none 0
+0 0 0 * links text text 1
+0 0 0 * links links * 0
+0 0 0 * links * links 0
+0 0 0 * links none * 0
+0 0 0 * links * none 0
+0 0 0 * links short * 0
+0 0 0 * links * short 0
+0 0 0 many text * * 1
+0 0 0 some text text * 1
+0 0 0 some text short * 1
+0 0 0 some text none * 1
+0 0 0 some text links text 1
+0 0 0 some text links short 1
+0 0 0 some text links none 1
+0 0 0 some text links links 0
+0 0 0 short text * text 1
+0 0 0 short text * short 0
+0 0 0 short text * links 0
+0 0 0 short text * none 0
+"""
+
+
+def labelled() -> np.ndarray:
+    """The table in numbers, a row for each combination that a line stands for: features, content."""
+    any_of = lambda table, sign: [x for k, xs in table.items() for x in xs if sign in (k, "*")]
+    flags = {"0": (0,), "1": (1,)}
+    out = []
+    for line in LABELLED.split("\n"):
+        if line:
+            *marks, words, share, before, after, content = line.split()
+            choices = [any_of(flags, m) for m in marks] + [any_of(WORDS, words), any_of(SHARES, share), any_of(BESIDE, before), any_of(BESIDE, after)]
+            out += [(*row[:5], *row[5], *row[6], int(content)) for row in product(*choices)]
+    return np.array(out, float)
+
+
+def grow(rows: np.ndarray, label: np.ndarray, depth: int = 8):
     """A tree of (feature, threshold, at most, above), with leaves 0 and 1, that splits where Gini impurity falls most."""
     if depth == 0 or label.min() == label.max():
         return int(2 * label.sum() > len(label))
@@ -83,8 +131,9 @@ def grow(rows: np.ndarray, label: np.ndarray, depth: int = 6):
     return f, cut, grow(rows[low], label[low], depth - 1), grow(rows[~low], label[~low], depth - 1)
 
 
+@cache
 def trained():
-    table = np.array(LABELLED, float)
+    table = labelled()
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -112,18 +161,34 @@ def _unseen(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str):
-    """(text, words, words in links, marked, in an article) of each block with text, in page order."""
-    out, parts, state = [], [], {"linked": 0}
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, marked, in an article
+class Block:
+    """A text block: its text, words, words in links, whether an element's role holds it, its article (or None), the named containers around."""
+
+    __slots__ = ("text", "words", "linked", "role", "article", "named")
+
+    def __init__(self, text: str, linked: int, role: bool, article: int | None, named: tuple[int, ...]):
+        self.text, self.words, self.role, self.article, self.named = text, text.count(" ") + 1, role, article, named
+        self.linked = min(self.words, linked)
+
+
+#: An open element: name, dropped, role, article it is in, named containers around and at it.
+Open = tuple[str, bool, bool, "int | None", tuple[int, ...]]
+OUTSIDE: Open = ("", False, False, None, ())
+
+
+def blocks(page: str) -> tuple[list[Block], set[int], dict[int, tuple[int, ...]]]:
+    """The blocks with text in page order, the containers that hold the heading or the main element, and those around each article."""
+    out, parts, state = [], [], {"linked": 0, "named": 0}
+    wrappers: set[int] = set()
+    around: dict[int, tuple[int, ...]] = {}
+    stack: list[Open] = []
     links = 0
 
-    def flush(marked: bool, article: bool) -> None:
+    def flush(top: Open) -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                n = text.count(" ") + 1
-                out.append((text, n, min(n, state["linked"]), marked, article))
+                out.append(Block(text, state["linked"], top[2], top[3], top[4]))
             parts.clear()
         state["linked"] = 0
 
@@ -145,9 +210,12 @@ def blocks(page: str):
         if not name:
             continue
         name = name.lower()
-        top = stack[-1] if stack else ("", False, False, False)
+        if name == "br":  # a space, not the end of a block
+            add(" ")
+            continue
+        top = stack[-1] if stack else OUTSIDE
         if name not in INLINE and name not in SILENT:
-            flush(top[2], top[3])
+            flush(top)
         if close:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -156,41 +224,61 @@ def blocks(page: str):
                     break
             continue
         if name in VOID or attributes.endswith("/") and name in DROPPED:
-            if name in ("br", "hr", "wbr") and name != "wbr":
-                add(" ")
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these end an open one of their kind
             for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                 if stack[k][0] == name:
                     links -= sum(x[0] == "a" for x in stack[k:])
                     del stack[k:]
-                    top = stack[-1] if stack else ("", False, False, False)
+                    top = stack[-1] if stack else OUTSIDE
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
-        article = top[3] or name in ("article", "main")
-        marked = top[2] or name in MARKED or (name == "header" and not article) or (name not in ("html", "body") and bool(attributes) and _signed(attributes, article))
+        if name in ("h1", "main"):
+            wrappers.update(top[4])
+        article, role, named = top[3], top[2] or name in MARKED, top[4]
+        signed = bool(attributes) and name not in ("html", "body") and _signed(attributes, article is not None)
+        if name in ("article", "main"):
+            article = len(around) if article is None else article
+            if not signed:  # a named article is no candidate for the longest
+                around.setdefault(article, named)
+            else:
+                around.setdefault(article, None)
+        role = role or (name == "header" and article is None)
+        if signed:
+            named, state["named"] = (*named, state["named"]), state["named"] + 1
         dropped = top[1] or name in DROPPED or (bool(attributes) and _unseen(attributes))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else n
-        stack.append((name, dropped, marked, article))
+        stack.append((name, dropped, role, article, named))
         links += name == "a"
-    top = stack[-1] if stack else ("", False, False, False)
-    flush(top[2], top[3])
-    return out
+    flush(stack[-1] if stack else OUTSIDE)
+    return out, wrappers, {k: v for k, v in around.items() if v is not None}
+
+
+def features(page: str) -> tuple[list[str], list[tuple]]:
+    """Texts of the blocks and what the tree judges them by."""
+    found, wrappers, around = blocks(page)
+    article, container, total = dict.fromkeys(around, 0), {}, 0
+    for b in found:
+        if not b.role:
+            free = b.words - b.linked
+            total += free
+            if b.article in article:
+                article[b.article] += free
+            for c in b.named:
+                container[c] = container.get(c, 0) + free
+    if article:
+        wrappers |= set(around[max(article, key=article.get)])
+    elif not wrappers:
+        wrappers = {c for c, w in container.items() if w > WRAPPER * total}
+    size = [(0, 0.0), *[(b.words, b.linked / b.words) for b in found], (0, 0.0)]
+    return [b.text for b in found], [(b.role, any(c not in wrappers for c in b.named), b.article is not None, *size[i + 1], *size[i], *size[i + 2]) for i, b in enumerate(found)]
 
 
 def main_text(page: str, tree) -> str:
-    found = blocks(page)
-    share = [b[2] / b[1] for b in found]
-    kept = []
-    for i, (text, n, _, marked, article) in enumerate(found):
-        before = (found[i - 1][1], share[i - 1]) if i else (0, 0.0)
-        after = (found[i + 1][1], share[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        if judged(tree, (marked, article, n, share[i], *before, *after)):
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(text for text, of in zip(*features(page), strict=True) if judged(tree, of))
 
 
 def _extract(tree):
@@ -204,6 +292,5 @@ def _extract(tree):
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without the html column, with text and n_chars; columns of these names are replaced."""
-    kept = [c for c in pages.columns if c not in (column, "text", "n_chars")]
-    rows = pages.select(F.struct(*kept).alias("row"), F.col(column).cast("string").alias("html"))
+    rows = pages.select(whole_row(pages, column, "text", "n_chars").alias("row"), F.col(column).cast("string").alias("html"))
     return rows.mapInArrow(_extract(trained()), with_row(rows, "text string, n_chars bigint")).select("row.*", "text", "n_chars")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import dartminhash, html_text, imatch, langid, mixing, pieces, prefix_free, pu_quality, quality_rules, sentencepiece_codec, sharding, suffix_dedup
+from meterlake.llm import dartminhash, html_text, imatch, langid, mixing, pieces, prefix_free, pu_quality, quality_rules, queries, sentencepiece_codec, sharding, suffix_dedup
 from meterlake.llm.graph import components
 
 from .conftest import sha, words
@@ -386,6 +386,59 @@ def test_pages(page, text):
     assert html_text.main_text(page, html_text.trained()) == text
 
 
+LONG_TEXT = "A paragraph of running text that goes on for quite a few words, as text in articles does, and has no link in it at all."
+
+
+def used(tree):
+    return set() if isinstance(tree, int) else {tree[0]} | used(tree[2]) | used(tree[3])
+
+
+def test_tree_fits_its_table_and_looks_at_both_neighbours():
+    tree = html_text.trained()
+    assert all(html_text.judged(tree, row[:-1]) == row[-1] for row in html_text.labelled())
+    assert {3, 4, 5, 6, 7, 8} <= used(tree)  # words and link shares of the block and of both neighbours
+    text = lambda page: html_text.main_text(page, tree)
+    # equal blocks, other neighbours
+    link = '<p><a href="x">More about this here</a></p>'
+    assert "More about" in text(f"<article><p>{LONG_TEXT}</p>{link}<p>{LONG_TEXT}</p></article>")
+    assert "More about" not in text(f"<article><p>{LONG_TEXT}</p>{link}{link}{link}</article>")
+    assert text(f"<div>Last week</div><p>{LONG_TEXT}</p>") == f"Last week {LONG_TEXT}"
+    assert text(f"<p>{LONG_TEXT}</p><div>Last week</div>") == LONG_TEXT
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "main-search", "ad-free", "social-sharing", "layout has-banner"])
+def test_a_wrapper_loses_nothing_by_its_name(name):
+    for inner in (f"<article><p>{LONG_TEXT}</p></article>", f"<article><h1>Head</h1><p>{LONG_TEXT}</p></article>", f"<main><p>{LONG_TEXT}</p></main>"):
+        page = f'<nav><a href="a">Home</a></nav><div class="{name}">{inner}<div class="ad">Buy this now.</div></div><footer>Rights</footer>'
+        assert html_text.main_text(page, html_text.trained()) == ("Head " if "h1" in inner else "") + LONG_TEXT
+
+
+def test_line_breaks_are_spaces():
+    verses = "Six short<br>lines with<br/>breaks between<br>them make one<br>block of text<br>all the same, said the poet to the page"
+    for page in (f"<div>{verses}</div>", f"<article><p>{verses}</p></article>"):
+        assert html_text.main_text(page, html_text.trained()) == re.sub("<br/?>", " ", verses)
+
+
+def test_long_and_repeated_pages(spark):
+    page = "<article>" + "".join(f"<p>Paragraph {i} of a page that goes on and on.</p>" for i in range(30_000)) + "</article>"
+    df = spark.createDataFrame([(1, page), (1, page), (2, "<article></article>")], "page_id bigint, html string").withColumn("a.b", F.lit(1)).withColumn("row", F.lit("r"))
+    out = html_text.extract(df).collect()
+    assert sorted(r.text.count("Paragraph") for r in out) == [0, 30_000, 30_000] and out[0]["a.b"] == 1
+
+
+def test_pages_of_the_table_equal_brute_force(spark):
+    """The article of each page by two regular expressions, against the whole query."""
+    import html as entities
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op7_html_text(spark, "/root/testdata/sf0.001").collect()}
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html or "", re.DOTALL)
+        text = " ".join(entities.unescape(re.sub(r"<[^>]*>?", " ", re.sub(r"<(script|style).*?</\1>", "", inside[1], flags=re.DOTALL))).split()) if inside else ""
+        assert got.pop(r.page_id) == (text, len(text)), r.page_id
+    assert not got
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (2, "v", "<article>x é</article>", "old")], "page_id bigint, url string, html string, text string")
     assert rows_of(html_text.extract(df), "page_id", "url", "text", "n_chars") == [(1, "u", "", 0), (2, "v", "x é", 3)]
@@ -394,9 +447,9 @@ def test_pages_table(spark):
 
 def test_hidden_is_an_attribute_not_a_word():
     for shown in ('title="The hidden valley"', 'title="a hidden gem"', 'aria-label="Our hidden costs"', "data-x='display:none'", "title='aria-hidden=\"true\"'"):
-        assert [b[0] for b in html_text.blocks(f"<p {shown}>some text</p>")] == ["some text"], shown
+        assert [b.text for b in html_text.blocks(f"<p {shown}>some text</p>")[0]] == ["some text"], shown
     for unseen in ("hidden", 'class="x" hidden', 'hidden=""', "HIDDEN='until-found'", 'aria-hidden="true"', "aria-hidden = true", 'style="color:red; display : none"', "style=visibility:hidden"):
-        assert html_text.blocks(f"<p {unseen}>some text</p>") == [], unseen
+        assert html_text.blocks(f"<p {unseen}>some text</p>")[0] == [], unseen
 
 
 # mixing
