@@ -5,10 +5,12 @@ into pieces, of the product of the pieces' probabilities; the forward algorithm
 letters in lower case. A text's score in a language is the sum over its words. Probabilities are learned by expectation maximisation from
 a bounded sample of labelled texts: forward and backward sums give the expected uses of each piece.
 
-Pieces never cross words, so each distinct word is summed once for all languages, words of equal length together.
+Pieces never cross words, so each distinct word is summed once for all languages, words of equal length together. A word of any length is
+one word: sums are scaled on the way and their logarithms kept, so a long run of letters (a script without spaces) does not underflow.
 
-Cases: null texts and texts without a letter are `und` with score 0; without training rows every text is `und`; whole texts are read; one
-row out for each row in.
+Cases: null texts and texts without a letter are `und` with score 0; without training rows every text is `und`; whole texts are read; of
+equally likely languages the first by name is taken; equal texts have equal results, one row out for each row in; an input's own columns are
+kept whatever their names, but for lang_pred and score.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row
-from .pieces import MODEL, Vocabulary, batches_of, by_length, code_points, distinct_words, hashed, prefixes, split_words, vocabulary
+from .common import whole_row, with_row
+from .pieces import MODEL, Vocabulary, batches_of, by_length, code_points, distinct_words, hashed_all, prefixes, split_words, vocabulary
 
 #: Documents of a language that its model is fitted on, about; and rounds of expectation maximisation.
 SAMPLE = 400
@@ -29,8 +31,8 @@ ROUNDS = 4
 SMOOTHING = 0.1
 #: What a character that no piece covers is worth.
 UNKNOWN = 1e-7
-#: Words of more letters are scored in stretches of this length.
-MOST = 40
+#: Sums are scaled every so many letters: what a letter is worth at least, to this power, is no smaller than a float can hold.
+RESCALE = 32
 #: Distinct words that a task remembers.
 MEMORY = 1 << 19
 UND = "und"
@@ -39,65 +41,95 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str) -> str:
-    """Words of letters in lower case, one space between; long ones in stretches."""
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > MOST for w in found):
-        found = [w[i : i + MOST] for w in found for i in range(0, len(w), MOST)]
-    return " ".join(found)
-
-
-def matches(chars: np.ndarray, vocab: Vocabulary):
-    """(end, length, rows, piece ids) of all pieces in words of equal length, by end."""
-    n, sums = chars.shape[1], prefixes(chars)
-    for e in range(1, n + 1):
-        for k in range(1, min(e, vocab.longest) + 1):
-            rows, ids = vocab.find(hashed(sums, e - k, e))
-            if len(rows):
-                yield e, k, rows, ids
-
-
-def forward(chars: np.ndarray, vocab: Vocabulary, prob: np.ndarray, found=None) -> np.ndarray:
-    """words x (length + 1) x languages: summed probabilities of the prefixes. prob: pieces x languages."""
-    m, n = chars.shape
-    alpha = np.zeros((m, n + 1, prob.shape[1]))
+    """Words of letters in lower case, one space between."""
+    return " ".join(LETTERS.findall(text.lower()))
+
+
+class Matches:
+    """All pieces in words of equal length, by end and word: rows, lengths, piece ids, and where each run of one end and word starts."""
+
+    def __init__(self, chars: np.ndarray, vocab: Vocabulary):
+        (m, n), sums = chars.shape, prefixes(chars)
+        rows, ends, size, ids = [], [], [], []
+        for k in range(1, min(n, vocab.longest) + 1):
+            hit, found = vocab.find(hashed_all(sums, k).ravel())
+            rows.append(hit // (n - k + 1))
+            ends.append(hit % (n - k + 1) + k)
+            size.append(np.full(len(hit), k))
+            ids.append(found)
+        rows, ends, size, ids = (np.concatenate(x) for x in (rows, ends, size, ids))
+        order = np.lexsort((rows, ends))
+        self.rows, self.ends, self.size, self.ids = rows[order], ends[order], size[order], ids[order]
+        self.cut = np.searchsorted(self.ends, np.arange(n + 2))
+        self.n, self.m, self.longest = n, m, vocab.longest
+
+    def at(self, e: int):
+        s = slice(self.cut[e], self.cut[e + 1])
+        return self.rows[s], self.size[s], self.ids[s]
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of sorted rows, and their sums."""
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return rows[first], np.add.reduceat(values, first, axis=0)
+
+
+def forward(found: Matches, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words x (length + 1) x languages: summed probabilities of the prefixes, scaled, and the logarithms of the scales. prob: pieces x
+    languages."""
+    alpha, scale = np.zeros((found.m, found.n + 1, prob.shape[1])), np.zeros((found.m, found.n + 1, prob.shape[1]))
     alpha[:, 0] = 1.0
-    at = 0
-    for e, k, rows, ids in found if found is not None else matches(chars, vocab):
-        if e != at:
-            for gap in range(at + 1, e):  # places where no piece ends
-                alpha[:, gap] = alpha[:, gap - 1] * UNKNOWN
-            alpha[:, e] = alpha[:, e - 1] * UNKNOWN
-            at = e
-        alpha[rows, e] += alpha[rows, e - k] * prob[ids]
-    for gap in range(at + 1, n + 1):
-        alpha[:, gap] = alpha[:, gap - 1] * UNKNOWN
-    return alpha
+    for e in range(1, found.n + 1):
+        alpha[:, e] = alpha[:, e - 1] * UNKNOWN
+        rows, size, ids = found.at(e)
+        if len(rows):
+            r, total = _summed(rows, alpha[rows, e - size] * prob[ids])
+            alpha[r, e] += total
+        if e % RESCALE == 0:
+            first = max(0, e - found.longest + 1)  # what later places look back to
+            by = alpha[:, first : e + 1].max(1, keepdims=True)
+            alpha[:, first : e + 1] /= by
+            scale[:, first:] += np.log(by)
+    return alpha, scale
+
+
+def backward(found: Matches, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for suffixes."""
+    beta, scale = np.zeros((found.m, found.n + 1, prob.shape[1])), np.zeros((found.m, found.n + 1, prob.shape[1]))
+    beta[:, found.n] = 1.0
+    order = np.lexsort((found.rows, found.ends - found.size))
+    rows, ends, ids = found.rows[order], found.ends[order], found.ids[order]
+    cut = np.searchsorted((found.ends - found.size)[order], np.arange(found.n + 2))
+    for b in range(found.n - 1, -1, -1):
+        beta[:, b] = beta[:, b + 1] * UNKNOWN
+        s = slice(cut[b], cut[b + 1])
+        if s.stop > s.start:
+            r, total = _summed(rows[s], beta[rows[s], ends[s]] * prob[ids[s]])
+            beta[r, b] += total
+        if (found.n - b) % RESCALE == 0:
+            last = min(found.n, b + found.longest - 1)
+            by = beta[:, b : last + 1].max(1, keepdims=True)
+            beta[:, b : last + 1] /= by
+            scale[:, : last + 1] += np.log(by)
+    return beta, scale
 
 
 def fit(words: dict[str, dict[str, int]], vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log-free probabilities pieces x languages, from counts of words by language."""
+    """Languages in order, and probabilities pieces x languages, from counts of words by language."""
     langs = sorted(words)
     prob = np.full((len(vocab.pieces), len(langs)), 1.0 / max(1, int(vocab.usable.sum())))
     every = sorted(set().union(*words.values())) if langs else []
     count = np.array([[words[x].get(w, 0) for x in langs] for w in every], float).reshape(len(every), len(langs))
     chars, at = code_points(every)
-    groups = [(n, g, list(matches(chars[at[g][:, None] + np.arange(n)], vocab))) for n, g in by_length(at[:-1], at[1:])]
+    groups = [(g, Matches(chars[at[g][:, None] + np.arange(n)], vocab)) for n, g in by_length(at[:-1], at[1:], 1 << 17)]
     for _ in range(rounds):
         expected = np.zeros_like(prob)
-        for n, g, found in groups:
-            c = chars[at[g][:, None] + np.arange(n)]
-            alpha = forward(c, vocab, prob, found)
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1.0
-            left = n
-            for e, k, rows, ids in reversed(found):
-                while left > e:
-                    beta[:, left - 1] += beta[:, left] * UNKNOWN
-                    left -= 1
-                beta[rows, e - k] += beta[rows, e] * prob[ids]
-            total = np.maximum(alpha[:, n], 1e-300)
-            for e, k, rows, ids in found:
-                np.add.at(expected, ids, alpha[rows, e - k] * prob[ids] * beta[rows, e] / total[rows] * count[g[rows]])
+        for g, found in groups:
+            (alpha, a), (beta, b) = forward(found, prob), backward(found, prob)
+            rows, start = found.rows, found.ends - found.size
+            total = np.log(alpha[:, -1]) + a[:, -1]
+            share = alpha[rows, start] * prob[found.ids] * beta[rows, found.ends] * np.exp(a[rows, start] + b[rows, found.ends] - total[rows])
+            np.add.at(expected, found.ids, share * count[g[rows]])
         expected[vocab.usable] += SMOOTHING
         prob = expected / expected.sum(0)
     return langs, prob
@@ -129,8 +161,8 @@ class Scorer:
         new = np.flatnonzero(~known)
         starts, ends = lo[first[new]], hi[first[new]]
         for n, g in by_length(starts, ends, 1 << 17):
-            alpha = forward(chars[starts[g][:, None] + np.arange(n)], self.vocab, self.prob)
-            value[new[g]] = np.log(np.maximum(alpha[:, n], 1e-300))
+            alpha, scale = forward(Matches(chars[starts[g][:, None] + np.arange(n)], self.vocab), self.prob)
+            value[new[g]] = np.log(alpha[:, n]) + scale[:, n]
         if len(new):
             if len(self.seen) + len(new) > MEMORY:
                 self.forget()
@@ -190,7 +222,7 @@ def train(docs: DataFrame, path: str = MODEL, sample: int = SAMPLE) -> tuple[lis
 
 def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str = MODEL, text: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score (the probability of lang_pred against the other languages)."""
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in (text, "lang_pred", "score")]).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(whole_row(docs, text, "lang_pred", "score").alias("row"), F.col(text).alias("text"))
     # pieces that no sample has share one value a language and stay out of what is sent to the tasks
     rest = prob[vocabulary(path).usable].min(0) if langs else np.zeros(0)
     ids = np.flatnonzero((prob > rest).any(1)) if langs else np.zeros(0, np.int64)

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .fingerprints64 import M1, M2, M3, mix, powers
+from .fingerprints64 import M1, M2, M3, SLICE, mix, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -89,19 +89,31 @@ def _sorted_keys(pieces: list[str], usable: list[bool]) -> tuple[np.ndarray, np.
 
 def prefixes(chars: np.ndarray) -> np.ndarray:
     """Of words of equal length, a row each: sums from which any substring's hash follows."""
-    up, _ = powers()
+    n = chars.shape[1]
+    up, _ = powers(_reach(n))
     with np.errstate(over="ignore"):
-        sums = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
-        np.cumsum(mix(chars.astype(np.uint64) * M3 + M1) * up[: chars.shape[1]], axis=1, out=sums[:, 1:])
+        sums = np.zeros((len(chars), n + 1), np.uint64)
+        np.cumsum(mix(chars.astype(np.uint64) * M3 + M1) * up[:n], axis=1, out=sums[:, 1:])
     return sums
 
 
+def _reach(n: int) -> int:
+    return max(SLICE, 1 << int(n).bit_length())
+
+
 def hashed(sums: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    _, down = powers()
+    _, down = powers(_reach(sums.shape[1]))
     with np.errstate(over="ignore"):
         return mix((sums[:, hi] - sums[:, lo]) * down[lo] + np.uint64(hi - lo) * M2)
 
 
+def hashed_all(sums: np.ndarray, k: int) -> np.ndarray:
+    """Of all substrings of k characters: words x places."""
+    _, down = powers(_reach(sums.shape[1]))
+    with np.errstate(over="ignore"):
+        return mix((sums[:, k:] - sums[:, :-k]) * down[: sums.shape[1] - k] + np.uint64(k) * M2)
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code points of texts, a leading space each (none for an empty text), with space marks; and the n + 1 offsets."""
     joined = "".join(" " + t if t else "" for t in texts)

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.llm import dartminhash, html_text, imatch, langid, mixing, pieces, prefix_free, pu_quality, quality_rules, queries, sentencepiece_codec, sharding, suffix_dedup
+from meterlake.llm.common import table
 from meterlake.llm.graph import components
 
 from .conftest import sha, words
@@ -320,18 +323,71 @@ def test_round_trip_of_odd_rows(spark, sample):
 # language
 
 
+def brute_forward(word, prob, ids, unknown=langid.UNKNOWN):
+    """Log of the sum over all segmentations of a word, in exact arithmetic, for each language."""
+    s, out = "▁" + word, []
+    for x in range(prob.shape[1]):
+        p = [Fraction(float(v)) for v in prob[:, x]]
+        total = [Fraction(1)]
+        for e in range(1, len(s) + 1):
+            ways = [total[e - k] * p[ids[s[e - k : e]]] for k in range(1, min(e, 24) + 1) if s[e - k : e] in ids]
+            total.append(sum(ways, total[e - 1] * Fraction(unknown)))
+        n = total[-1]
+        out.append(math.log(n.numerator) - math.log(n.denominator))
+    return np.array(out)
+
+
 def test_forward_sums_all_segmentations(vocab):
     rng = np.random.default_rng(0)
     prob = rng.random((len(vocab.pieces), 2)) / 1000
     ids = {p: i for i, p in enumerate(vocab.pieces) if vocab.usable[i]}
-    for word in ("the", "über", "ab日", "hello"):
-        s = "▁" + word
-        total = [np.ones(2)]
-        for e in range(1, len(s) + 1):
-            ways = [total[e - k] * prob[ids[s[e - k : e]]] for k in range(1, e + 1) if s[e - k : e] in ids]
-            total.append(np.sum(ways, axis=0) + total[e - 1] * langid.UNKNOWN if ways else total[e - 1] * langid.UNKNOWN)
-        chars, at = pieces.code_points([word])
-        assert np.allclose(langid.forward(chars[None, :], vocab, prob)[0, len(s)], total[-1])
+    long = "".join(random.Random(3).choices("abcdehilnorstu", k=150)) + "日" * 70  # far below what a float holds
+    for word in ("the", "über", "ab日", "hello", long):
+        chars, _ = pieces.code_points([word])
+        found = langid.Matches(chars[None, :], vocab)
+        (alpha, a), (beta, b) = langid.forward(found, prob), langid.backward(found, prob)
+        want = brute_forward(word, prob, ids)
+        assert np.allclose(np.log(alpha[0, -1]) + a[0, -1], want, rtol=1e-10) and np.allclose(np.log(beta[0, 0]) + b[0, 0], want, rtol=1e-10)
+        scorer = langid.Scorer(vocab, prob)
+        assert np.allclose(scorer.texts([langid.letters(word)])[0][0], want, rtol=1e-5)
+
+
+def test_training_equals_counting_all_segmentations(vocab):
+    """One round of expectation maximisation, by listing each segmentation of each word."""
+    words = {"xx": {"there": 3, "on": 1, "über": 2}, "yy": {"there": 1, "nine": 4}}
+    ids = {p: i for i, p in enumerate(vocab.pieces) if vocab.usable[i]}
+
+    def ways(s):
+        if not s:
+            yield (), 1.0
+        for k in range(1, len(s) + 1):
+            for rest, p in ways(s[k:]):
+                if s[:k] in ids:
+                    yield (ids[s[:k]], *rest), p / vocab.usable.sum()
+                if k == 1:
+                    yield rest, p * langid.UNKNOWN
+
+    langs, prob = langid.fit(words, vocab, rounds=1)
+    for x, lang in enumerate(langs):
+        expected = np.zeros(len(vocab.pieces))
+        for w, n in words[lang].items():
+            every = list(ways("▁" + w))
+            for used_ids, p in every:
+                np.add.at(expected, list(used_ids), n * p / sum(q for _, q in every))
+        expected[vocab.usable] += langid.SMOOTHING
+        assert np.allclose(prob[:, x], expected / expected.sum(), rtol=1e-9, atol=0)
+
+
+def test_predictions_equal_naive_scores(spark, vocab):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").limit(40)
+    langs, prob = langid.train(docs)
+    ids = {p: i for i, p in enumerate(vocab.pieces) if vocab.usable[i]}
+    rows = [r for r in docs.collect() if r.text and len(r.text) < 400][:6]
+    got = {r.doc_id: r for r in langid.predict(docs.select("doc_id", "text"), langs, prob).collect()}
+    for r in rows:
+        logs = sum((brute_forward(w, prob, ids) for w in langid.letters(r.text).split()), np.zeros(len(langs)))
+        assert got[r.doc_id].lang_pred == langs[int(logs.argmax())]
+        assert abs(got[r.doc_id].score - 1 / np.exp(logs - logs.max()).sum()) < 1e-3
 
 
 def test_languages(spark, sample):
