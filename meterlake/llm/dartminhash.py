@@ -9,36 +9,65 @@ in the bands below their weight alone.
 
 Coordinates are joined in bands of ROWS. Texts with an equal band meet in a bucket; a bucket never becomes all of its pairs. Its
 smallest member is held against each other one, which makes most buckets of copies one component. Where members still fall into several
-components, so is the member with the most common shingles, the likeliest original. What is left is joined exactly by its rarest shingles: a pair at the threshold has its first common shingle, in the order of
-frequency, within a prefix of each text, at places that leave room for the overlap it needs, which also bounds the sizes that can meet.
-Under a shingle that one component fills, only the others look for partners. So no link is lost, and a large group of copies costs no pairs
-within itself. The coordinates, a byte each, tell most pairs that are far apart.
-Each pair is checked on the whole texts: shingles in common over shingles in either, at least `similarity`. Classes are the
-connected components of the pairs that pass. A pair at 0.8 shares no band with odds of 7 in a million.
+components, so is the member with the most common shingles, the likeliest original. What is left is joined exactly by its rarest shingles: a
+pair at the threshold has its first common shingle, in the order of frequency, within a prefix of each text, at places that leave room for
+the overlap it needs, which also bounds the sizes that can meet. Under a shingle that one component fills, only the others look for
+partners, and its rows are dealt over several tasks. So no link among texts that share a band is lost, and a large group of copies costs no
+pairs within itself.
+
+The coordinates, a byte each, tell most pairs that are far apart: a pair at the threshold has fewer in common than is asked for with odds of
+ODDS at most, whatever the threshold is; exact=True looks at every pair instead. Each pair is checked on the whole texts: shingles in common
+over shingles in either, at least `similarity`. Classes are the connected components of the pairs that pass. The rows of a band are as many
+as let a pair at the threshold share no band with odds of MISSED at most: five of 150 coordinates, and 7 in a million, at 0.8.
 
 Cases: a null text counts as empty; texts without a word are one class; a text of fewer words than a shingle has is one shingle; equal
-shingle sets are one node of the graph from the start, so exact copies cost one signature row each and no pair.
+shingle sets are one node of the graph from the start, so exact copies cost one signature row each and no pair. A class is named by its
+smallest key; keys that are null name none, and a class without any other is named by the smallest hash of its rows. Repeated rows (equal in
+key and text) are one row to keep: `keep` is true for all of them, one_of_each() returns one. Ties: of equal keys the row with the smallest
+hash stands for the class. Other columns take no part and may have any names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, whole_row, written
 from .fingerprints64 import M1, M2, M3, mix, text_parts, whole_texts
 from .graph import components
 from .shingles import distinct, shingles, words
 
 WORDS = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 5, 30
+#: Coordinates of a signature, and the odds, for a pair at the threshold, to share no band and to differ in too many of them.
+COORDINATES = 150
+MISSED, ODDS = 1e-5, 1e-9
+#: Rows of one shingle that a task joins.
+KEY_ROWS = 256
 #: Bytes of text whose darts are thrown together.
 STRETCH = 1 << 18
-#: Share of equal coordinate bytes below which a pair isn't looked at: six standard deviations under 0.8.
-AGREE = 0.6
+
+
+def rows_of_a_band(similarity: float, k: int = COORDINATES, missed: float = MISSED) -> int:
+    """As many as the odds allow; more rows mean fewer chance meetings."""
+    fine = [r for r in range(1, k + 1) if (1.0 - similarity**r) ** (k // r) <= missed]
+    return max(fine, default=1)
+
+
+def least_agreeing(similarity: float, k: int, odds: float = ODDS) -> float:
+    """The share of equal bytes that a pair of this similarity falls short of with `odds` at most: the binomial distribution's tail."""
+    p = min(1.0 - 1e-12, similarity + (1.0 - similarity) / 256)
+    total, i = 0.0, 0
+    while i <= k:
+        total += math.exp(math.lgamma(k + 1) - math.lgamma(i + 1) - math.lgamma(k - i + 1) + i * math.log(p) + (k - i) * math.log1p(-p))
+        if total > odds:
+            return i / k
+        i += 1
+    return 1.0
 
 
 def throw(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, sizes: np.ndarray, bound: np.ndarray, k: int):
@@ -186,9 +215,12 @@ def _checked(n: int, similarity: float, weighted: bool):
     return run
 
 
-def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, weighted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY, coordinates: int = COORDINATES, weighted: bool = False, exact: bool = False) -> DataFrame:
     """(id, key, class_id, keep): a row for each row of docs. id is row_id()'s, class_id the smallest key of the class; keep is true for
-    rows equal to the one that stands for it. weighted: shingle counts are weights; else each distinct shingle weighs one."""
+    rows equal to the one that stands for it. weighted: shingle counts are weights; else each distinct shingle weighs one. exact: no pair is
+    told by its coordinates."""
+    rows = rows_of_a_band(similarity, coordinates)
+    bands = coordinates // rows
     base = docs.select(row_id(key).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col(key).alias("key"))
     kind = base.schema["key"].dataType.simpleString()
     made: list[DataFrame] = []
@@ -204,14 +236,14 @@ def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: fl
     # one text for each node that meets another, in the order of a hash, not of the input
     nodes = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
     texts = kept(nodes.join(base.select("id", "text"), "id").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts", True)
-    check, agree = _checked(n, similarity, weighted), AGREE * similarity / SIMILARITY
+    check, agree = _checked(n, similarity, weighted), least_agreeing(similarity, rows * bands)
 
     def sides(pairs: DataFrame, column: str) -> DataFrame:
         left = pairs.join(texts.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
         return left.join(texts.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
     def passed(pairs: DataFrame) -> DataFrame:
-        near = sides(pairs, "sketch").mapInArrow(_agreeing(agree), "a bigint, b bigint")
+        near = pairs if exact else sides(pairs, "sketch").mapInArrow(_agreeing(agree), "a bigint, b bigint")
         return kept(sides(near, "text").mapInArrow(check, "a bigint, b bigint"), "links")
 
     links = passed(members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
@@ -233,8 +265,9 @@ def classes(docs: DataFrame, key: str = "doc_id", n: int = WORDS, similarity: fl
     links = links.unionByName(passed(prefix_pairs(ranked.join(rest, "node"), similarity, kept)))
     component = components(links)
     named = signed.select("id", "key", "node").join(component, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
-    lead = named.groupBy("component").agg(F.min(F.struct("key", "id")).alias("lead"))
-    out = named.join(lead, "component").select("id", "key", F.col("lead.key").alias("class_id"), (F.col("id") == F.col("lead.id")).alias("keep"))
+    lead = named.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id")).alias("lead"))
+    name = F.coalesce("lead.key", F.col("lead.id").try_cast(kind))
+    out = named.join(lead, "component").select("id", "key", name.alias("class_id"), (F.col("id") == F.col("lead.id")).alias("keep"))
     out = written(out, "classes")
     for table in made:  # nothing reads them any more
         dropped(table)
@@ -261,14 +294,19 @@ def prefix_pairs(ordered: DataFrame, t: float, write=written) -> DataFrame:
     large = rows.where(most >= least).withColumn("level", F.explode(F.sequence(level(F.greatest(least, F.lit(1.0))), level(F.greatest(most, F.lit(1.0))))))
     by = ["h", "level"]
     counts = small.select(*by, "component").unionByName(large.select(*by, "component")).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*by, F.col("top.component").alias("main"))
-    main = write(main, "mains", release=False)
-    name = lambda df, x: df.join(main, by).select(*by, "main", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "size", "pos")])
-    s, g = name(small, "s"), name(large, "g").drop("main")
+    main = counts.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).where("k > 1")
+    # a shingle with many rows is dealt over several tasks: the side that one component fills by a hash, the others' rows to each of them
+    main = write(main.select(*by, F.col("top.component").alias("main"), F.ceil(F.col("all") / KEY_ROWS).cast("int").alias("deals")), "mains", release=False)
+
+    def name(df: DataFrame, x: str, dealt: bool) -> DataFrame:
+        deal = F.pmod(F.xxhash64("node"), F.col("deals")).cast("int") if dealt else F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
+        return df.join(main, by).select(*by, "main", deal.alias("deal"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "size", "pos")])
+
     need = (F.col("s_size") + F.col("g_size")) * (t / (1 + t)) - eps
     fits = (F.col("s_component") != F.col("g_component")) & (F.col("s_size") <= F.col("g_size")) & (F.col("s_size") - F.col("s_pos") >= need) & (F.col("g_size") - F.col("g_pos") >= need)
-    minor = s.where("s_component != main").drop("main").join(g, by).where(fits)
-    major = s.where("s_component = main").drop("main").join(name(large, "g").where("g_component != main").drop("main"), by).where(fits)
+    on = [*by, "deal"]
+    minor = name(small, "s", False).where("s_component != main").drop("main").join(name(large, "g", True).drop("main"), on).where(fits)
+    major = name(small, "s", True).where("s_component = main").drop("main").join(name(large, "g", False).where("g_component != main").drop("main"), on).where(fits)
     both = minor.unionByName(major)
     return both.select(F.least("s_node", "g_node").alias("a"), F.greatest("s_node", "g_node").alias("b")).distinct()
 
@@ -302,5 +340,5 @@ def row_id(key: str = "doc_id"):
 def one_of_each(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """docs without all but one row of each class."""
     kept = classes(docs, key, **how).where("keep").select(F.col("id").alias("_row")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), row_id(key).alias("_row"))
+    rows = docs.select(whole_row(docs).alias("row"), row_id(key).alias("_row"))
     return rows.join(kept, "_row", "left_semi").groupBy("_row").agg(F.first("row").alias("row")).select("row.*")

@@ -214,6 +214,48 @@ def test_classes_on_odd_rows(spark, sample):
     assert dartminhash.classes(sample.limit(0)).count() == 0
 
 
+def test_null_ids_join_no_classes(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(12))
+    rows = [(None, text("a")), (5, text("a")), (None, text("b")), (7, text("b")), (None, text("c")), (None, text("d")), (None, text("d"))]
+    out = dartminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    groups = defaultdict(list)
+    for r in out.collect():
+        groups[r.class_id].append(r.key)
+    assert sorted(len(v) for v in groups.values()) == [1, 2, 2, 2] and sorted(groups[5], key=str) == [5, None] and sorted(groups[7], key=str) == [7, None]
+
+
+def test_parameters_keep_their_odds():
+    assert dartminhash.rows_of_a_band(0.8) == 5
+    for s in (0.4, 0.5, 0.7, 0.8, 0.95):
+        r = dartminhash.rows_of_a_band(s)
+        assert (1 - s**r) ** (150 // r) <= 1e-5
+        at = dartminhash.least_agreeing(s, 150)
+        assert (np.random.default_rng(1).binomial(150, s, 200_000) / 150 >= at).all() and at > s - 9 * math.sqrt(s * (1 - s) / 150)
+
+
+def test_lower_similarity_and_exact_checks_equal_brute_force(spark):
+    r, rows = random.Random(11), []
+    for _ in range(4):
+        original = [f"w{r.randrange(300)}" for _ in range(80)]
+        rows += [(len(rows) + i, " ".join(w if r.random() > x else f"v{r.randrange(300)}" for w in original)) for i, x in enumerate([0, 0.03, 0.06, 0.1, 0.15] * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for exact in (False, True):
+        out = dartminhash.classes(df, similarity=0.5, exact=exact)
+        assert sorted((x.key, x.class_id) for x in out.collect()) == brute_classes(rows, 0.5)
+
+
+def test_a_shingle_that_one_component_fills_is_dealt_out(spark, monkeypatch):
+    """Two large groups that share rare shingles, and others beside them: every pair that may be similar is found, dealt or not."""
+    rows = [(i, i % 3, 10, [(2 + (h % 4 > 0), h) for h in sorted([1, 2, *range(10 + i % 3, 18 + i % 3)])]) for i in range(60)]
+    sets = spark.createDataFrame(rows, "node bigint, component bigint, size int, order array<struct<df:int,h:int>>")
+    found = []
+    for most in (256, 4):
+        monkeypatch.setattr(dartminhash, "KEY_ROWS", most)
+        found.append(rows_of(dartminhash.prefix_pairs(sets, 0.8), "a", "b"))
+    pairs = {(a, b) for a in range(60) for b in range(a) if a % 3 != b % 3 and len({x for _, x in rows[a][3]} & {x for _, x in rows[b][3]}) / len({x for _, x in rows[a][3]} | {x for _, x in rows[b][3]}) >= 0.8}
+    assert found[0] == found[1] and {(min(p), max(p)) for p in pairs} <= set(found[0])
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     for trial in range(3):
