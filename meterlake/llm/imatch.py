@@ -10,7 +10,8 @@ many documents there are. The lexicon is therefore safe to broadcast. Terms meet
 what is in the lexicon is gathered again, by document.
 
 Cases: a null text counts as empty; a text without lexicon terms (the empty one as well) is fingerprinted by its own hash, so it
-is like equal texts only; repeated rows count as documents of their own.
+is like equal texts only; repeated rows count as documents of their own; of equal keys the larger hash of the text comes first by
+descending key, null keys come last; a corpus of one document is its own next one; columns other than the key and the text take no part.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ SUBSETS = 64
 #: A prime, so that (a * x + b) mod PRIME < PRIME / density deals terms over subsets.
 PRIME = (1 << 31) - 1
 SEPARATORS = r"[\x20\x09-\x0D]+"
-#: Documents of one bucket of neighbouring ids, in bytes of input; the number of buckets is bounded.
+#: Documents of one bucket of neighbouring ids, in bytes of input. The bounds of buckets are a constant in the plan and their heads are
+#: broadcast, so there are at most MOST_BUCKETS (of 0.8 GB at 100 TB); KEYS keys for each bucket are looked at to find the bounds.
 BUCKET_BYTES = 8 << 20
-MOST_BUCKETS = 1 << 14
+MOST_BUCKETS = 1 << 17
+KEYS = 32
 
 
 def terms_of(text: Column) -> Column:
@@ -41,9 +44,8 @@ def multipliers() -> list[tuple[int, int, int]]:
     return [((s * 1103515245 + 12345) % (PRIME - 1) + 1, (s * 69069 + 1) * 2654435761 % PRIME, PRIME // DENSITIES[s % len(DENSITIES)]) for s in range(SUBSETS)]
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, df, code and mask: bit s of mask is set if the term is in subset s."""
-    n = docs.count()
+def lexicon(docs: DataFrame, n: int, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """term, df, code and mask: bit s of mask is set if the term is in subset s. n: how many documents there are."""
     counted = docs.select(F.explode(terms_of(blank_null())).alias("term")).where("term != ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     code = F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("bigint")
     x = F.pmod(F.col("code"), F.lit(PRIME))
@@ -96,8 +98,9 @@ def place_of(value: Column, bounds: Column, most: int) -> Column:
     return F.aggregate(halves, F.lit(0), lambda at, x: F.when(F.coalesce(F.get(bounds, at + x - 1) <= value, F.lit(False)), at + x).otherwise(at))
 
 
-def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs (key, text) with bucket, its place there, and next_text, the text of the next document by descending key; the last one's is the first's.
+def with_next(docs: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """docs (key, text) with bucket, its place there, and next_text, the text of the next document by descending key; the last one's is the
+    first's. rows: how many documents there are. head: whether the next document is in another bucket.
 
     Documents are dealt into buckets of neighbouring keys, one shuffle. Only a bucket's last row looks into another bucket; heads of
     buckets are found by key, so that no text moves for it, and joined by bucket. Of equal keys the larger row hash comes first, null
@@ -105,10 +108,14 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = min(MOST_BUCKETS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 2))
-    bounds = written(docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("bounds")), "bounds").first()[0]
-    bounds = sorted(set(bounds or []))  # at most MOST_BUCKETS numbers
-    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place_of(F.col(key), F.lit(bounds).cast("array<bigint>"), n)) if bounds else F.lit(-1)
+    n = min(MOST_BUCKETS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 2), max(2, rows))  # sizes may be unknown
+    lot = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) <= int(min(1.0, KEYS * n / max(1, rows)) * (1 << 30))
+    places = ", ".join(f"{i / n}D" for i in range(1, n))
+    found = docs.where(lot).select(F.col(key).alias("k")).agg(F.expr(f"percentile_approx(k, array({places}), {10 * n})").alias("bounds"))
+    bounds = sorted(set(written(found, "bounds", release=False).first()[0] or []))
+    # one constant, as text: a list of literals would cost the driver a call each
+    known = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place_of(F.col(key), known, n)) if bounds else F.lit(-1)
     keyed = docs.withColumn("tie", F.xxhash64("text"))
     # as many rows as there are buckets, at most MOST_BUCKETS, whatever the input is
     least = F.lit(-(1 << 63)).cast("bigint")
@@ -119,20 +126,23 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     order = Window.partitionBy("bucket").orderBy(F.col(key).asc_nulls_first(), "tie")
     led = keyed.withColumn("bucket", bucket).withColumns({"place": F.row_number().over(order), "led": F.lag("text").over(order)})
     joined = led.join(heads.select("before", F.col("text").alias("head")), F.col("bucket") == F.col("before"), "left")
-    return joined.select(key, "text", "bucket", "place", F.coalesce("led", "head").alias("next_text"))
+    return joined.select(key, "text", "bucket", "place", F.coalesce("led", "head").alias("next_text"), F.col("led").isNull().alias("head"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_chars, the digest of the edited text (its last half replaced by the next document's head), fingerprints of the text, the
     edited text and the next text as arrays, and the likeness of the first to the other two."""
     base = docs.select(F.col(key), blank_null().alias("text"))
-    lex = written(lexicon(base).select(F.xxhash64("term").alias("h"), "code", "mask"), "lexicon")
+    n = base.count()
+    lex = written(lexicon(base, n).select(F.xxhash64("term").alias("h"), "code", "mask"), "lexicon")
     half = F.floor(F.length("text") / 2).cast("int")
-    paired = with_next(base, key).withColumn("edited", F.concat(F.left("text", F.length("text") - half), F.left("next_text", half)))
+    paired = with_next(base, n, key).withColumn("edited", F.concat(F.left("text", F.length("text") - half), F.left("next_text", half)))
+    # a text is printed once: what follows it has its print in the row before, but for the first row of a bucket
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("t")) for i, c in enumerate(("text", "edited"))])
+    other = F.when(F.col("head"), F.array(F.struct(F.lit(2).alias("kind"), F.col("next_text").alias("t")))).otherwise(F.array().cast("array<struct<kind:int,t:string>>"))
     told = paired.select(
-        "bucket", "place", key, F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("t")) for i, c in enumerate(("text", "edited", "next_text"))])).alias("of"),
-    )
+        "bucket", "place", key, F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.concat(kinds, other)).alias("of")
+    )
     # the empty term stands for the text itself, so that texts without lexicon terms stay
     terms = told.withColumn("own", F.md5("of.t")).withColumn("term", F.explode(terms_of(F.col("of.t")))).withColumn("h", F.xxhash64("term"))
     met = terms.join(F.broadcast(lex), "h", "left").where("code is not null or term = ''")
@@ -141,5 +151,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     owns = [F.first(F.when(F.col("of.kind") == i, F.col("own")), True).alias(f"own{i}") for i in range(3)]
     # by bucket and place: the rows of a document lie in one task already
     grouped = met.groupBy("bucket", "place").agg(F.first(row, True).alias("row"), *kept, *owns)
-    out = grouped.select("row.*", *[hashes(F.col(f"kept{i}"), F.col(f"own{i}")).alias(c) for i, c in enumerate(("print", "edited_print", "next_print"))])
+    prints = [hashes(F.col(f"kept{i}"), F.col(f"own{i}")).alias(c) for i, c in enumerate(("print", "edited_print"))]
+    far = F.when(F.col("own2").isNotNull(), hashes(F.col("kept2"), F.col("own2"))).alias("far")
+    out = grouped.select("bucket", "place", "row.*", *prints, far)
+    out = out.withColumn("next_print", F.coalesce("far", F.lag("print").over(Window.partitionBy("bucket").orderBy("place")))).drop("bucket", "place", "far")
     return out.withColumns({"near_edited": likeness(F.col("print"), F.col("edited_print")), "near_next": likeness(F.col("print"), F.col("next_print"))})
