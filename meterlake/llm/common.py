@@ -25,12 +25,14 @@ _folders: dict[str, str] = {}
 
 def work_folder(spark: SparkSession) -> str:
     """A folder of this application in the one that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset
-    (local tests). It goes when the application ends."""
+    in local mode (tests). It goes when the application ends."""
     context = spark.sparkContext
     app = context.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="meterlake-"))
             base = context.getCheckpointDir()
         _folders[app] = f"{base.rstrip('/')}/meterlake-{app}"

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+import importlib.util
 
 from . import queries as registered
 
 
 def queries() -> dict:
-    return registered.queries() | {"pipeline": corpus_pipeline.run}
+    pipeline = _pipeline()
+    return registered.queries() | ({"pipeline": pipeline.run} if pipeline else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return registered.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    pipeline = _pipeline()
+    return registered.oracle_sql() | ({"pipeline": pipeline.ORACLE_SQL} if pipeline and pipeline.ORACLE_SQL else {})
+
+
+def _pipeline():
+    """The pipeline lies at the repository's top; with the package alone on the path there is none. Its own faults are not hidden."""
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        return None
+    import corpus_pipeline
+
+    return corpus_pipeline

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bind, blank_null, dropped, written
+from .common import bind, blank_null, dropped, whole_row, written
 
 TOPICS = 8
 TEMPER = 0.7
@@ -61,15 +61,16 @@ def topic_counts(text: Column, topics: int = TOPICS) -> Column:
 
 def described(docs: DataFrame, topics: int = TOPICS, texts: bool = True) -> DataFrame:
     """docs with n_tokens (words), topic and a number to draw by; written, so that texts are split once. texts: keep them."""
-    counted = docs.drop("n_tokens", "topic", "draw", "_words").withColumns({"_words": topic_counts(blank_null(), topics), "draw": draw_number(docs)})
-    counted = written(counted if texts else counted.drop("text"), "described")
-    sums = counted.agg(*[F.coalesce(F.sum(F.get("_words", F.lit(i))), F.lit(0)).alias(f"w{i}") for i in range(topics)]).first()
+    row = whole_row(docs, "n_tokens", "topic", "draw", *[] if texts else ["text"]).alias("row")
+    counted = written(docs.select(row, topic_counts(blank_null(), topics).alias("words"), draw_number(docs).alias("draw")), "described")
+    sums = counted.agg(*[F.coalesce(F.sum(F.get("words", F.lit(i))), F.lit(0)).alias(f"w{i}") for i in range(topics)]).first()
     total = max(1, sum(sums))
-    tokens = F.aggregate("_words", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    tokens = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, x: a + x)
     shares = F.array(*[F.lit(s / total) for s in sums])
-    excess = F.transform("_words", lambda w, i: F.struct((w / F.greatest(F.col("n_tokens"), F.lit(1)) - F.get(shares, i)).alias("by"), (-i).alias("first")))
+    excess = F.transform("words", lambda w, i: F.struct((w / F.greatest(F.col("n_tokens"), F.lit(1)) - F.get(shares, i)).alias("by"), (-i).alias("first")))
     counted = counted.withColumn("n_tokens", tokens)
-    return counted.withColumn("topic", F.when(F.col("n_tokens") > 0, (-F.array_max(excess)["first"]).cast("int"))).drop("_words")
+    topic = F.when(F.col("n_tokens") > 0, (-F.array_max(excess)["first"]).cast("int"))
+    return counted.select("row.*", "draw", "n_tokens", topic.alias("topic"))
 
 
 def draw_number(docs: DataFrame, key: str = "doc_id", seed: int = 11) -> Column:
@@ -229,9 +230,11 @@ def probabilities(docs: DataFrame, targets: dict[str, dict] | None = None, rate:
     raked = rake(*(budgeted(cells, goals, budget) if budget else (cells, goals))).withColumn("ratio", F.col("weight") / F.col("tokens"))
     most = raked.agg(F.max("ratio"), F.sum("tokens")).first()
     scale = 1.0 if budget else min(1.0 / most[0], rate * float(most[1])) if most[0] else 0.0
-    chance = raked.select(*[F.col(m).alias(f"_{m}") for m in margins], F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)).alias("probability"))
-    same = reduce(lambda a, b: a & b, [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in margins])
-    out = docs.drop("probability", "drawn").join(chance, same, "left").drop(*[f"_{m}" for m in margins])
-    out = out.withColumn("probability", F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0)))
-    return out.withColumn("drawn", F.pmod(F.col("draw"), F.lit(DRAWS)) < F.col("probability") * float(DRAWS))
-
+    chance = raked.select(*[F.col(m).alias(f"to_{m}") for m in margins], F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)).alias("chance"))
+    same = reduce(lambda a, b: a & b, [F.col(f"of_{m}").eqNullSafe(F.col(f"to_{m}")) for m in margins])
+    # the row as one struct, so that no column of the input meets a name used here
+    rows = docs.select(whole_row(docs, "probability", "drawn").alias("row"), *[F.col(m).alias(f"of_{m}") for m in margins], F.col("n_tokens").alias("size"), F.col("draw").alias("lot"))
+    out = rows.join(chance, same, "left")
+    chance = F.when(F.col("size") > 0, F.coalesce("chance", F.lit(0.0))).otherwise(F.lit(0.0))
+    out = out.select("row", "lot", chance.alias("chance"))
+    return out.select("row.*", F.col("chance").alias("probability"), (F.pmod(F.col("lot"), F.lit(DRAWS)) < F.col("chance") * float(DRAWS)).alias("drawn"))

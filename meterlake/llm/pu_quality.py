@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row
+from .common import whole_row, with_row
 from .fingerprints64 import text_parts, whole_texts
 from .shingles import shingles, words
 
@@ -178,6 +178,5 @@ def _scored(scorer: Scorer):
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with score; without the text unless keep_text says otherwise."""
-    kept = [c for c in docs.columns if c != "score" and (keep_text or c != text)]
-    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(whole_row(docs, "score", *[] if keep_text else [text]).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     return rows.mapInArrow(_scored(scorer), with_row(rows, "score double")).select("row.*", "score")

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, blank_null
+from .common import bind, blank_null, whole_row
 
 # fixed values: the word and symbol classes of the contract
 SPACE = r"[\x20\x09-\x0D]"
@@ -105,10 +105,12 @@ def judge(df: DataFrame) -> DataFrame:
     text = blank_null()
     full = bind(F.split(text, "\n"), lambda a: bind(F.filter(a, lambda x: x.rlike(NON_SPACE)), lambda b: F.size(b) - F.size(F.array_distinct(b))))
     counts = bind(words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
-    base = df.drop(*made).withColumns({"n_symbols": _count(text, SYMBOLS).cast("bigint"), "n_dup_lines": full.cast("bigint"), "clean_text": F.array_join(clean_lines(text), "\n"), "_counts": counts})
-    base = base.withColumns({c: F.col(f"_counts.{c}") for c in ("n_words", "word_chars", "n_repeat_words")}).drop("_counts")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = F.col("word_chars") - _without(F.col("clean_text"), f"{SPACE}+")
-    out = base.withColumns({"base_failed": failed, "lost_chars": lost})
-    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars"))
-    return out.withColumn("kept", kept)
+    # the row as one struct, so that no column of the input meets a name used here
+    base = df.select(
+        whole_row(df, *made).alias("row"), _count(text, SYMBOLS).cast("bigint").alias("n_symbols"), full.cast("bigint").alias("n_dup_lines"), F.array_join(clean_lines(text), "\n").alias("clean_text"), counts.alias("counts")
+    )
+    n_words, chars, again = (F.col(f"counts.{c}") for c in ("n_words", "word_chars", "n_repeat_words"))
+    failed = (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
+    out = base.withColumns({"base_failed": failed, "lost_chars": chars - _without(F.col("clean_text"), f"{SPACE}+")})
+    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * chars)
+    return out.select("row.*", n_words.alias("n_words"), chars.alias("word_chars"), "n_symbols", "n_dup_lines", again.alias("n_repeat_words"), "base_failed", "lost_chars", kept.alias("kept"), "clean_text")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row
+from .common import whole_row, with_row
 from .pieces import MODEL, OWN_SPACE, SPACE, Vocabulary, batches_of, by_length, code_points, distinct_words, hashed, prefixes, ragged, split_words, vocabulary
 
 LONG = 96
@@ -177,5 +177,5 @@ def _coded(path: str):
 def encode_documents(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
     """docs without the text, with piece_ids, n_pieces, the digest of what they decode to, and whether that is the text."""
     made = ["piece_ids", "n_pieces", "decoded_sha256", "round_trip"]
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in (*made, text)]).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(whole_row(docs, *made, text).alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(_coded(path), with_row(rows, "piece_ids array<int>, n_pieces bigint, decoded_sha256 string, round_trip boolean")).select("row.*", *made)

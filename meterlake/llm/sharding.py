@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Production parameters: 64 shards on a prime-sized table with over 100 slots a shard.
 SHARDS = 64
 SIZE = 8191
@@ -69,7 +71,7 @@ def assign_shards(df: DataFrame, names: list[str], size: int = SIZE, key: str =
         on = F.coalesce(on, F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(fallback).cast("string"), F.lit("")))))
     placed = df.drop("slot", "shard").withColumn("slot", slot(F.coalesce(on, F.lit("null:")), size))
     # `size` rows of two ints: bounded by the parameter, not by the data
-    return placed.join(F.broadcast(owners), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    return placed.join(F.broadcast(owners), "slot").select(*[F.col(quoted(c)) for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, names: list[str], size: int = SIZE, key: str = "doc_id", files_per_shard: int = 1) -> None:

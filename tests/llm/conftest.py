@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -16,7 +17,10 @@ def sample(spark):
     rows = [(i, t, ["en", "fr", None][i % 3], ["src0", None, "src1"][i % 3], len(t or ""), i, f"t{i}", 0.5) for i, t in enumerate(texts)]
     rows.append(rows[2])
     rows.append((None, "without an id", "en", "src0", 13, 0, "x", 0.0))
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, slot int, row string, score double").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, slot int, row string, score double")
+    # names that operators use themselves, and some that need quotes
+    clashes = {"a.b": 1, "_source": 2, "_lang": 3, "_topic": 4, "_counts": 5, "_words": 6, "words": 7, "counts": 8, "size": 9, "of_lang": 10, "x`y z": 11, "key": 12, "lot": 13}
+    return df.withColumns({k: F.lit(v) for k, v in clashes.items()}).repartition(3)
 
 
 def sha(b):
