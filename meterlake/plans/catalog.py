@@ -11,8 +11,8 @@ from meterlake.sources import decode, fixtures, generator
 
 from . import oracle
 
-#: The gate judges what is pending in the month of asking.
-BATCH_MONTH = "202401"
+#: The gate judges every pending event, whatever its own month, by the quotas of the month of asking.
+QUOTA_MONTH = fixtures.AS_OF[:7].replace("-", "")
 
 
 class Domain:
@@ -50,12 +50,11 @@ class Domain:
 
     @property
     def batch(self) -> DataFrame:
-        return self.passing.where(F.col("yyyymm") == BATCH_MONTH).select(F.col("arrival_seq").alias("seq"), "event_id", "sub_id", "family_id", "bytes")
+        return self.passing.select(F.col("arrival_seq").alias("seq"), "event_id", "sub_id", "family_id", "bytes")
 
     @property
     def gate_state(self) -> tuple[DataFrame, ...]:
-        month = BATCH_MONTH
-        gift_left = self.gifts.where(F.col("yyyymm") == month).groupBy("sub_id").agg(F.sum("gift_limit").cast("bigint").alias("gift_left"))
+        gift_left = self.gifts.where(F.col("yyyymm") == QUOTA_MONTH).groupBy("sub_id").agg(F.sum("gift_limit").cast("bigint").alias("gift_left"))
         plan_left = self.plans.select("sub_id", remaining(F.col("plan_limit"), F.lit(0)).alias("plan_left"))
         pool_left = self.families.select("family_id", F.greatest(F.lit(0), F.col("family_limit")).cast("bigint").alias("pool_left"))
         member_left = self.members.select("family_id", "sub_id", F.greatest(F.lit(0), F.col("member_limit")).cast("bigint").alias("member_left"))

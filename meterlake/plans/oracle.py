@@ -73,7 +73,7 @@ pass AS (SELECT * FROM ev WHERE sub_id NOT IN (SELECT sub_id FROM bt) AND sub_id
 """
 
 GATE = BLOCKS + """,
-batch AS (SELECT arrival_seq AS seq, event_id, sub_id, family_id, bytes, row_number() OVER (PARTITION BY sub_id ORDER BY arrival_seq) AS n FROM pass WHERE yyyymm = '202401'),
+batch AS (SELECT arrival_seq AS seq, event_id, sub_id, family_id, bytes, row_number() OVER (PARTITION BY sub_id ORDER BY arrival_seq) AS n FROM pass),
 gsum AS (SELECT sub_id, sum(gift_limit) AS g FROM gift WHERE yyyymm = '202401' GROUP BY sub_id),
 walk AS MATERIALIZED (
   WITH RECURSIVE w AS (
