@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.quota import GIFT_APP, MEMBER_LIMIT
+from meterlake.sources import decode
 
 POLICY_KINDS = ("POLICY_CHANGED", "POLICY_DEACTIVATE", "POLICY_DELETED")
 
@@ -18,11 +19,20 @@ def id_space(kind: Column) -> Column:
     return F.when(kind.isin(*POLICY_KINDS), F.lit("policy")).when(kind.startswith("FAMILY"), F.lit("family")).otherwise(F.lit("sub"))
 
 
-def once(events: DataFrame) -> DataFrame:
-    """The first event of each id and id space."""
+def once(events: DataFrame, applicable: Column | None = None) -> DataFrame:
+    """The first event of each id and id space, of those that are applicable."""
     rest = [c for c in events.columns if c not in ("event_id", "seq")]
-    lead = events.withColumn("space", id_space(F.col("kind"))).groupBy("space", "event_id").agg(F.min_by(F.struct("seq", *rest), "seq").alias("r"))
-    return lead.select("event_id", "r.*")
+    order = F.col("seq") if applicable is None else F.when(applicable, F.col("seq"))
+    lead = events.withColumn("space", id_space(F.col("kind"))).groupBy("space", "event_id").agg(F.min_by(F.struct("seq", *rest), order).alias("r"))
+    return lead.where("r is not null").select("event_id", "r.*")
+
+
+def accepted(events: DataFrame) -> DataFrame:
+    """The first of each change that can be applied; one that lacks a field of its kind changes nothing and takes no id.
+
+    The reason is judged in the aggregate: as a filter it would be pushed below the parsing of messages and copy that for each field.
+    """
+    return once(events, decode.refused(events).isNull())
 
 
 def _last(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
@@ -58,14 +68,18 @@ def member_limits_set(events: DataFrame, base: DataFrame) -> DataFrame:
     return base.join(_last(rows, ["family_id", "sub_id"], "new"), ["family_id", "sub_id"], "full").select("family_id", "sub_id", F.coalesce("new", "member_limit").alias("member_limit"))
 
 
-def policies(events: DataFrame) -> DataFrame:
+def policies(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """(sub_id, policy_id, store, encoded, expire_epoch) at the end: store is repeat for scheduled policies, time for others.
 
+    base (sub_id, policy_id, type, encoded, expire_epoch): policies at the start, none by default.
+
     A change puts a policy in one store and out of the other, a deactivation or deletion out of both (entries without subscribers do
     nothing), and a snapshot replaces all of a subscriber's policies: of what came before it nothing counts.
     """
     one = lambda p: [F.col(f"{p}.policyId").alias("policy_id"), F.col(f"{p}.policyType").alias("type"), F.col(f"{p}.encoded").alias("encoded"), F.col(f"{p}.expireEpoch").alias("expire_epoch")]
     changed = events.where("kind = 'POLICY_CHANGED'").select("seq", F.explode("subIds").alias("sub_id"), *one("policy"), F.lit(True).alias("on"))
+    if base is not None:
+        changed = changed.unionByName(base.select(F.lit(-1).cast("bigint").alias("seq"), "sub_id", "policy_id", "type", "encoded", "expire_epoch", F.lit(True).alias("on")))
     gone = events.where("kind in ('POLICY_DEACTIVATE', 'POLICY_DELETED')").select("seq", F.explode("policies").alias("p")).select("seq", F.explode("p.subIds").alias("sub_id"), *one("p"), F.lit(False).alias("on"))
     snapshots = events.where("kind = 'POLICY_SNAPSHOT'").select("seq", F.col("subId").alias("sub_id"), "policies")
     last = snapshots.groupBy("sub_id").agg(F.max("seq").alias("since"))
@@ -96,17 +110,24 @@ def membership_changes(events: DataFrame, base: DataFrame) -> DataFrame:
     return real.withColumn("size", F.sum(step).over(Window.partitionBy("family_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)).cast("bigint"))
 
 
-def family_state(events: DataFrame, base: DataFrame) -> DataFrame:
-    """(family_id, sub_id, member_limit, family_limit) after additions and removals. base (family_id, sub_id, member_limit).
+def family_state(events: DataFrame, base: DataFrame, families: DataFrame) -> DataFrame:
+    """(family_id, sub_id, member_limit, family_limit) after additions and removals.
 
-    A family's limit is five GiB a member; who joins may use all of it as it is then, while the others' limits stay.
+    base (family_id, sub_id, member_limit), families (family_id, family_limit): as stored at the start; a family that is not there has 0.
+    An addition raises the stored limit by five GiB, a removal lowers it by as much but not below 0: running sums less the lowest sum that
+    a removal has reached, if that is below 0. Who joins may use all of the limit as it is then, while the others' limits stay.
     """
-    changes = membership_changes(events, base)
-    latest = changes.groupBy("family_id", "sub_id").agg(F.max_by(F.struct("seq", "added", "size"), "seq").alias("v")).where("v.added")
-    sizes = changes.groupBy("family_id").agg(F.sum(F.when(F.col("added"), 1).otherwise(-1)).cast("bigint").alias("n"))
-    joined = latest.join(base, ["family_id", "sub_id"], "left").join(sizes, "family_id")
-    limit = F.when(F.col("v.seq") >= 0, F.col("v.size") * MEMBER_LIMIT).otherwise(F.col("member_limit"))
-    return joined.select("family_id", "sub_id", limit.cast("bigint").alias("member_limit"), (F.col("n") * MEMBER_LIMIT).cast("bigint").alias("family_limit"))
+    so_far = Window.partitionBy("family_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("seq") < 0, 0).when(F.col("added"), MEMBER_LIMIT).otherwise(-MEMBER_LIMIT)
+    rows = membership_changes(events, base).join(families.select("family_id", "family_limit"), "family_id", "left")
+    rows = rows.withColumn("total", F.coalesce("family_limit", F.lit(0)) + F.sum(step).over(so_far))
+    lowest = F.min(F.when((F.col("seq") >= 0) & ~F.col("added"), F.col("total"))).over(so_far)
+    rows = rows.withColumn("now", (F.col("total") - F.least(F.lit(0), F.coalesce(lowest, F.lit(0)))).cast("bigint"))
+    latest = rows.groupBy("family_id", "sub_id").agg(F.max_by(F.struct("seq", "added", "now"), "seq").alias("v")).where("v.added")
+    ends = rows.groupBy("family_id").agg(F.max_by("now", "seq").alias("family_limit"))
+    joined = latest.join(base, ["family_id", "sub_id"], "left").join(ends, "family_id")
+    limit = F.when(F.col("v.seq") >= 0, F.col("v.now")).otherwise(F.col("member_limit"))
+    return joined.select("family_id", "sub_id", limit.cast("bigint").alias("member_limit"), "family_limit")
 
 
 def modes(events: DataFrame, base: DataFrame) -> DataFrame:
@@ -120,16 +141,24 @@ def modes(events: DataFrame, base: DataFrame) -> DataFrame:
 def priorities_after(events: DataFrame, base: DataFrame, members: DataFrame) -> DataFrame:
     """(family_id, sub_id, score) of families in priority mode after additions and removals.
 
-    Who joins goes last, and a removal moves those behind up, so scores are places: first those there from the start, then the others as
-    they came. A family whose last listed member leaves has no list from then on.
+    Who joins goes behind the highest score; the removal of a listed member moves those with higher scores up by one, so that equal scores
+    stay equal, and the removal of one who was never listed moves nobody. A list that has become empty is gone. Each step needs the scores
+    that the one before left: an ordered fold over a family's changes.
     """
-    listed = base.select("family_id").distinct()
-    changes = membership_changes(events, members).join(listed, "family_id", "left_semi")
-    emptied = changes.where("size = 0").groupBy("family_id").agg(F.max("seq").alias("at")).select("family_id")
-    latest = changes.join(emptied, "family_id", "left_anti").groupBy("family_id", "sub_id").agg(F.max_by(F.struct("seq", "added"), "seq").alias("v")).where("v.added")
-    rows = latest.join(base, ["family_id", "sub_id"], "left")
-    place = F.row_number().over(Window.partitionBy("family_id").orderBy("v.seq", F.col("score").asc_nulls_last(), "sub_id")) - 1
-    return rows.select("family_id", "sub_id", place.cast("bigint").alias("score"))
+    listed = base.groupBy("family_id").agg(F.collect_list(F.struct(F.col("sub_id").cast("bigint").alias("sub_id"), F.col("score").cast("bigint").alias("score"))).alias("start"))
+    changes = membership_changes(events, members).where("seq >= 0").join(listed.select("family_id"), "family_id", "left_semi")
+    steps = changes.groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("seq", "sub_id", "added"))).alias("steps"))
+
+    def step(rows: Column, e: Column) -> Column:
+        others = F.filter(rows, lambda x: x["sub_id"] != e["sub_id"])
+        behind = F.struct(e["sub_id"].alias("sub_id"), (F.array_max(F.transform(rows, lambda x: x["score"])) + 1).alias("score"))
+        left = F.array_max(F.transform(F.filter(rows, lambda x: x["sub_id"] == e["sub_id"]), lambda x: x["score"]))
+        closed = F.transform(others, lambda x: F.struct(x["sub_id"].alias("sub_id"), F.when(x["score"] > left, x["score"] - 1).otherwise(x["score"]).alias("score")))
+        return F.when(F.size(rows) == 0, rows).when(e["added"], F.concat(others, F.array(behind))).otherwise(closed)
+
+    none = F.array().cast("array<struct<seq:bigint,sub_id:bigint,added:boolean>>")
+    rows = listed.join(steps, "family_id", "left").select("family_id", F.aggregate(F.coalesce("steps", none), F.col("start"), step).alias("list"))
+    return rows.select("family_id", F.explode("list").alias("x")).select("family_id", "x.sub_id", "x.score")
 
 
 def received_gifts(events: DataFrame, base: DataFrame) -> DataFrame:

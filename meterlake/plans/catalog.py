@@ -38,7 +38,7 @@ class Domain:
     split = property(lambda s: allocate.split_gifts(s.allocated))
     log = property(lambda s: alerts.applied_log(s.allocated))
     passing = property(lambda s: policy.passing(s.events, s.locked, s.block_time, s.block_app, s.block_repeat, fixtures.AS_OF))
-    control = property(lambda s: control.once(decode.control(fixtures.control_messages(s.spark, s.dir))))
+    control = property(lambda s: control.accepted(decode.control(fixtures.control_messages(s.spark, s.dir))))
     policy_sub = property(lambda s: fixtures.policy_sub(s.spark, s.dir))
     policies = property(lambda s: fixtures.policies(s.spark))
     presents = property(lambda s: fixtures.present_data(s.spark, s.dir))
@@ -120,7 +120,7 @@ QUERIES = {
     "policy_latest": lambda d: control.policies(d.control),
     "member_limit_latest": lambda d: control.member_limits_set(d.control, d.members),
     "family_created": lambda d: control.created_families(d.control),
-    "family_state": lambda d: control.family_state(d.control, d.members),
+    "family_state": lambda d: control.family_state(d.control, d.members, d.families),
     "priority_state": lambda d: control.priorities_after(d.control, d.priorities, d.members),
     "mode_latest": lambda d: control.modes(d.control, d.priorities),
     "gift_append": lambda d: control.received_gifts(d.control, d.gifts),

@@ -259,8 +259,18 @@ SELECT family_id, sub_id, CAST(coalesce(v, member_limit) AS BIGINT) AS member_li
     "family_created": BASE + CONTROL + ", fc AS (SELECT fam + 100000 AS family_id, arg_max(sub, seq) AS s FROM ctl WHERE kind = 'FAMILY_CREATE' GROUP BY ALL) SELECT family_id, s + d AS sub_id, CAST(15728640 AS BIGINT) AS member_limit, CAST(15728640 AS BIGINT) AS family_limit FROM fc, range(3) AS t(d)",
     "family_state": BASE + CONTROL + """, lt AS (SELECT family_id, sub_id, arg_max(added, seq) AS added, max(seq) AS seq, arg_max(size, seq) AS size FROM sized GROUP BY ALL), sz AS (SELECT family_id, sum(CASE WHEN added THEN 1 ELSE -1 END) AS n FROM real GROUP BY family_id)
 SELECT family_id, sub_id, CAST(CASE WHEN seq >= 0 THEN size * 5242880 ELSE member_limit END AS BIGINT) AS member_limit, CAST(n * 5242880 AS BIGINT) AS family_limit FROM lt JOIN sz USING (family_id) LEFT JOIN member USING (family_id, sub_id) WHERE added""",
-    "priority_state": BASE + CONTROL + """, lp AS (SELECT family_id, sub_id, arg_max(added, seq) AS added, max(seq) AS seq FROM sized WHERE family_id % 2 = 0 AND family_id IN (SELECT family_id FROM member) AND family_id NOT IN (SELECT family_id FROM sized WHERE size = 0) GROUP BY ALL)
-SELECT family_id, sub_id, CAST(row_number() OVER (PARTITION BY family_id ORDER BY seq, priority NULLS LAST, sub_id) - 1 AS BIGINT) AS score FROM lp LEFT JOIN member USING (family_id, sub_id) WHERE added""",
+    "priority_state": BASE + CONTROL + """, steps AS (SELECT family_id, sub_id, added, row_number() OVER (PARTITION BY family_id ORDER BY seq) AS i FROM real WHERE seq >= 0),
+lists AS (
+  WITH RECURSIVE p AS (
+    SELECT family_id, CAST(0 AS BIGINT) AS i, list({'sub': sub_id, 'score': CAST(priority AS BIGINT)}) AS l FROM member WHERE priority >= 0 GROUP BY family_id
+    UNION ALL
+    SELECT family_id, i, CASE WHEN len(l) = 0 THEN l
+      WHEN added THEN list_append(list_filter(l, lambda x: x.sub <> sub_id), {'sub': sub_id, 'score': list_max(list_transform(l, lambda x: x.score)) + 1})
+      ELSE list_transform(list_filter(l, lambda x: x.sub <> sub_id), lambda x: {'sub': x.sub, 'score': CASE WHEN x.score > own THEN x.score - 1 ELSE x.score END}) END
+    FROM (SELECT p.family_id, steps.i, l, added, CAST(steps.sub_id AS BIGINT) AS sub_id, list_max(list_transform(list_filter(l, lambda x: x.sub = steps.sub_id), lambda x: x.score)) AS own
+      FROM p JOIN steps ON steps.family_id = p.family_id AND steps.i = p.i + 1)
+  ) SELECT * FROM p)
+SELECT family_id, CAST(x.sub AS BIGINT) AS sub_id, x.score AS score FROM (SELECT family_id, unnest(arg_max(l, i)) AS x FROM lists GROUP BY family_id)""",
     "mode_latest": BASE + CONTROL + """, lm AS (SELECT fam, arg_max(n, seq) AS n, arg_max(sub, seq) AS s FROM ctl WHERE kind = 'FAMILY_MODE_CHANGED' GROUP BY fam)
 SELECT family_id, sub_id, CAST(priority AS BIGINT) AS score FROM member WHERE priority >= 0 AND family_id NOT IN (SELECT fam FROM lm) UNION ALL SELECT fam, s + d, 1 - d FROM lm, range(2) AS t(d) WHERE n % 2 = 0""",
     "gift_append": BASE + CONTROL + """, ng AS (SELECT sub AS sub_id, 'g' || CAST(seq AS VARCHAR) AS gift_id, strftime(ts, '%Y%m') AS yyyymm, amount AS gift_limit, row_number() OVER (PARTITION BY sub, strftime(ts, '%Y%m') ORDER BY seq) AS p FROM ctl WHERE kind = 'GIFT_RECEIVED')

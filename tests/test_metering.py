@@ -154,13 +154,51 @@ def test_family_changes(spark):
     ev = spark.createDataFrame([(1, "FAMILY_MEMBER_ADDED", "1", 1, 11, None, None, None, None), (2, "FAMILY_MEMBER_ADDED", "2", 1, 12, None, None, None, None), (3, "FAMILY_MEMBER_REMOVED", "3", 1, 10, None, None, None, None), (4, "FAMILY_MEMBER_REMOVED", "4", 1, 99, None, None, None, None), (5, "FAMILY_MEMBER_REMOVED", "5", 2, 20, None, None, None, None), (6, "FAMILY_MEMBER_ADDED", "6", 2, 21, None, None, None, None)], CONTROL)
     base = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (2, 20, 7)], "family_id bigint, sub_id bigint, member_limit bigint")
     gib5 = quota.MEMBER_LIMIT
-    got = {(r.family_id, r.sub_id): (r.member_limit, r.family_limit) for r in control.family_state(ev, base).collect()}
-    assert got == {(1, 11): (6, 2 * gib5), (1, 12): (3 * gib5, 2 * gib5), (2, 21): (gib5, gib5)}
+    state = lambda *limits: {(r.family_id, r.sub_id): (r.member_limit, r.family_limit) for r in control.family_state(ev, base, spark.createDataFrame(list(limits), "family_id bigint, family_limit bigint")).collect()}
+    assert state((1, 2 * gib5), (2, gib5)) == {(1, 11): (6, 2 * gib5), (1, 12): (3 * gib5, 2 * gib5), (2, 21): (gib5, gib5)}
+    assert state((1, 7), (2, 3)) == {(1, 11): (6, 7), (1, 12): (7 + gib5, 7), (2, 21): (gib5, gib5)}  # no limit falls below 0
+    assert state((2, -4)) == {(1, 11): (6, 0), (1, 12): (gib5, 0), (2, 21): (gib5, gib5)}
     scores = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (2, 20, 0)], "family_id bigint, sub_id bigint, score bigint")
     got = {(r.family_id, r.sub_id): r.score for r in control.priorities_after(ev, scores, base).collect()}
     assert got == {(1, 11): 0, (1, 12): 1}  # family 2 lost its last listed member
 
 
+def test_priorities_of_unlisted_members_and_ties(spark):
+    def after(changes, scores, members):
+        ev = spark.createDataFrame([(n, f"FAMILY_MEMBER_{kind}", str(n), 1, sub, None, None, None, None) for n, (kind, sub) in enumerate(changes)], CONTROL)
+        base = spark.createDataFrame([(1, *x) for x in scores], "family_id bigint, sub_id bigint, score bigint")
+        return {r.sub_id: r.score for r in control.priorities_after(ev, base, spark.createDataFrame([(1, m) for m in members], "family_id bigint, sub_id bigint")).collect()}
+
+    assert after([("ADDED", 30)], [(10, 0), (11, 1)], [10, 11, 12]) == {10: 0, 11: 1, 30: 2}  # 12 was never listed
+    assert after([("REMOVED", 10), ("REMOVED", 11), ("ADDED", 30)], [(10, 0), (11, 1)], [10, 11, 12]) == {}
+    assert after([("REMOVED", 12)], [(10, 0), (11, 5)], [10, 11, 12]) == {10: 0, 11: 5}
+    assert after([("REMOVED", 10), ("ADDED", 13)], [(10, 1), (11, 1), (12, 4)], [10, 11, 12]) == {11: 1, 12: 3, 13: 4}
+    assert after([], [(10, 3)], [10]) == {10: 3}
+
+
+def test_malformed_changes_are_left_out(spark):
+    import json
+
+    from meterlake.sources import decode
+
+    texts = [{"type": "PLAN_CHANGED", "eventId": "a", "subId": 1, "planLimit": 70}, {"type": "PLAN_CHANGED", "eventId": "b", "subId": 1}, {"type": "PLAN_CHANGED", "subId": 1, "planLimit": 5}, {"type": "PLAN_CHANGED", "subId": 2, "planLimit": 6}, {"type": "PLAN_CHANGED", "eventId": "b", "subId": 2, "planLimit": 90}]
+    events = decode.control(spark.createDataFrame([(n, json.dumps(t)) for n, t in enumerate(texts)], "seq bigint, value string"))
+    base = spark.createDataFrame([(1, 100), (2, 100)], "sub_id bigint, plan_limit bigint")
+    assert {r.sub_id: r.plan_limit for r in control.plan_limits(control.accepted(events), base).collect()} == {1: 70, 2: 90}
+
+
+def test_policies_on_a_base(spark):
+    import json
+
+    from meterlake.sources import decode
+
+    policy = lambda n: {"policyId": n, "policyType": "SCHEDULED", "encoded": "new"}
+    texts = [{"type": "POLICY_CHANGED", "eventId": "a", "policy": policy(2), "subIds": [1]}, {"type": "POLICY_SNAPSHOT", "eventId": "b", "subId": 2, "policies": [policy(3)]}, {"type": "POLICY_DELETED", "eventId": "c", "policies": [policy(5) | {"subIds": [1]}]}]
+    events = control.accepted(decode.control(spark.createDataFrame([(n, json.dumps(t)) for n, t in enumerate(texts)], "seq bigint, value string")))
+    base = spark.createDataFrame([(1, 1, "SCHEDULED", "old", None), (1, 2, "SCHEDULED", "old", None), (1, 5, "SCHEDULED", "old", None), (2, 1, "SCHEDULED", "old", None)], "sub_id bigint, policy_id bigint, type string, encoded string, expire_epoch bigint")
+    assert sorted((r.sub_id, r.policy_id, r.encoded) for r in control.policies(events, base).collect()) == [(1, 1, "old"), (1, 2, "new"), (2, 3, "new")]
+
+
 def test_empty_tables(spark):
     events, plans, families, members, gifts = (spark.createDataFrame([], EVENT), *[spark.createDataFrame([], s) for s in ("sub_id bigint, plan_limit bigint", "family_id bigint, family_limit bigint", "family_id bigint, sub_id bigint, member_limit bigint", "sub_id bigint, gift_id string, yyyymm string, gift_limit bigint, score int")])
     allocated = allocate.allocate(events, plans, families, members, gifts)
