@@ -29,7 +29,7 @@ def once_end_epoch(raw: Column) -> Column:
     """Epoch seconds of the end of a one-time policy: digits, or a local time in one of two spellings; 0 if it is neither."""
     text = F.trim(F.coalesce(raw, F.lit("")))
     seconds = F.when(F.length(F.regexp_replace(text, "[^:]", "")) == 1, F.concat(text, F.lit(":00"))).otherwise(text)
-    local = lambda pattern: F.unix_timestamp(F.try_to_timestamp(seconds, F.lit(pattern))) - 9 * 3600
+    local = lambda pattern: F.unix_timestamp(F.try_to_timestamp(F.concat(seconds, F.lit("+09:00")), F.lit(pattern + "XXX")))
     digits = F.when(text.rlike("^[0-9]+$"), F.try_cast(text, "bigint") if hasattr(F, "try_cast") else text.try_cast("bigint"))
     return F.coalesce(digits, local("yyyy.MM.dd'T'HH:mm:ss"), local("yyyy-MM-dd'T'HH:mm:ss"), F.lit(0).cast("bigint"))
 

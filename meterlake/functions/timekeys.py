@@ -12,6 +12,16 @@ def kst(ts: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(ZONE), ts)
 
 
+def utc(instant: Column) -> Column:
+    """The UTC time, without a zone, of an instant; the session's zone has no part in it."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
+
+
+def epoch_seconds(local: Column) -> Column:
+    """Seconds from 1970 of a time without a zone, read as UTC, whatever the session's zone."""
+    return F.unix_date(F.to_date(local)).cast("bigint") * 86400 + F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+
+
 def month_key(local: Column) -> Column:
     return F.date_format(local, "yyyyMM")
 
@@ -28,7 +38,7 @@ def slot_key(local: Column) -> Column:
 def time_parts(local: Column) -> dict[str, Column]:
     """Epoch seconds (of the UTC instant), ISO day of week, HH:mm, month and day of a local time."""
     return {
-        "epoch": F.unix_timestamp(local.cast("timestamp")) - 9 * 3600,
+        "epoch": epoch_seconds(local) - 9 * 3600,
         "iso_day": (F.weekday(local) + 1).cast("int"),
         "hhmm": F.date_format(local, "HH:mm"),
         "yyyymm": month_key(local),

@@ -33,7 +33,7 @@ def gifts(present_data: DataFrame) -> DataFrame:
     made = present_data.select("present_data_id", "target_sub_id", "data_amount", "created_time")
     return made.select(
         F.col("target_sub_id").alias("sub_id"), F.col("present_data_id").cast("string").alias("gift_id"), timekeys.month_key(F.col("created_time")).alias("yyyymm"), F.col("data_amount").alias("gift_limit"),
-        (F.unix_timestamp(F.col("created_time").cast("timestamp")) - 9 * 3600).alias("score"),
+        (timekeys.epoch_seconds(F.col("created_time")) - 9 * 3600).alias("score"),
     )
 
 

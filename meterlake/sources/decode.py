@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.functions import policy_text
+from meterlake.functions import policy_text, timekeys
 
 # fixed values: message schemas and topic settings
 USAGE_SCHEMA = "eventId string, subId bigint, familyId bigint, bytes bigint, appId string, occurredAt timestamp"
@@ -21,12 +21,12 @@ MOST_WRAPS = 32
 
 
 def usage(values: DataFrame, column: str = "value") -> DataFrame:
-    """Usage events from JSON text; app ids come as text or numbers."""
-    e = F.from_json(F.col(column).cast("string"), USAGE_SCHEMA)
+    """Usage events from JSON text; app ids come as text or numbers, times with a zone or in UTC."""
+    e = F.from_json(F.col(column).cast("string"), USAGE_SCHEMA, {"timeZone": "UTC"})
     rows = values.select(*[c for c in values.columns if c != column], e.alias("e"))
     return rows.select(
         *[c for c in rows.columns if c != "e"], F.col("e.eventId").alias("event_id"), F.col("e.subId").alias("sub_id"), F.coalesce("e.familyId", F.lit(0)).cast("bigint").alias("family_id"), "e.bytes",
-        F.col("e.appId").try_cast("bigint").alias("app_id"), F.to_timestamp_ntz(F.date_format("e.occurredAt", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("occurred_at"),
+        F.col("e.appId").try_cast("bigint").alias("app_id"), timekeys.utc(F.col("e.occurredAt")).alias("occurred_at"),
     )
 
 

@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from meterlake.functions import policy_text, timekeys
 from meterlake.operators import alerts
 from meterlake.plans.catalog import Domain
 from meterlake.sources import decode
@@ -24,6 +27,22 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert sorted(r[0] for r in box.select("alert_id").collect()) == sorted(r[0] for r in want.collect())
 
 
+def test_times_hold_in_any_session_zone(spark):
+    text = '{"eventId": "e", "subId": 1, "bytes": 5, "appId": 3, "occurredAt": "%s"}'
+    rows = spark.createDataFrame([(text % "2024-01-20T00:00:00Z",), (text % "2024-01-20T00:00:00",), (text % "2024-01-20T09:00:00.123456+09:00",)], "value string")
+    ends = spark.createDataFrame([("2024-01-20T10:00:30",)], "end string")
+    before, got = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for zone in ("UTC", "Asia/Seoul", "Europe/London"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            times = [str(r[0]) for r in decode.usage(rows).select("occurred_at").collect()]
+            epoch = timekeys.time_parts(F.to_timestamp_ntz(F.lit("2024-07-20 09:00:30")))["epoch"]
+            got.append((times, *ends.select(policy_text.once_end_epoch(F.col("end")), epoch).first()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [(["2024-01-20 00:00:00", "2024-01-20 00:00:00", "2024-01-20 00:00:00.123456"], 1705712430, 1721433630)] * 3
+
+
 def test_append_once_and_failures(spark, tmp_path):
     path = str(tmp_path / "t")
     a = spark.createDataFrame([("x", 1), ("y", 2), ("x", 1)], "event_id string, n int")
