@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, html_text, imatch, langid, mixing, pu_quality, quality_rules, sentencepiece_codec, sharding, sql, suffix_dedup
+from . import dartminhash, decontaminate, html_text, imatch, importance, langid, mixing, pu_quality, quality_rules, ranked_search, sentencepiece_codec, sharding, sql, suffix_dedup
 from .common import table
 
 
@@ -67,6 +67,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "drawn")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resampled(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.marks(docs, table(spark, sf_dir, "benchmark"))).select("doc_id", *decontaminate.MADE)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import imatch
+from . import imatch, importance
 from . import quality_rules as rules
 from . import sharding
 
@@ -104,4 +104,67 @@ FROM ed JOIN print p0 ON p0.r = ed.r AND p0.kind = 0 JOIN print p1 ON p1.r = ed.
 """
 
 
-ORACLES = {"op1_dartminhash": _dartminhash(), "op8_imatch": _imatch(), "op9_suffix_dedup": REPEATS, "op5_quality_rules": _quality_rules(), "op6_sharding": _sharding()}
+#: Words of operators 11 to 13, after A-Z are lower-cased.
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+RANKED = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS length FROM doc WHERE len(w) > 0),
+tf AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM doc) GROUP BY r, t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+size AS (SELECT r, doc_id, CAST(75 + (25 * CAST(len(w) AS HUGEINT) * docs) // length AS BIGINT) AS m FROM doc, total WHERE len(w) > 0),
+item AS (SELECT item_id, t, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, t),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * weight.w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM item JOIN tf USING (t) JOIN weight USING (t) JOIN size USING (r) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def _importance() -> str:
+    m = importance
+    return f"""
+WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS x FROM step WHERE k = 8),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+doc_word AS (SELECT r, unnest(w) AS t FROM doc),
+item_word AS (SELECT unnest({_TERMS}) AS t FROM benchmark),
+word AS (SELECT DISTINCT t, hex(encode(t)) AS h FROM (SELECT t FROM doc_word UNION ALL SELECT t FROM item_word)),
+bucket AS MATERIALIZED (SELECT t, xor(4294967295, list_reduce(
+    list_prepend(4294967295, [CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT) FOR k IN range(len(h) // 2)]),
+    lambda c, b: xor(c // 256, x[xor(c % 256, b) + 1]))) % {m.BUCKETS} AS b FROM word, crc_table),
+s AS (SELECT b, count(*) AS s FROM doc_word JOIN bucket USING (t) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM item_word JOIN bucket USING (t) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + {m.BUCKETS})
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + {m.BUCKETS})))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT b FROM bucket) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+weight AS (SELECT r, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight FROM doc_word JOIN bucket USING (t) JOIN gain USING (b) GROUP BY r),
+noise AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('{m.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM doc LEFT JOIN weight USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM noise),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= {m.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= {m.PERCENT} * n // 100 THEN rank END AS BIGINT) AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+DECONTAMINATE = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+item AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+piece AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM item WHERE len(w) > 0)),
+size AS (SELECT DISTINCT k FROM piece),
+gram AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM doc, size WHERE len(w) >= k)),
+met AS MATERIALIZED (SELECT r, i, gram.k, g FROM gram WHERE EXISTS (SELECT 1 FROM piece WHERE piece.k = gram.k AND piece.g = gram.g)),
+hit AS (SELECT r, count(DISTINCT i + j) AS n FROM met, range(10) t(j) WHERE j < k GROUP BY r),
+of_item AS (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM met JOIN piece USING (k, g) WHERE item_id IS NOT NULL),
+named AS (SELECT r, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS ids FROM of_item GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+ORACLES = {"op11_ranked_search": RANKED, "op12_importance": _importance(), "op13_decontaminate": DECONTAMINATE} | {"op1_dartminhash": _dartminhash(), "op8_imatch": _imatch(), "op9_suffix_dedup": REPEATS, "op5_quality_rules": _quality_rules(), "op6_sharding": _sharding()}
