@@ -1,12 +1,14 @@
 """python -m meterlake seed SOURCE TARGET | query NAME SF_DIR | stream SOURCE STATE TARGET
 
-seed makes the state tables from Parquet tables below SOURCE; stream applies JSON files below SOURCE with the state tables below STATE.
+seed makes the state tables from Parquet tables below SOURCE; stream applies JSON files below SOURCE/usage and
+SOURCE/changes, with the state tables below STATE.
 """
 
 from __future__ import annotations
 
 import sys
 
+from meterlake.operators import versioned
 from meterlake.plans import catalog, seed
 from meterlake.session import local_session
 from meterlake.streaming import job
@@ -24,7 +26,9 @@ def main(args: list[str]) -> int:
         catalog.queries()[rest[0]](spark, rest[1]).show(50, truncate=False)
     elif command == "stream" and len(rest) == 3:
         source, state, target = rest
-        job.run_files(spark, source, target, *[read(f"{state}/{t}") for t in ("plan_limit", "family_limit", "family_member", "gift")]).awaitTermination()
+        plans, gifts, families, members, scores = (read(f"{state}/{t}") for t in ("plan_limit", "gift", "family_limit", "family_member", "family_priority"))
+        subscribers, pools = versioned.stored_subscribers(plans, gifts), versioned.stored_families(families, members, scores)
+        job.run_files(spark, f"{source}/usage", target, subscribers, pools, f"{source}/changes").awaitTermination()
     else:
         print(__doc__)
         return 2

@@ -57,10 +57,18 @@ def outbox(allocated: DataFrame) -> DataFrame:
     )
 
 
+def with_payload(rows: DataFrame) -> DataFrame:
+    """Outbox rows with `payload`, the message as JSON text."""
+    names = {
+        "alert_id": "alertId", "event_type": "eventType", "alert_type": "alertType", "sub_id": "subId", "family_id": "familyId", "threshold": "threshold", "gift_id": "giftId",
+        "provided_amount": "providedAmount", "used_percent": "usedPercent", "used_amount": "usedAmount", "created_time": "createdTime",
+    }
+    return rows.withColumn("payload", F.to_json(F.struct(*[F.col(a).alias(b) for a, b in names.items()])))
+
+
 def payload(rows: DataFrame) -> DataFrame:
-    """Outbox rows with the message as JSON text."""
-    names = {"alert_id": "alertId", "event_type": "eventType", "alert_type": "alertType", "sub_id": "subId", "family_id": "familyId", "threshold": "threshold", "gift_id": "giftId", "provided_amount": "providedAmount", "used_percent": "usedPercent", "used_amount": "usedAmount", "created_time": "createdTime"}
-    return rows.select("alert_id", "aggregatetype", "aggregateid", F.col("event_type").alias("type"), F.to_json(F.struct(*[F.col(a).alias(b) for a, b in names.items()])).alias("payload"))
+    """The part of outbox rows that a publisher sends."""
+    return with_payload(rows).select("alert_id", "aggregatetype", "aggregateid", F.col("event_type").alias("type"), "payload")
 
 
 def applied_log(allocated: DataFrame) -> DataFrame:

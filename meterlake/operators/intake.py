@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions import timekeys
@@ -32,7 +32,11 @@ def accepted(raw: DataFrame) -> DataFrame:
     return lead.select("event_id", "row.*")
 
 
+def reason() -> Column:
+    """Why no state may see a message, or null."""
+    return F.when(F.col("event_id").isNull(), F.lit("NO_EVENT_ID")).when(F.col("occurred_at").isNull(), F.lit("NO_TIME")).when(F.coalesce(F.col("bytes"), F.lit(0)) <= 0, F.lit("INVALID_BYTES"))
+
+
 def quarantined(raw: DataFrame) -> DataFrame:
     """Messages that no state may see, with the reason."""
-    reason = F.when(F.col("event_id").isNull(), F.lit("NO_EVENT_ID")).when(F.col("occurred_at").isNull(), F.lit("NO_TIME")).when(F.coalesce(F.col("bytes"), F.lit(0)) <= 0, F.lit("INVALID_BYTES"))
-    return raw.withColumn("reason", reason).where("reason is not null")
+    return raw.withColumn("reason", reason()).where("reason is not null")

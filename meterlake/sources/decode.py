@@ -30,10 +30,16 @@ def usage(values: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def encoded_usage() -> Column:
+    """The message of a usage event, as JSON text."""
+    names = {"event_id": "eventId", "sub_id": "subId", "family_id": "familyId", "bytes": "bytes"}
+    body = F.struct(*[F.col(a).alias(b) for a, b in names.items()], F.col("app_id").cast("string").alias("appId"), F.col("occurred_at").alias("occurredAt"))
+    return F.to_json(body, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+
+
 def encode_usage(events: DataFrame, key: str = "family_id") -> DataFrame:
     """(key, value) for a message sink. The key is the family, so that a family's events stay in order; pass event_id for the old way."""
-    body = F.struct(F.col("event_id").alias("eventId"), F.col("sub_id").alias("subId"), F.col("family_id").alias("familyId"), F.col("bytes").alias("bytes"), F.col("app_id").cast("string").alias("appId"), F.col("occurred_at").alias("occurredAt"))
-    return events.select(F.col(key).cast("string").alias("key"), F.to_json(body).alias("value"))
+    return events.select(F.col(key).cast("string").alias("key"), encoded_usage().alias("value"))
 
 
 def control(values: DataFrame, levels: int = MOST_WRAPS, column: str = "value") -> DataFrame:

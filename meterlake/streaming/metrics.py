@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -12,6 +12,11 @@ def counted(statuses: DataFrame, name: str = "usage_status") -> DataFrame:
     return statuses.observe(name, *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("ok", "dup", "invalid_bytes")])
 
 
+def tallied(rows: DataFrame, name: str, **conditions: Column) -> DataFrame:
+    """rows with counters, as an observation of that name, of those that meet each condition."""
+    return rows.observe(name, *[F.count(F.when(c, 1)).alias(k) for k, c in conditions.items()])
+
+
 class Progress(StreamingQueryListener):
     """Keeps the latest figures of each query for a scraper, and a running sum of rows."""
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Signs in an error's chain that a retry can't help: data faults by SQL state class, and broken JSON.
 PERMANENT_STATES = ("22", "23", "42")
@@ -26,20 +27,38 @@ def is_permanent(error: BaseException | None) -> bool:
     return False
 
 
-def _existing(df: DataFrame, path: str, key: str) -> DataFrame | None:
+def _existing(df: DataFrame, path: str, columns: list[str]) -> DataFrame | None:
+    kept = [df.schema[c] for c in columns]
     try:
-        return df.sparkSession.read.parquet(path).select(key, "batch_id")
+        return df.sparkSession.read.schema(StructType([*kept, StructField("batch_id", LongType())])).parquet(path)
     except AnalysisException:
         return None
 
 
-def append_once(df: DataFrame, path: str, key: str, batch_id: int, partition: str | None = None) -> None:
-    """Rows whose key no other batch has written, under batch_id; the same batch again replaces its own rows."""
+def append_once(df: DataFrame, path: str, key: str, batch_id: int, day: str | None = None) -> None:
+    """Rows whose key no other batch has written, under batch_id; the same batch again replaces its own rows.
+
+    day: a column by which the target is partitioned, the same for a key whenever it comes; then only the days of this batch are looked at and
+    written, however much there is of others. Rows without a day are kept in a partition of their own.
+    """
     rows = df.dropDuplicates([key])
-    old = _existing(df, path, key)
+    old = _existing(df, path, [key] if day is None else [key, day])
+    if day is None:
+        if old is not None:
+            rows = rows.join(old.where(F.col("batch_id") != batch_id).select(key), key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return
     if old is not None:
-        rows = rows.join(old.where(F.col("batch_id") != batch_id).select(key), key, "left_anti")
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}") if partition is None else rows.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/batch_id={batch_id}")
+        days = [r[0] for r in rows.select(day).distinct().collect()]  # as many as a batch has days
+        rows = rows.join(of_days(old, day, days).where(F.col("batch_id") != batch_id).select(key), key, "left_anti")
+    rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, "batch_id").parquet(path)
+
+
+def of_days(df: DataFrame, day: str, days: list) -> DataFrame:
+    """The partitions of these days."""
+    some = F.col(day).isin([d for d in days if d is not None])
+    return df.where(some | F.col(day).isNull() if None in days else some)
 
 
 def failed_rows(df: DataFrame, error: BaseException) -> DataFrame:

@@ -1,105 +1,137 @@
-"""The waterfall over a stream: keyed state holds what the running sums hold in the batch form, and both give the same rows.
+"""The waterfall over a stream: usage and change events run past the same machines as in the versioned batch form, in Spark's keyed state.
 
-A group is a family, or a subscriber without one. Limits that change in the middle of a month, and gifts whose givers pay in other groups,
-are beyond closed-form sums; here each event sees the limits that it comes with.
+Two stateful steps follow each other in one query, gifts and plan by subscriber, then members and pool by family. Limits are state, not static
+joins: what is stored at the start fills them, change events change them, and an event sees the limits that have arrived before it. In one
+batch changes come first, then usage in the order of its time.
+
+An event counts in its own month, however late it comes. Counters and alert levels expire by the time since they were last written, event ids
+by the time since they arrived, so state is bounded by what is in use. Ids of changes are kept for good.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from meterlake.functions.quota import DAILY_PLAN_LIMIT, NO_ALERT
+from meterlake.operators import control, versioned
+from meterlake.operators.machines import USAGE, Family, Store, Subscriber
 
-OUTPUT = (
-    "event_id string, sub_id bigint, family_id bigint, app_id bigint, kst timestamp_ntz, yyyymm string, yyyymmdd string, bytes bigint, gift_take bigint, plan_take bigint, family_take bigint, overflow bigint, "
-    "plan_limit bigint, plan_used bigint, family_limit bigint, family_used bigint, plan_fired int, family_fired int, gift_detail string"
-)
-STATE = "used bigint"
+# fixed values: how long counters, levels and event ids are kept, in seconds
+USED_SECONDS, LEVEL_SECONDS, ONCE_SECONDS = 15_552_000, 2_678_400, 86_400
 
 
-def level(quota: int, used: int) -> int:
-    """The alert level that a use of a quota has reached."""
-    if quota <= 0:
-        return NO_ALERT
-    left = max(0, quota - used)
-    percent = left * 100 // quota
-    return 0 if not left else next((x for x in (10, 30, 50) if percent <= x), NO_ALERT)
+class Kept:
+    """A map of Spark's state as a machine's table: read once and written once for the rows of a key in a batch."""
 
+    def __init__(self, state):
+        self.state, self.seen, self.changed = state, {}, set()
 
-class Waterfall(StatefulProcessor):
-    """Counters by name: plan use by period, member and pool use, gift use by month, and the last alert level of each kind."""
+    def get(self, name: str):
+        if name not in self.seen:
+            value = self.state.getValue((name,))
+            self.seen[name] = None if value is None else value[0]
+        return self.seen[name]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counters = handle.getMapState("counters", "name string", STATE)
+    def put(self, name: str, value) -> None:
+        self.seen[name] = value
+        self.changed.add(name)
+
+    def drop(self, name: str) -> None:
+        self.put(name, None)
+
+    def flush(self) -> None:
+        for name in sorted(self.changed):
+            if self.seen[name] is not None:
+                self.state.updateValue((name,), (self.seen[name],))
+            elif self.state.containsKey((name,)):
+                self.state.removeKey((name,))
 
-    def _get(self, name: str, default: int = 0) -> int:
-        value = self.counters.getValue((name,)) if self.counters.containsKey((name,)) else None
-        return default if value is None else value[0]
 
-    def _add(self, name: str, amount: int) -> int:
-        total = self._get(name) + amount
-        self.counters.updateValue((name,), (total,))
-        return total
+class Keyed(StatefulProcessor):
+    """A machine whose tables are maps in Spark's state."""
 
-    def _fires(self, name: str, quota: int, used: int) -> int | None:
-        now = level(quota, used)
-        if now == NO_ALERT or now >= self._get(name, NO_ALERT):
-            return None
-        self.counters.updateValue((name,), (now,))
-        return now
+    machine, step, columns = None, None, ()
+
+    def __init__(self, used_seconds: int = USED_SECONDS, level_seconds: int = LEVEL_SECONDS):
+        self.used_seconds, self.level_seconds = used_seconds, level_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.limits = handle.getMapState("limits", "name string", "value string")
+        self.used = handle.getMapState("used", "name string", "value bigint", self.used_seconds * 1000)
+        self.levels = handle.getMapState("levels", "name string", "value int", self.level_seconds * 1000)
+
+    def _run(self, rows: list[dict]) -> list[dict]:
+        tables = [Kept(s) for s in (self.limits, self.used, self.levels)]
+        store = Store()
+        store.limits, store.used, store.levels = tables
+        machine, out = self.machine(store), []
+        for row in rows:
+            out += type(self).step(machine, row)
+        for t in tables:
+            t.flush()
+        return out
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self._run([r if isinstance(r, dict) else r.asDict() for r in initialState.stored])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for e in sorted(rows, key=lambda r: (r.kst, r.event_id)):
-            left, sub, month = e.bytes, e.sub_id, e.yyyymm
-            gifts, gift_take = [], 0
-            for g in sorted(e.gifts or [], key=lambda g: (g["score"], g["gift_id"])):
-                name = f"gift|{sub}|{g['gift_id']}|{month}"
-                take = min(left, max(0, g["gift_limit"] - self._get(name)))
-                if take > 0:
-                    used = self._add(name, take)
-                    fired = self._fires(f"alert-{name}", g["gift_limit"], used)
-                    gifts.append({"giftId": g["gift_id"], "usedAmount": take} | ({"fired": fired} if fired is not None else {}))
-                    gift_take += take
-                    left -= take
-            period = f"plan|{sub}|{e.yyyymmdd if e.plan_limit == DAILY_PLAN_LIMIT else month}"
-            plan_take = left if e.plan_limit < 0 else min(left, max(0, e.plan_limit - self._get(period)))
-            plan_used = self._add(period, plan_take)
-            left -= plan_take
-            member, pool = f"member|{sub}|{month}", f"pool|{month}"
-            asked = left if e.member_limit <= 0 else min(left, max(0, e.member_limit - self._get(member)))
-            family_take = min(asked, max(0, e.family_limit - self._get(pool)))
-            self._add(member, family_take)
-            family_used = self._add(pool, family_take)
-            plan_fired = self._fires(f"alert-plan|{sub}|{month}", e.plan_limit, plan_used) if plan_take > 0 else None
-            family_fired = self._fires(f"alert-pool|{month}", e.family_limit, family_used) if family_take > 0 else None
-            yield Row(
-                event_id=e.event_id, sub_id=sub, family_id=e.family_id, app_id=e.app_id, kst=e.kst, yyyymm=month, yyyymmdd=e.yyyymmdd, bytes=e.bytes, gift_take=gift_take, plan_take=plan_take, family_take=family_take,
-                overflow=left - family_take, plan_limit=e.plan_limit, plan_used=plan_used, family_limit=e.family_limit, family_used=family_used, plan_fired=plan_fired, family_fired=family_fired, gift_detail=json.dumps(gifts),
-            )
+        changes, usage = [], []
+        for r in rows:
+            (usage if r.kind == USAGE else changes).append(r.asDict(recursive=True))
+        changes.sort(key=lambda r: (r["seq"] is not None, r["seq"], r["event_id"] or ""))
+        usage.sort(key=lambda r: (r["kst"], r["event_id"]))
+        for row in self._run(changes + usage):
+            yield Row(**{c: row.get(c) for c in self.columns})
 
     def close(self) -> None:
         pass
 
 
-def with_limits(events: DataFrame, plans: DataFrame, families: DataFrame, members: DataFrame, gifts: DataFrame) -> DataFrame:
-    """Each event with the limits that hold for it; static tables joined to the stream."""
-    bags = gifts.groupBy("sub_id", "yyyymm").agg(F.collect_list(F.struct("gift_id", "gift_limit", "score")).alias("gifts"))
-    rows = events.join(plans, "sub_id", "left").join(families, "family_id", "left").join(members, ["family_id", "sub_id"], "left").join(bags, ["sub_id", "yyyymm"], "left")
-    zero = F.lit(0).cast("bigint")
-    rows = rows.withColumns({c: F.coalesce(c, zero) for c in ("plan_limit", "family_limit", "member_limit")})
-    return rows.withColumn("grp", F.when(F.col("family_id") > 0, F.col("family_id")).otherwise(-F.col("sub_id")))
+def _names(ddl: str) -> list[str]:
+    """Column names of a schema whose types hold no comma at the top level."""
+    out, depth, word = [], 0, ""
+    for sign in ddl + ",":
+        depth += (sign == "<") - (sign == ">")
+        if sign == "," and not depth:
+            out.append(word.split()[0])
+            word = ""
+        else:
+            word += sign
+    return out
+
+
+class OwnStep(Keyed):
+    machine, step, columns = Subscriber, versioned.own_step, _names(versioned.OWN)
+
+
+class SharedStep(Keyed):
+    machine, step, columns = Family, versioned.shared_step, _names(versioned.SHARED)
+
+
+def initial(stored: DataFrame):
+    """Stored rows as the first state: one row a key, with what it has in order."""
+    row = F.struct("seq", "kind", *[c for c in stored.columns if c not in ("seq", "kind", "key")])
+    return stored.groupBy("key").agg(F.sort_array(F.collect_list(row.dropFields("members", "priorities", "kst"))).alias("stored")).groupBy("key")
 
 
-def apply(events: DataFrame) -> DataFrame:
-    """Applied rows of a stream of events with limits, in append mode."""
-    return events.groupBy("grp").transformWithState(Waterfall(), OUTPUT, "Append", "None")
+def once_by_arrival(events: DataFrame, seconds: int = ONCE_SECONDS) -> DataFrame:
+    """The first of each event id; ids are remembered for a time since they arrived. The watermark is one of arrival, in `arrived`, so no
+    event is late for it, whatever its own time."""
+    return events.withWatermark("arrived", f"{seconds} seconds").dropDuplicatesWithinWatermark(["event_id"])
 
 
-def once_within(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first of each event id within the watermark's delay; ids are remembered no longer than that."""
-    return events.withColumn("event_time", F.col("occurred_at").cast("timestamp")).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("event_time")
+def apply(events: DataFrame, subscribers: DataFrame, families: DataFrame, changes: DataFrame | None = None, **seconds: int) -> DataFrame:
+    """Applied rows, in the columns of the batch forms, of a stream of accepted events with calendar keys; changes: a stream of parsed
+    change events, with `seq`, those that can be applied. subscribers, families: what is stored at the start."""
+    rows = versioned.usage_rows(events)
+    if changes is not None:
+        changes = changes.withColumn("space", control.id_space(F.col("kind"))).dropDuplicates(["space", "event_id"]).drop("space")
+        rows = rows.unionByName(versioned.subscriber_changes(changes))
+    own = rows.groupBy("key").transformWithState(OwnStep(**seconds), versioned.OWN, "Append", "ProcessingTime", initial(subscribers))
+    if changes is not None:
+        own = own.unionByName(versioned.fitted(versioned.family_changes(changes), versioned.OWN))
+    shared = own.groupBy("key").transformWithState(SharedStep(**seconds), versioned.SHARED, "Append", "ProcessingTime", initial(families))
+    return versioned.finished(shared)
