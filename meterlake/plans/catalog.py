@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.quota import remaining
-from meterlake.operators import alerts, allocate, bootstrap, control, gate, intake, policy, rollups
+from meterlake.operators import alerts, allocate, bootstrap, control, gate, intake, policy, rollups, versioned
 from meterlake.sources import decode, fixtures, generator
 
-from . import oracle
+from . import oracle, oracle_versioned
 
 #: The gate judges every pending event, whatever its own month, by the quotas of the month of asking.
 QUOTA_MONTH = fixtures.AS_OF[:7].replace("-", "")
@@ -39,6 +39,8 @@ class Domain:
     log = property(lambda s: alerts.applied_log(s.allocated))
     passing = property(lambda s: policy.passing(s.events, s.locked, s.block_time, s.block_app, s.block_repeat, fixtures.AS_OF))
     control = property(lambda s: control.accepted(decode.control(fixtures.control_messages(s.spark, s.dir))))
+    limit_changes = property(lambda s: control.accepted(decode.control(fixtures.limit_messages(s.spark, s.dir))))
+    odd_families = property(lambda s: versioned.stored_families(fixtures.odd_families(s.spark, s.dir), s.members, s.priorities))
     policy_sub = property(lambda s: fixtures.policy_sub(s.spark, s.dir))
     policies = property(lambda s: fixtures.policies(s.spark))
     presents = property(lambda s: fixtures.present_data(s.spark, s.dir))
@@ -61,6 +63,13 @@ class Domain:
         return gift_left, plan_left, pool_left, member_left, self.priorities
 
 
+def _allocate_versioned(d: Domain) -> DataFrame:
+    rows = versioned.allocate(d.events, d.limit_changes, versioned.stored_subscribers(d.plans, d.gifts), d.odd_families)
+    return rows.select(
+        "event_id", "sub_id", "family_id", "yyyymm", "bytes", "gift_take", "plan_take", "family_take", "overflow", "plan_limit", "plan_used", "plan_alert", "family_limit", "family_used", "family_alert",
+    )
+
+
 def _gate_family(d: Domain) -> DataFrame:
     gift_left, plan_left, *rest = d.gate_state
     return gate.family(gate.personal(d.batch, gift_left, plan_left).where("path is null").drop("path"), *rest).select("event_id", "family_id", "mode")
@@ -122,6 +131,8 @@ QUERIES = {
     "family_created": lambda d: control.created_families(d.control),
     "family_state": lambda d: control.family_state(d.control, d.members, d.families),
     "priority_state": lambda d: control.priorities_after(d.control, d.priorities, d.members),
+    "family_final": lambda d: versioned.family_final(d.limit_changes, d.odd_families),
+    "allocate_versioned": _allocate_versioned,
     "mode_latest": lambda d: control.modes(d.control, d.priorities),
     "gift_append": lambda d: control.received_gifts(d.control, d.gifts),
     "generator_fixed": lambda d: generator.fixed(d.spark, fixtures.subscribers(d.spark, d.dir)),
@@ -148,4 +159,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.ORACLES)
+    return oracle.ORACLES | oracle_versioned.ORACLES

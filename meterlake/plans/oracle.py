@@ -193,7 +193,8 @@ def _outbox() -> str:
 LOG = takes("""SELECT al.event_id, sub_id, family_id, app_id, kst AS occurred_at, yyyymm, yyyymmdd, bytes AS usage_amount,
   CAST(gift_take AS BIGINT) AS gift_used, CAST(plan_take AS BIGINT) AS plan_used, CAST(family_take AS BIGINT) AS family_used, coalesce('[' || d || ']', '[]') AS gift_detail_json
 FROM al LEFT JOIN (
-  SELECT event_id, string_agg('{"giftId":"' || gift_id || '","usedAmount":' || CAST(CAST(take AS BIGINT) AS VARCHAR) || '}', ',' ORDER BY score, gift_id) AS d FROM sp GROUP BY event_id) g USING (event_id)""")
+  SELECT event_id, array_to_string(list_transform(list_sort(list({'score': score, 'id': gift_id, 'take': CAST(take AS BIGINT)})), lambda x: '{"giftId":"' || x.id || '","usedAmount":' || CAST(x.take AS VARCHAR) || '}'), ',') AS d
+  FROM sp GROUP BY event_id) g USING (event_id)""")
 
 ORACLES = {
     "usage_total_month": BASE + "SELECT sub_id, yyyymm, CAST(sum(bytes) AS BIGINT) AS total_used FROM ev GROUP BY ALL",

@@ -159,3 +159,40 @@ def control_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("n") % 4 == 1, F.when(family_kind, quoted(text)).otherwise(quoted(quoted(text)))).otherwise(text)
     sent = e.select(F.col("event_id").alias("seq"), text.alias("value"))
     return sent.unionByName(sent.where("seq % 35 = 0").withColumn("seq", F.col("seq") + REPEAT_OFFSET))
+
+
+LIMIT_KINDS = (
+    "FAMILY_MEMBER_ADDED", "FAMILY_MODE_CHANGED", "FAMILY_MEMBER_REMOVED", "FAMILY_SUB_LIMIT_CHANGED", "FAMILY_MEMBER_ADDED", "FAMILY_MEMBER_REMOVED", "PLAN_CHANGED", "GIFT_RECEIVED",
+)
+
+
+def limit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, kst, value): a change of limits for each event of the table, in the order of its time and at it, some under the id of another.
+
+    Families are created, anew or for the first time, between other changes of theirs; added and removed are members and strangers alike.
+    """
+    e = _events(spark, sf_dir)
+    n, sub = F.col("event_id"), F.col("user_id") + 1
+    fam = (F.floor(F.col("user_id") / 5) + 1).cast("bigint")
+    kind = F.when(n % 97 == 5, F.lit("FAMILY_CREATE")).otherwise(F.element_at(F.array(*[F.lit(k) for k in LIMIT_KINDS]), (n % len(LIMIT_KINDS) + 1).cast("int")))
+    at = lambda *names: kind.isin(*names)
+    amount = (F.floor(F.abs("value")) * 100_000).cast("bigint")
+    target = (fam - 1) * 5 + n % 7 + 1  # two in seven are no members at the start
+    score = lambda k: F.struct(((fam - 1) * 5 + k + 1).alias("subId"), ((n + 3 * k) % 4).alias("priority"))
+    body = F.struct(
+        kind.alias("type"), F.concat(F.lit("l-"), F.when(n % 31 == 7, n - 1).otherwise(n).cast("string")).alias("eventId"), F.when(kind.startswith("FAMILY"), fam).alias("familyId"),
+        F.when(at("FAMILY_MEMBER_ADDED", "FAMILY_MEMBER_REMOVED", "FAMILY_SUB_LIMIT_CHANGED"), target).when(at("PLAN_CHANGED"), sub).alias("subId"),
+        F.when(at("FAMILY_CREATE"), F.array(target, sub)).alias("members"), F.when(at("FAMILY_MODE_CHANGED"), F.when(n % 3 == 0, F.lit("FIFO")).otherwise(F.lit("PRIORITY"))).alias("mode"),
+        F.when(at("FAMILY_MODE_CHANGED"), F.array(score(0), score(1), score(2))).alias("priorities"), F.when(at("FAMILY_SUB_LIMIT_CHANGED"), amount).alias("newLimit"),
+        F.when(at("PLAN_CHANGED"), F.when(n % 5 == 0, F.lit(DAILY_PLAN_LIMIT)).when(n % 11 == 0, F.lit(-1)).otherwise(amount)).alias("planLimit"),
+        F.when(at("GIFT_RECEIVED"), sub).alias("receiverSubId"), F.when(at("GIFT_RECEIVED"), sub + 1).alias("giverSubId"), F.when(at("GIFT_RECEIVED"), F.concat(F.lit("n"), n.cast("string"))).alias("giftId"),
+        F.when(at("GIFT_RECEIVED"), amount).alias("giftLimitBytes"), F.when(at("GIFT_RECEIVED"), amount).alias("giftAmountBytes"),
+        F.when(at("GIFT_RECEIVED"), F.date_format("ts", "yyyyMM")).alias("yyyyMM"), F.when(at("GIFT_RECEIVED"), F.date_format("ts", "yyyyMMdd")).alias("yyyyMMDD"),
+    )
+    return e.select(n.alias("seq"), (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(9))).alias("kst"), F.to_json(body).alias("value"))
+
+
+def odd_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family_id, family_limit): stored limits that are no multiple of a member's share; one family in six is not there."""
+    rows = family_sub(spark, sf_dir).select("family_id").distinct()
+    return rows.where("family_id % 6 <> 4").select("family_id", (F.col("family_id") * 1_234_567 % 9_000_001).alias("family_limit"))
