@@ -255,10 +255,12 @@ def _blocks(items: DataFrame, window: int, item: str, text: str, block: int):
     n = max(1, -(-total // block))
     for b in range(n):
         rows = parts.where(F.pmod(F.xxhash64("words", "item"), F.lit(n)) == b).collect()
-        yield Index([(r["item"], r["at"], r["whole"], r["words"]) for r in rows], window)
+        yield Index([(r["item"], r["at"], r["whole"], r["words"]) for r in rows], window), b == n - 1
 
 
-def _marked(index: Index):
+def _marked(index: Index, texts: bool):
+    """texts: whether they go on."""
+
     def run(batches):
         for batch in batches:
             data, at = text_parts(batch.column(1))
@@ -287,7 +289,8 @@ def _marked(index: Index):
                     names.append(sorted({*(before[i + k] or []), *(index.items[s] for s in met.get(k, ()) if index.items[s] is not None)}))
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             counts = pa.array(np.concatenate(n_words) if n_words else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
+            text = batch.column(1) if texts else pa.nulls(len(batch), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, counts, pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
 
     return run
 
@@ -303,32 +306,32 @@ def union(old: list, new: list) -> list[dict]:
     return [{"lo": lo, "hi": hi} for lo, hi in out]
 
 
-def marks(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """docs as the struct `row`, with n_words, the stretches of words (`spans`: lo, hi) that lie in an occurrence of a window, and the
-    sorted ids, as strings, of the items that the windows are of."""
+def marks(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK, texts: bool = False) -> DataFrame:
+    """docs as the struct `row` of all columns but the text, with n_words, the stretches of words (`spans`: lo, hi) that lie in an occurrence
+    of a window, and the sorted ids, as strings, of the items that the windows are of. texts: `text` goes along."""
     ddl = "text string, n_words bigint, spans array<struct<lo:bigint,hi:bigint>>, items array<string>"
     rows = docs.select(
-        whole_row(docs).alias("row"), F.col(quoted(text)).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items")
-    )
-    passes = 0
-    for index in _blocks(items, window, item, item_text, block):
+        whole_row(docs, text).alias("row"), F.col(quoted(text)).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
+        F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"),
+    )
+    for passes, (index, last) in enumerate(_blocks(items, window, item, item_text, block)):
         rows = written(rows, "marked") if passes else rows
-        rows = rows.mapInArrow(_marked(index), with_row(rows, ddl))
-        passes += 1
-    return rows.drop("text")
+        rows = rows.mapInArrow(_marked(index, texts or not last), with_row(rows, ddl))
+    return rows if texts else rows.drop("text")
 
 
 def report(marked: DataFrame) -> DataFrame:
-    """n_hit, n_items, the digest of the items' ids and the verdict, beside the documents' own columns and n_words."""
+    """n_hit, n_items, the digest of the items' ids and the verdict, beside the documents' own columns (but the text) and n_words; columns of
+    these names that the documents came with give way."""
     n_hit: Column = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["hi"] - x["lo"])
-    return marked.select(
-        "row.*", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
-    )
+    own = [F.col(f"row.{quoted(c)}") for c in marked.schema["row"].dataType.fieldNames() if c not in MADE]
+    return marked.select(*own, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no window of any item, with the columns they came with."""
-    return marks(docs, items, **options).where(F.size("spans") == 0).select("row.*")
+    kept = marks(docs, items, text=text, texts=True, **options).where(F.size("spans") == 0)
+    return kept.select(*[F.col("text" if c == text else f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def _longest(index: Index):
@@ -353,7 +356,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
     one place of it: (item, at, words, doc_id, doc_at), places counted in words from 0. Of equally long ones the smallest document's."""
     rows = docs.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    found_ = [rows.mapInArrow(_longest(index), f"item string, at bigint, words bigint, doc_id {kind}, doc_at bigint") for index in _blocks(items, window, item, item_text, block)]
+    found_ = [rows.mapInArrow(_longest(index), f"item string, at bigint, words bigint, doc_id {kind}, doc_at bigint") for index, _ in _blocks(items, window, item, item_text, block)]
     every = found_[0]
     for more in found_[1:]:
         every = every.unionByName(more)
