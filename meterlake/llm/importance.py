@@ -117,15 +117,16 @@ def _weighed(n: int, gain: np.ndarray):
 
 
 def weighed(docs: DataFrame, gain: np.ndarray, n: int = N, text: str = "text") -> DataFrame:
-    """docs as the struct `row`, with n_words, n_features and weight, the floored mean of the gains of a document's features."""
-    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(text)).alias("text"))
+    """docs as the struct `row` of all columns but the text, with n_words, n_features and weight, the floored mean of the gains of a document's
+    features."""
+    rows = docs.select(whole_row(docs, text).alias("row"), F.col(quoted(text)).alias("text"))
     return rows.mapInArrow(_weighed(n, gain), with_row(rows, "n_words bigint, n_features bigint, weight bigint"))
 
 
 def resampled(
     docs: DataFrame, target: DataFrame, n: int = N, buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED, key: str = "doc_id", text: str = "text", target_text: str = "text"
 ) -> DataFrame:
-    """docs as the struct `row`, with n_words, n_features, weight, score and rank: the ranks, from 1, of the floor(percent * N / 100)
+    """docs as the struct `row` of all columns but the text, with n_words, n_features, weight, score and rank: the ranks, from 1, of the floor(percent * N / 100)
     highest scores of the N documents with at least `least_words` words, ties to the smaller key; null for all others. score is the weight
     and a Gumbel noise that the key decides, so that the drawn are a sample in proportion to exp(weight / 1000), without replacement."""
     rows = weighed(docs, gains(docs, target, n, buckets, text, target_text), n, text)
