@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.functions.quota import remaining
 from meterlake.operators import alerts, allocate, bootstrap, control, gate, intake, policy, rollups, versioned
 from meterlake.sources import decode, fixtures, generator
 
 from . import oracle, oracle_versioned
 
-#: The gate judges every pending event, whatever its own month, by the quotas of the month of asking.
-QUOTA_MONTH = fixtures.AS_OF[:7].replace("-", "")
 
 
 class Domain:
@@ -52,15 +49,25 @@ class Domain:
 
     @property
     def batch(self) -> DataFrame:
+        """The gate judges every event that the policies pass, whatever its own month, by what quotas leave at the moment of asking."""
         return self.passing.select(F.col("arrival_seq").alias("seq"), "event_id", "sub_id", "family_id", "bytes")
 
     @property
     def gate_state(self) -> tuple[DataFrame, ...]:
-        gift_left = self.gifts.where(F.col("yyyymm") == QUOTA_MONTH).groupBy("sub_id").agg(F.sum("gift_limit").cast("bigint").alias("gift_left"))
-        plan_left = self.plans.select("sub_id", remaining(F.col("plan_limit"), F.lit(0)).alias("plan_left"))
-        pool_left = self.families.select("family_id", F.greatest(F.lit(0), F.col("family_limit")).cast("bigint").alias("pool_left"))
-        member_left = self.members.select("family_id", "sub_id", F.greatest(F.lit(0), F.col("member_limit")).cast("bigint").alias("member_left"))
-        return gift_left, plan_left, pool_left, member_left, self.priorities
+        return (*gate.left_at(fixtures.AS_OF, self.log, self.plans, self.families, self.members, self.gifts), self.priorities)
+
+
+def _gate_left(d: Domain) -> DataFrame:
+    """What each quota leaves at the moment of asking, as one table."""
+    gifts, plans, pools, members, _ = d.gate_state
+    none = F.lit(None).cast("bigint")
+    parts = [
+        gifts.select(F.lit("gift").alias("kind"), "sub_id", none.alias("family_id"), F.col("gift_left").alias("amount_left")),
+        plans.select(F.lit("plan").alias("kind"), "sub_id", none.alias("family_id"), F.col("plan_left").alias("amount_left")),
+        pools.select(F.lit("pool").alias("kind"), none.alias("sub_id"), "family_id", F.col("pool_left").alias("amount_left")),
+        members.select(F.lit("member").alias("kind"), "sub_id", "family_id", F.col("member_left").alias("amount_left")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def _allocate_versioned(d: Domain) -> DataFrame:
@@ -116,6 +123,7 @@ QUERIES = {
     "policy_once_parse": lambda d: bootstrap.once_policies(d.policy_sub, d.policies),
     "seed_gifts": lambda d: bootstrap.gifts(d.presents),
     "seed_donor_usage": lambda d: rollups.donor_movements(bootstrap.given(d.presents), app_id=bootstrap.gift_app(d.services).first()[0], slots=True),
+    "gate_left": _gate_left,
     "gate_personal": lambda d: gate.personal(d.batch, *d.gate_state[:2]).select("event_id", "sub_id", "path"),
     "gate_family": _gate_family,
     "approved_events": lambda d: gate.approved(d.batch, *d.gate_state),

@@ -72,24 +72,36 @@ pass AS (SELECT * FROM ev WHERE sub_id NOT IN (SELECT sub_id FROM bt) AND sub_id
   AND NOT EXISTS (SELECT 1 FROM ba WHERE ba.sub_id = ev.sub_id AND ba.app_id = ev.app_id))
 """
 
-GATE = BLOCKS + """,
+#: What quotas leave on 2024-01-17 at 23:30: -1 stands for a plan without limit.
+LEFT = """,
+past AS (SELECT * FROM al WHERE yyyymm = '202401' AND kst < TIMESTAMP '2024-01-17 23:30:00'),
+gsum AS (SELECT sub_id, sum(greatest(0, gift_limit - coalesce(used, 0))) AS g FROM gift LEFT JOIN (
+    SELECT sub_id, gift_id, sum(take) AS used FROM sp WHERE event_id IN (SELECT event_id FROM past) GROUP BY ALL) USING (sub_id, gift_id)
+  WHERE yyyymm = '202401' GROUP BY sub_id),
+pleft AS (SELECT sub_id, CASE WHEN plan_limit < 0 THEN -1 WHEN plan_limit = 1048576 THEN greatest(0, plan_limit - coalesce(today, 0)) ELSE greatest(0, plan_limit - coalesce(used, 0)) END AS p
+  FROM plan_limit LEFT JOIN (SELECT sub_id, sum(plan_take) AS used, sum(plan_take) FILTER (WHERE yyyymmdd = '20240117') AS today FROM past GROUP BY sub_id) USING (sub_id)),
+fleft AS (SELECT family_id, greatest(0, family_limit - coalesce(used, 0)) AS f FROM family_limit LEFT JOIN (SELECT family_id, sum(family_take) AS used FROM past GROUP BY family_id) USING (family_id)),
+mleft AS (SELECT family_id, sub_id, greatest(0, member_limit - coalesce(used, 0)) AS m
+  FROM member LEFT JOIN (SELECT family_id, sub_id, sum(family_take) AS used FROM past GROUP BY ALL) USING (family_id, sub_id))
+"""
+
+GATE = ALLOCATED + BLOCKS + LEFT + """,
 batch AS (SELECT arrival_seq AS seq, event_id, sub_id, family_id, bytes, row_number() OVER (PARTITION BY sub_id ORDER BY arrival_seq) AS n FROM pass),
-gsum AS (SELECT sub_id, sum(gift_limit) AS g FROM gift WHERE yyyymm = '202401' GROUP BY sub_id),
 walk AS MATERIALIZED (
   WITH RECURSIVE w AS (
-    SELECT sub_id, CAST(0 AS BIGINT) AS n, CAST(coalesce(g, 0) AS BIGINT) AS g, CAST(plan_limit AS BIGINT) AS p, CAST('' AS VARCHAR) AS event_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS family_id, CAST(0 AS BIGINT) AS bytes, '' AS path
-    FROM plan_limit LEFT JOIN gsum USING (sub_id)
+    SELECT sub_id, CAST(0 AS BIGINT) AS n, CAST(coalesce(g, 0) AS BIGINT) AS g, CAST(p AS BIGINT) AS p, CAST('' AS VARCHAR) AS event_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS family_id, CAST(0 AS BIGINT) AS bytes, '' AS path
+    FROM pleft LEFT JOIN gsum USING (sub_id)
     UNION ALL
     SELECT w.sub_id, w.n + 1, CASE WHEN w.g >= b.bytes THEN w.g - b.bytes ELSE 0 END, CASE WHEN w.g >= b.bytes OR w.p < 0 OR w.p < b.bytes THEN w.p ELSE w.p - b.bytes END, b.event_id, b.seq, b.family_id, b.bytes,
       CASE WHEN w.g >= b.bytes THEN 'gift' WHEN w.p < 0 OR w.p >= b.bytes THEN 'plan' ELSE '' END
     FROM w JOIN batch b ON b.sub_id = w.sub_id AND b.n = w.n + 1)
   SELECT * FROM w WHERE n > 0),
-pend AS MATERIALIZED (SELECT walk.seq, walk.event_id, walk.sub_id, walk.family_id, walk.bytes, greatest(0, coalesce(member_limit, 0)) AS member_left, priority FROM walk LEFT JOIN member USING (family_id, sub_id) WHERE path = '' AND family_id > 0),
+pend AS MATERIALIZED (SELECT walk.seq, walk.event_id, walk.sub_id, walk.family_id, walk.bytes, coalesce(m, 0) AS member_left, priority FROM walk LEFT JOIN mleft USING (family_id, sub_id) LEFT JOIN member USING (family_id, sub_id) WHERE path = '' AND family_id > 0),
 listed AS (SELECT DISTINCT family_id FROM member WHERE priority >= 0),
 queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY CASE WHEN family_id IN (SELECT family_id FROM listed) THEN priority ELSE 0 END, CASE WHEN family_id IN (SELECT family_id FROM listed) THEN CAST(sub_id AS VARCHAR) ELSE '' END, seq) AS n FROM pend),
 fam AS (
   WITH RECURSIVE f AS (
-    SELECT family_id, CAST(0 AS BIGINT) AS n, CAST(family_limit AS BIGINT) AS pool, MAP(CAST([] AS BIGINT[]), CAST([] AS BIGINT[])) AS spent, CAST('' AS VARCHAR) AS event_id, false AS ok FROM family_limit
+    SELECT family_id, CAST(0 AS BIGINT) AS n, CAST(f AS BIGINT) AS pool, MAP(CAST([] AS BIGINT[]), CAST([] AS BIGINT[])) AS spent, CAST('' AS VARCHAR) AS event_id, false AS ok FROM fleft
     UNION ALL
     SELECT family_id, n, CASE WHEN good THEN pool - bytes ELSE pool END, CASE WHEN good THEN map_concat(spent, MAP([CAST(sub_id AS BIGINT)], [CAST(s + bytes AS BIGINT)])) ELSE spent END, event_id, good
     FROM (SELECT f.family_id, f.n + 1 AS n, f.pool, f.spent, q.event_id, q.bytes, q.sub_id, coalesce(f.spent[CAST(q.sub_id AS BIGINT)], 0) AS s,
@@ -239,6 +251,9 @@ ORACLES = {
     "seed_donor_usage": BASE + """, g AS (SELECT (user_id + 3) % 15 + 1 AS sub_id, CAST(floor(abs(value)) * 1000 + 1000 AS BIGINT) AS amount, strftime(ts, '%Y%m') AS m, strftime(ts, '%Y%m%d') AS d, lpad(CAST(hour(ts) // 3 * 3 AS VARCHAR), 2, '0') || '_used' AS slot FROM src WHERE event_id % 25 = 0),
 u AS (SELECT sub_id, amount, 'plan_month' AS kind, m AS period, CAST(NULL AS VARCHAR) AS item FROM g UNION ALL SELECT sub_id, amount, 'plan_day', d, NULL FROM g UNION ALL SELECT sub_id, amount, 'app_month', m, '2' FROM g UNION ALL SELECT sub_id, amount, 'app_day', d, '2' FROM g UNION ALL SELECT sub_id, amount, 'slot', d, slot FROM g)
 SELECT sub_id, kind, period, item, CAST(sum(amount) AS BIGINT) AS used FROM u GROUP BY ALL""",
+    "gate_left": BASE + GATE + """SELECT 'gift' AS kind, sub_id, CAST(NULL AS BIGINT) AS family_id, CAST(g AS BIGINT) AS amount_left FROM gsum
+UNION ALL SELECT 'plan', sub_id, NULL, CAST(nullif(p, -1) AS BIGINT) FROM pleft UNION ALL SELECT 'pool', NULL, family_id, CAST(f AS BIGINT) FROM fleft
+UNION ALL SELECT 'member', sub_id, family_id, CAST(m AS BIGINT) FROM mleft""",
     "gate_personal": BASE + GATE + "SELECT event_id, sub_id, nullif(path, '') AS path FROM walk",
     "gate_family": BASE + GATE + "SELECT event_id, family_id, CASE WHEN family_id % 2 = 0 THEN 'PRIORITY' ELSE 'FIFO' END AS mode FROM fam",
     "approved_events": BASE + GATE + "SELECT event_id, path FROM walk WHERE path <> '' UNION ALL SELECT event_id, 'family' FROM fam",

@@ -147,6 +147,34 @@ def test_gate_leak_skip_and_priority(spark):
     assert ids(first) == ["a", "e"]
 
 
+def test_what_quotas_leave_at_a_moment(spark):
+    log = spark.createDataFrame(
+        [
+            ("a", 1, 7, "2024-01-16 10:00:00", "202401", "20240116", 30, 6, '[{"giftId":"x","usedAmount":4},{"giftId":"y","usedAmount":1}]'),
+            ("b", 1, 7, "2024-01-17 10:00:00", "202401", "20240117", 20, 0, "[]"),
+            ("c", 2, 7, "2024-01-17 10:00:00", "202401", "20240117", 40, 9, '[{"giftId":"z","usedAmount":2}]'),
+            ("d", 2, 7, "2024-01-17 23:30:00", "202401", "20240117", 500, 500, "[]"),  # at the moment, not before it
+            ("e", 2, 7, "2023-12-31 23:59:59", "202312", "20231231", 700, 700, "[]"),
+            ("f", 1, 8, "2024-01-02 00:00:00", "202401", "20240102", 0, 3, "[]"),
+        ],
+        "event_id string, sub_id bigint, family_id bigint, occurred_at string, yyyymm string, yyyymmdd string, plan_used bigint, family_used bigint, gift_detail_json string",
+    )
+    log = log.withColumns({"occurred_at": F.col("occurred_at").cast("timestamp_ntz"), "gift_used": F.when(F.col("gift_detail_json") == "[]", 0).otherwise(1)})
+    plans = spark.createDataFrame([(1, quota.DAILY_PLAN_LIMIT), (2, 30), (3, -1), (4, 9)], "sub_id bigint, plan_limit bigint")
+    families = spark.createDataFrame([(7, 20), (8, -5), (9, 4)], "family_id bigint, family_limit bigint")
+    members = spark.createDataFrame([(7, 1, 10), (7, 2, 5), (8, 1, -1), (9, 4, None)], "family_id bigint, sub_id bigint, member_limit bigint")
+    gifts = spark.createDataFrame([(1, "x", "202401", 3, 1), (1, "y", "202401", 10, 2), (2, "z", "202402", 8, 1), (5, "w", "202401", 6, 1)], "sub_id bigint, gift_id string, yyyymm string, gift_limit bigint, score int")
+    left = [sorted(map(tuple, t.collect())) for t in gate.left_at("2024-01-17 23:30:00", log, plans, families, members, gifts)]
+    assert left == [
+        [(1, 9), (5, 6)],  # x has been overdrawn, y keeps its nine
+        [(1, quota.DAILY_PLAN_LIMIT - 20), (2, 0), (3, None), (4, 9)],  # a daily plan has used what its day has
+        [(7, 5), (8, 0), (9, 4)],
+        [(7, 1, 4), (7, 2, 0), (8, 1, 0), (9, 4, 0)],
+    ]
+    empty = gate.left_at("2024-01-17 23:30:00", log.limit(0), plans, families, members, gifts.limit(0))
+    assert [t.count() for t in empty] == [0, 4, 3, 4]
+
+
 CONTROL = "seq bigint, kind string, event_id string, familyId bigint, subId bigint, members array<bigint>, mode string, priorities array<struct<subId:bigint,priority:bigint>>, newLimit bigint"
 
 
