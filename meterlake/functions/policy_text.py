@@ -52,4 +52,5 @@ def policy_type(column: Column, snapshot: Column) -> Column:
 def unwrapped(message: Column, levels: int) -> Column:
     """A JSON message that was encoded as a JSON string up to `levels` times."""
     once = lambda m: F.when(F.ltrim(m).startswith('"'), F.get_json_object(F.concat(F.lit("["), m, F.lit("]")), "$[0]")).otherwise(m)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), message, lambda m, _: once(m))
+    # most messages are not wrapped: those take no step
+    return F.when(F.ltrim(message).startswith('"'), F.aggregate(F.sequence(F.lit(1), F.lit(levels)), message, lambda m, _: once(m))).otherwise(message)

@@ -15,13 +15,15 @@ def with_keys(usage: DataFrame) -> DataFrame:
 
 
 def with_status(raw: DataFrame) -> DataFrame:
-    """raw with status: invalid_bytes for amounts that are null or not positive, dup for ids seen before among valid ones, else ok.
+    """raw with status: no_event_id, invalid_bytes for amounts that are null or not positive, dup for ids seen before among valid ones, else ok.
 
-    Validity comes first: an invalid message doesn't use up its id. The earliest arrival of an id counts.
+    Validity comes first: an invalid message doesn't use up its id. The earliest arrival of an id counts. Rows without an id are no repeats of
+    each other, and no group either.
     """
     valid = F.coalesce(F.col("bytes"), F.lit(0)) > 0
-    first = F.row_number().over(Window.partitionBy("event_id", valid).orderBy("arrival_seq")) == 1
-    return raw.withColumn("status", F.when(~valid, F.lit("invalid_bytes")).when(~first, F.lit("dup")).otherwise(F.lit("ok")))
+    alone = F.when(F.col("event_id").isNull(), F.col("arrival_seq"))
+    first = F.row_number().over(Window.partitionBy("event_id", valid, alone).orderBy("arrival_seq")) == 1
+    return raw.withColumn("status", F.when(F.col("event_id").isNull(), F.lit("no_event_id")).when(~valid, F.lit("invalid_bytes")).when(~first, F.lit("dup")).otherwise(F.lit("ok")))
 
 
 def accepted(raw: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.quota import GIFT_APP
@@ -59,12 +59,12 @@ def rebuild_family(log: DataFrame) -> DataFrame:
     return log.where("family_used > 0").groupBy("family_id", "yyyymm").agg(F.sum("family_used").cast("bigint").alias("family_total")).withColumnRenamed("family_total", "family_used")
 
 
-def donor_movements(gifts_given: DataFrame, app_id=None, slots: bool = False) -> DataFrame:
+def donor_movements(gifts_given: DataFrame, app_id: Column | None = None, slots: bool = False) -> DataFrame:
     """What giving costs the giver: plan usage of month and day, and app usage; with slots, that of the three-hour slot too.
 
-    gifts_given: giver_sub_id, amount, yyyymm, yyyymmdd, slot. Long form: (sub_id, kind, period, item, used).
+    gifts_given: giver_sub_id, amount, yyyymm, yyyymmdd, slot. app_id: the app that giving is booked under, the gift app where null. Long form: (sub_id, kind, period, item, used).
     """
-    app = F.lit(GIFT_APP if app_id is None else app_id).cast("string")
+    app = F.coalesce(*([] if app_id is None else [app_id]), F.lit(GIFT_APP)).cast("string")
     row = lambda kind, period, item: F.struct(F.lit(kind).alias("kind"), F.col(period).alias("period"), item.alias("item"))
     none = F.lit(None).cast("string")
     rows = [row("plan_month", "yyyymm", none), row("plan_day", "yyyymmdd", none), row("app_month", "yyyymm", app), row("app_day", "yyyymmdd", app)]

@@ -41,7 +41,7 @@ class Domain:
     policy_sub = property(lambda s: fixtures.policy_sub(s.spark, s.dir))
     policies = property(lambda s: fixtures.policies(s.spark))
     presents = property(lambda s: fixtures.present_data(s.spark, s.dir))
-    services = property(lambda s: fixtures.app_blocked_service(s.spark))
+    services = property(lambda s: fixtures.app_blocked_service(s.spark, s.dir))
 
     @property
     def history(self) -> DataFrame:
@@ -97,6 +97,8 @@ QUERIES = {
     "block_app": lambda d: policy.by_app(d.events, d.block_app).select("event_id"),
     "block_repeat": lambda d: policy.repeated(d.events, d.block_repeat, fixtures.AS_OF).select("event_id"),
     "policy_pass": lambda d: d.passing.select("event_id"),
+    "policy_pass_morning": lambda d: policy.passing(d.events, d.locked, d.block_time, d.block_app, d.block_repeat, fixtures.NEXT_MORNING).select("event_id"),
+    "block_repeat_morning": lambda d: policy.repeated(d.events, d.block_repeat, fixtures.NEXT_MORNING).select("event_id"),
     "allocate_waterfall": lambda d: d.allocated.select("event_id", "sub_id", "family_id", "yyyymm", "bytes", "gift_take", "plan_take", "family_take", "overflow", "plan_used", "family_used"),
     "gift_split": lambda d: d.split.select("event_id", "gift_id", "take", "gift_used"),
     "usage_sub_month": lambda d: rollups.by_subscriber(d.allocated, "yyyymm"),
@@ -122,7 +124,7 @@ QUERIES = {
     "policy_repeat_parse": lambda d: bootstrap.repeat_policies(d.policy_sub, d.policies),
     "policy_once_parse": lambda d: bootstrap.once_policies(d.policy_sub, d.policies),
     "seed_gifts": lambda d: bootstrap.gifts(d.presents),
-    "seed_donor_usage": lambda d: rollups.donor_movements(bootstrap.given(d.presents), app_id=bootstrap.gift_app(d.services).first()[0], slots=True),
+    "seed_donor_usage": lambda d: rollups.donor_movements(bootstrap.given(d.presents), app_id=bootstrap.gift_app(d.services).scalar(), slots=True),
     "gate_left": _gate_left,
     "gate_personal": lambda d: gate.personal(d.batch, *d.gate_state[:2]).select("event_id", "sub_id", "path"),
     "gate_family": _gate_family,

@@ -63,15 +63,24 @@ ALERTS = (
     + _alert("ga", "sp", "gift_limit", "gift_used", "sub_id, gift_id, yyyymm")
 )
 
-BLOCKS = """,
-bt AS (SELECT sub_id FROM subs WHERE sub_id % 13 = 5 AND sub_id % 2 = 0),
+def blocks(moment: str) -> str:
+    """Blocked subscribers at a moment of Korean time, from days, times and ends: bt, ba, br, bi, and the events that pass."""
+    return f""",
+moment AS (SELECT epoch(TIMESTAMP '{moment}') - 32400 AS sec, CAST(isodow(TIMESTAMP '{moment}') AS VARCHAR) AS dow, strftime(TIMESTAMP '{moment}', '%H:%M') AS hm),
+ends AS (SELECT sub_id, 1705501800 + d AS e FROM subs, (VALUES (-3600), (3600)) AS t(d) WHERE sub_id % 13 = 5 AND (d < 0 OR sub_id % 2 = 0)),
+bt AS (SELECT DISTINCT sub_id FROM ends, moment WHERE e > sec),
 ba AS (SELECT sub_id, 3 AS app_id FROM subs WHERE sub_id % 7 = 2),
-br AS (SELECT sub_id FROM subs WHERE sub_id % 19 = 2),
+rule AS (SELECT sub_id, string_split(['1,3,5|09:00|14:00', '2,4,6,7,3|23:00|07:00', '|09:00|10:00'][sub_id % 19], '|') AS p FROM subs WHERE sub_id % 19 IN (1, 2, 3)),
+br AS (SELECT sub_id FROM rule, moment WHERE p[1] <> '' AND list_contains(string_split(p[1], ','), dow)
+  AND CASE WHEN p[2] <= p[3] THEN hm >= p[2] AND hm <= p[3] ELSE hm >= p[2] OR hm <= p[3] END),
 bi AS (SELECT sub_id FROM subs WHERE sub_id % 17 = 3),
 pass AS (SELECT * FROM ev WHERE sub_id NOT IN (SELECT sub_id FROM bt) AND sub_id NOT IN (SELECT sub_id FROM br) AND sub_id NOT IN (SELECT sub_id FROM bi)
   AND NOT EXISTS (SELECT 1 FROM ba WHERE ba.sub_id = ev.sub_id AND ba.app_id = ev.app_id))
 """
 
+
+BLOCKS, MORNING = blocks("2024-01-17 23:30:00"), blocks("2024-01-18 06:30:00")
+
 #: What quotas leave on 2024-01-17 at 23:30: -1 stands for a plan without limit.
 LEFT = """,
 past AS (SELECT * FROM al WHERE yyyymm = '202401' AND kst < TIMESTAMP '2024-01-17 23:30:00'),
@@ -223,6 +232,8 @@ ORACLES = {
     "block_app": BASE + BLOCKS + "SELECT event_id FROM ev WHERE (sub_id, app_id) IN (SELECT sub_id, app_id FROM ba)",
     "block_repeat": BASE + BLOCKS + "SELECT event_id FROM ev WHERE sub_id IN (SELECT sub_id FROM br)",
     "policy_pass": BASE + BLOCKS + "SELECT event_id FROM pass",
+    "policy_pass_morning": BASE + MORNING + "SELECT event_id FROM pass",
+    "block_repeat_morning": BASE + MORNING + "SELECT event_id FROM ev WHERE sub_id IN (SELECT sub_id FROM br)",
     "allocate_waterfall": takes("SELECT event_id, sub_id, family_id, yyyymm, bytes, CAST(gift_take AS BIGINT) AS gift_take, CAST(plan_take AS BIGINT) AS plan_take, CAST(family_take AS BIGINT) AS family_take, CAST(overflow AS BIGINT) AS overflow, CAST(plan_used AS BIGINT) AS plan_used, CAST(family_used AS BIGINT) AS family_used FROM al"),
     "gift_split": takes("SELECT event_id, gift_id, CAST(take AS BIGINT) AS take, CAST(gift_used AS BIGINT) AS gift_used FROM sp"),
     "usage_sub_month": _totals("yyyymm"),
@@ -244,7 +255,7 @@ ORACLES = {
     "priorities": BASE + "SELECT family_id, sub_id, CAST(priority AS BIGINT) AS score FROM member WHERE priority >= 0",
     "locked_subs": BASE + "SELECT sub_id FROM subs WHERE sub_id % 17 = 3",
     "blocked_apps": BASE + "SELECT sub_id, sub_id % 8 + 1 AS app_id FROM subs WHERE sub_id % 3 <> 1 AND sub_id % 8 + 1 NOT IN (1, 5)",
-    "gift_app": "SELECT CAST(2 AS BIGINT) AS app_id",
+    "gift_app": "SELECT CAST(min(event_id % 20 + 1) AS BIGINT) AS app_id FROM events WHERE event_id % 20 + 1 NOT IN (1, 5)",
     "policy_repeat_parse": BASE + f"SELECT sub_id, policy_id, value AS encoded FROM subs JOIN {POLICY_ROWS} ON policy_id = sub_id % 10 + 1 WHERE sub_id % 6 <> 0 AND kind = 'SCHEDULED'",
     "policy_once_parse": BASE + f"SELECT sub_id, policy_id, CAST(value AS BIGINT) AS expire_epoch FROM subs JOIN {POLICY_ROWS} ON policy_id = sub_id % 10 + 1 WHERE sub_id % 6 <> 0 AND kind = 'ONCE'",
     "seed_gifts": BASE + "SELECT sub AS sub_id, CAST(event_id AS VARCHAR) AS gift_id, strftime(ts, '%Y%m') AS yyyymm, CAST(floor(abs(value)) * 1000 + 1000 AS BIGINT) AS gift_limit, CAST(floor(epoch(ts)) AS BIGINT) - 32400 AS score FROM src WHERE event_id % 25 = 0",

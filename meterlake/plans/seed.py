@@ -12,14 +12,13 @@ TABLES = ("subscription", "plan", "family", "family_sub", "present_data", "app_b
 def state(source: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """State tables by name, from the tables named in TABLES."""
     s = source
-    app = bootstrap.gift_app(s["app_blocked_service"]).first()
     return {
         "plan_limit": bootstrap.plan_limits(s["subscription"], s["plan"]),
         "family_limit": bootstrap.family_limits(s["family_sub"], s["family"]),
         "family_member": bootstrap.members(s["family_sub"]),
         "family_priority": bootstrap.priorities(s["family_sub"]),
         "gift": bootstrap.gifts(s["present_data"]),
-        "donor_usage": rollups.donor_movements(bootstrap.given(s["present_data"]), app_id=app[0] if app else None, slots=True),
+        "donor_usage": rollups.donor_movements(bootstrap.given(s["present_data"]), app_id=bootstrap.gift_app(s["app_blocked_service"]).scalar(), slots=True),
         "block_immediate": bootstrap.locked(s["subscription"]),
         "block_app": bootstrap.blocked_apps(s["blocked_service_sub"], s["app_blocked_service"]),
         "block_repeat": bootstrap.repeat_policies(s["policy_sub"], s["block_policy"]),

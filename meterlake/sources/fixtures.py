@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.quota import DAILY_PLAN_LIMIT, MEMBER_LIMIT
 
 AS_OF = "2024-01-17 23:30:00"
+NEXT_MORNING = "2024-01-18 06:30:00"
 REPEAT_OFFSET = 10**9
 MOVED = "2024-01-09 00:00:00"
 
@@ -105,8 +106,10 @@ def blocked_service_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subscribers(spark, sf_dir).select("sub_id", (F.col("sub_id") % 8 + 1).alias("blocked_service_id"), (F.col("sub_id") % 3 != 1).alias("is_active"))
 
 
-def app_blocked_service(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, i in (1, 5)) for i in range(1, 21)], "app_blocked_service_id bigint, is_deleted boolean")
+def app_blocked_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The apps that events stand for, some of them deleted."""
+    app = (F.col("event_id") % 20 + 1).alias("app_blocked_service_id")
+    return _events(spark, sf_dir).select(app).distinct().withColumn("is_deleted", F.col("app_blocked_service_id").isin(1, 5))
 
 
 def present_data(spark: SparkSession, sf_dir: str) -> DataFrame:
