@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.operators import alerts, intake
-from meterlake.sources import decode
+from meterlake.sources import database, decode
 
 from . import metrics, sinks, waterfall
 
@@ -66,9 +66,36 @@ def write_to(target: str):
     return write
 
 
-def run(messages: DataFrame, target: str, subscribers: DataFrame, families: DataFrame, changes: DataFrame | None = None, trigger: dict | None = None, **seconds: int):
-    """Starts the query over any streams of messages, Kafka topics or files."""
-    return sinks.start(applied(messages, subscribers, families, changes, **seconds), f"{target}/checkpoint", write_to(target), f"{target}/failed", trigger)
+def _database_rows(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = batch.where("refused is null").drop("refused", "message")
+    return alerts.applied_log(rows), alerts.with_payload(alerts.outbox(rows))
+
+
+def define_databases(batch: DataFrame, connect: str, usage: str, alert: str) -> None:
+    """Makes the tables that `write_databases` needs and that are not there."""
+    log, box = _database_rows(batch)
+    database.defined(batch.sparkSession, log, connect, usage, "applied_log", "event_id")
+    database.defined(batch.sparkSession, box, connect, alert, "outbox", "alert_id")
+
+
+def write_databases(connect: str, usage: str, alert: str):
+    """A foreachBatch function: the applied log into one database, the outbox into another, each in one transaction a batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            log, box = _database_rows(batch)
+            database.append(log, connect, usage, "applied_log", "event_id", batch_id)
+            database.append(box, connect, alert, "outbox", "alert_id", batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def run(messages: DataFrame, target: str, subscribers: DataFrame, families: DataFrame, changes: DataFrame | None = None, trigger: dict | None = None, write=None, **seconds: int):
+    """Starts the query over any streams of messages, Kafka topics or files. write: where batches go, folders below target by default."""
+    return sinks.start(applied(messages, subscribers, families, changes, **seconds), f"{target}/checkpoint", write or write_to(target), f"{target}/failed", trigger)
 
 
 def run_files(spark: SparkSession, source: str, target: str, subscribers: DataFrame, families: DataFrame, changes: str | None = None, trigger: dict | None = None, files: int = 1000, **seconds: int):

@@ -85,5 +85,5 @@ def guarded(write: Callable[[DataFrame, int], None], failures: str, retries: int
     return run
 
 
-def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], failures: str, trigger: dict | None = None):
-    return df.writeStream.foreachBatch(guarded(write, failures)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], failures: str, trigger: dict | None = None, retries: int = 2, pause: float = 1.0):
+    return df.writeStream.foreachBatch(guarded(write, failures, retries, pause)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
