@@ -238,3 +238,18 @@ def probabilities(docs: DataFrame, targets: dict[str, dict] | None = None, rate:
     chance = F.when(F.col("size") > 0, F.coalesce("chance", F.lit(0.0))).otherwise(F.lit(0.0))
     out = out.select("row", "lot", chance.alias("chance"))
     return out.select("row.*", F.col("chance").alias("probability"), (F.pmod(F.col("lot"), F.lit(DRAWS)) < F.col("chance") * float(DRAWS)).alias("drawn"))
+
+
+def deviations(mixed: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, margins=MARGINS) -> DataFrame:
+    """(margin, value, asked, expected): of what `probabilities` gives, each value's share that was asked for and the share of the tokens that
+    are expected to be drawn. They differ where a budget makes a value give all it has, or where no weights meet the targets at once."""
+    filled = mixed.where("n_tokens > 0")
+    cells = written(filled.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("drawn")), "drawn", release=False)
+    total = cells.agg(F.sum("drawn")).first()[0] or 0.0
+    parts = []
+    for m in margins:
+        asked = targets_for(cells, m, (targets or {}).get(m), temper)
+        got = cells.groupBy(F.col(m).alias("of")).agg((F.sum("drawn") / F.lit(total or 1.0)).alias("expected"))
+        rows = asked.join(got, F.col("_value").eqNullSafe(F.col("of")))
+        parts.append(rows.select(F.lit(m).alias("margin"), F.col("_value").cast("string").alias("value"), F.col("target").alias("asked"), "expected"))
+    return reduce(DataFrame.unionByName, parts)

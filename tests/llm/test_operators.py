@@ -621,6 +621,82 @@ def test_a_tiny_cell_does_not_throw_away_the_rest(spark):
     assert (mixing.probabilities(docs, budget=1.0).toPandas().probability > 1 - 1e-9).all()
 
 
+def test_distances_from_the_asked_shares_are_told(spark):
+    """A tiny source can't give its share: it is drawn whole, and the table tells how far that is from what was asked."""
+    rows = [("a", "x", 0, 1000), ("a", "y", 0, 1000), ("b", "x", 0, 900), ("b", "y", 0, 1100), ("tiny", "x", 0, 10)]
+    docs = spark.createDataFrame([(i, *r, i) for i, r in enumerate(rows)], "doc_id int, source string, lang string, topic int, n_tokens bigint, draw bigint")
+    mixed = mixing.probabilities(docs, targets={"source": {"a": 0.4, "b": 0.4, "tiny": 0.2}}, budget=0.5)
+    got = {(r.margin, r.value): (r.asked, r.expected) for r in mixing.deviations(mixed, {"source": {"a": 0.4, "b": 0.4, "tiny": 0.2}}).collect()}
+    size, drawn = 4010, mixed.selectExpr("sum(n_tokens * probability)").first()[0]
+    assert abs(drawn - size / 2) < 1e-3
+    assert np.allclose(got["source", "tiny"], (0.2, 10 / drawn)) and np.allclose(got["source", "a"], (0.4, (drawn - 10) / 2 / drawn), atol=1e-5)
+    assert abs(sum(e for (m, _), (_, e) in got.items() if m == "lang") - 1) < 1e-9
+    assert mixing.deviations(mixed.limit(0)).count() == 0
+
+
+def brute_measures(text):
+    """The measurements in plain Python."""
+    raw, n = text.encode(), len(text.encode())
+    spans = [(m.start(), m.group()) for m in re.finditer(rb"[^ \t\n\v\f\r]+", raw)]
+    tokens = [w for _, w in spans]
+    m, per = len(tokens), max(1, len(tokens))
+    log = lambda x: math.log1p(30 * x)
+    kind = lambda byte: next((k for k, chars in pu_quality.CLASSES.items() if byte in chars), None)
+    out = [math.log1p(n) / 10] + [log(sum(kind(b) == k for b in raw) / max(1, n)) for k in pu_quality.CLASSES]
+    grams = [tuple(tokens[i : i + 3]) for i in range(max(1, m - 2))] if m else []
+    out += [math.log1p(m) / 8, sum(map(len, tokens)) / per / 10, sum(len(w) <= 2 for w in tokens) / per, sum(len(w) >= 14 for w in tokens) / per]
+    out += [log(sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / per), len(set(tokens)) / per, len(set(grams)) / max(1, len(grams))]
+    ends = [kind(w[-1]) for w in tokens]
+    out += [log(sum(kind(w[0]) == "upper" for w in tokens) / per), log(ends.count("symbol") / per), log(ends.count("mark") / per)]
+    return out + [log((ends.count("stop") + ends.count("comma")) / per), log(sum(w[:1] in b"|" and len(w) == 1 for w in tokens) / per)]
+
+
+def test_measurements_equal_plain_python():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["Ab ", "the ", "| ", "x!? ", "12, ", "é日", "\n", "aa. ", "averylongwordindeed "]) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", " ", "word"]
+    raw = [t.encode() for t in texts]
+    at = np.r_[0, np.cumsum([len(r) for r in raw])]
+    got = pu_quality.measure(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:])
+    assert np.allclose(got, [brute_measures(t) for t in texts])
+
+
+@pytest.mark.parametrize("negative", [False, True])
+def test_a_step_follows_the_non_negative_risk(monkeypatch, negative):
+    """The first step of a fit, against finite differences of the risk: down the whole risk, or, where the part of the unseen negatives is below
+    0, up that part. The rate is so small and the moments so fresh that a step is the sign of the gradient."""
+    rng = np.random.default_rng(3)
+    p, u, prior = rng.normal(1.0, 1.0, (40, 5)), rng.normal(0.0, 1.0, (60, 5)), 0.98 if negative else 0.6
+    monkeypatch.setattr(pu_quality, "STEPS", 1)
+    monkeypatch.setattr(pu_quality, "DECAY", 0.0)
+    start = pu_quality.Scorer(5, 7)
+    start.mean, start.scale = u.mean(0), u.std(0)
+    if negative:  # the scorer as it starts finds the positives good and the unlabelled bad: less than nothing is left for the negatives
+        side = np.sign(start.raw(np.full((1, 5), 4.0))[0][0])
+        p, u = p * 0.01 + 9.0 * side, u * 1.0
+        start.mean, start.scale = u.mean(0), np.maximum(u.std(0), 1e-3)
+    fitted = pu_quality.fit(p, u, prior, 7)
+    draw = np.random.default_rng(7)
+    xp, xu = start.scaled(p)[draw.integers(0, len(p), pu_quality.BATCH)], start.scaled(u)[draw.integers(0, len(u), pu_quality.BATCH)]
+
+    def risks():
+        zp, zu = start.raw(xp)[0], start.raw(xu)[0]
+        return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+    unseen = risks()[1]
+    assert (unseen < 0) == negative
+    objective = (lambda: sum(risks())) if unseen >= 0 else (lambda: -risks()[1])
+    for i in range(4):
+        for k in np.ndindex(start.w[i].shape):
+            before = start.w[i][k]
+            start.w[i][k] = before + 1e-5
+            above = objective()
+            start.w[i][k] = before - 1e-5
+            slope = (above - objective()) / 2e-5
+            start.w[i][k] = before
+            if abs(slope) > 1e-5:
+                assert np.sign(before - fitted.w[i][k]) == np.sign(slope), (i, k)
+
+
 def test_arrow_helpers():
     from meterlake.llm.fingerprints64 import received, sent, text_parts
 
