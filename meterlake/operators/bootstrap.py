@@ -76,10 +76,17 @@ def repeat_policies(policy_sub: DataFrame, block_policy: DataFrame) -> DataFrame
 def once_policies(policy_sub: DataFrame, block_policy: DataFrame) -> DataFrame:
     """(sub_id, policy_id, expire_epoch) of one-time policies with an end that can be read."""
     rows = _live_policies(policy_sub, block_policy).where("kind = 'ONCE'")
-    end = policy_text.once_end_epoch(policy_text.snapshot_field(F.col("snapshot"), "$.expire_epoch", "$.data.endAt", "$.endAt"))
+    end = policy_text.once_end_epoch(policy_text.snapshot_field(F.col("snapshot"), "$.expire_epoch", "$.data.endTime", "$.endTime"))
     return rows.select("sub_id", F.col("block_policy_id").alias("policy_id"), end.alias("expire_epoch")).where("expire_epoch > 0")
 
 
+def stored_policies(policy_sub: DataFrame, block_policy: DataFrame) -> DataFrame:
+    """(sub_id, policy_id, type, encoded, expire_epoch): all policies of the first load, as `control.policies` takes them for its base."""
+    repeats = repeat_policies(policy_sub, block_policy).select("sub_id", "policy_id", F.lit("SCHEDULED").alias("type"), "encoded", F.lit(None).cast("bigint").alias("expire_epoch"))
+    ends = once_policies(policy_sub, block_policy).select("sub_id", "policy_id", F.lit("ONCE").alias("type"), F.lit(None).cast("string").alias("encoded"), "expire_epoch")
+    return repeats.unionByName(ends)
+
+
 def first_by_subscriber(rows: DataFrame, order: str) -> DataFrame:
     """Of several rows of a subscriber the first, by a partial aggregate."""
     rest = [c for c in rows.columns if c != "sub_id"]

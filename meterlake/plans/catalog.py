@@ -40,6 +40,7 @@ class Domain:
     odd_families = property(lambda s: versioned.stored_families(fixtures.odd_families(s.spark, s.dir), s.members, s.priorities))
     policy_sub = property(lambda s: fixtures.policy_sub(s.spark, s.dir))
     policies = property(lambda s: fixtures.policies(s.spark))
+    policies_now = property(lambda s: control.policies(s.control, bootstrap.stored_policies(s.policy_sub, s.policies)))
     presents = property(lambda s: fixtures.present_data(s.spark, s.dir))
     services = property(lambda s: fixtures.app_blocked_service(s.spark, s.dir))
 
@@ -77,6 +78,13 @@ def _allocate_versioned(d: Domain) -> DataFrame:
     )
 
 
+def _policy_pass_latest(d: Domain) -> DataFrame:
+    """Events that pass the policies of the first load with all changes on top."""
+    rules = d.policies_now
+    repeats, ends = rules.where("store = 'repeat'"), rules.where("store = 'time'")
+    return policy.passing(d.events, control.locks(d.control, d.locked), ends, control.app_blocks(d.control, d.block_app), repeats, fixtures.FRIDAY).select("event_id")
+
+
 def _gate_family(d: Domain) -> DataFrame:
     gift_left, plan_left, *rest = d.gate_state
     return gate.family(gate.personal(d.batch, gift_left, plan_left).where("path is null").drop("path"), *rest).select("event_id", "family_id", "mode")
@@ -137,6 +145,9 @@ QUERIES = {
     "lock_latest": lambda d: control.locks(d.control, d.locked),
     "app_block_latest": lambda d: control.app_blocks(d.control, d.block_app),
     "policy_latest": lambda d: control.policies(d.control),
+    "policy_stored": lambda d: bootstrap.stored_policies(d.policy_sub, d.policies),
+    "policy_now": lambda d: d.policies_now,
+    "policy_pass_latest": _policy_pass_latest,
     "member_limit_latest": lambda d: control.member_limits_set(d.control, d.members),
     "family_created": lambda d: control.created_families(d.control),
     "family_state": lambda d: control.family_state(d.control, d.members, d.families),

@@ -130,6 +130,31 @@ sized AS (SELECT *, sum(CASE WHEN added THEN 1 ELSE -1 END) OVER (PARTITION BY f
 POLICY_ROWS = """(VALUES (1, 'SCHEDULED', '1,2,5|09:00|18:00'), (2, 'SCHEDULED', '6,7|22:00|06:00'), (3, 'SCHEDULED', '3,x|10:00|10:00'), (4, 'ONCE', '1705500000'), (5, 'ONCE', '1705712400'), (6, 'ONCE', '1705712430')) AS p(policy_id, kind, value)"""
 
 
+#: Policies of the first load with changes on top (now_policy), as of one moment; who is locked, and which apps are blocked, by then.
+POLICY_STATE = f""",
+stored AS (SELECT sub_id, policy_id, kind, CASE WHEN kind = 'SCHEDULED' THEN value END AS encoded, CASE WHEN kind = 'ONCE' THEN CAST(value AS BIGINT) END AS expire_epoch
+  FROM subs JOIN {POLICY_ROWS} ON policy_id = sub_id % 10 + 1 WHERE sub_id % 6 <> 0),
+snap AS (SELECT sub, max(seq) AS since FROM ctl WHERE kind = 'POLICY_SNAPSHOT' GROUP BY sub),
+told AS (SELECT seq, kind, sub, policy, n, CASE WHEN n % 3 <> 0 THEN '1,' || CAST(n % 5 + 2 AS VARCHAR) || '|09:00|10:00' END AS encoded, CASE WHEN n % 3 = 0 THEN 1700000000 + amount END AS expire_epoch FROM ctl),
+step AS (SELECT -1 AS seq, sub_id, policy_id, encoded, expire_epoch, true AS live FROM stored
+  UNION ALL SELECT seq, sub + d, policy, encoded, expire_epoch, true FROM told, range(2) AS t(d) WHERE kind = 'POLICY_CHANGED'
+  UNION ALL SELECT seq, sub, policy, encoded, expire_epoch, true FROM told WHERE kind = 'POLICY_SNAPSHOT'
+  UNION ALL SELECT seq, sub, policy, encoded, expire_epoch, false FROM told WHERE kind IN ('POLICY_DEACTIVATE', 'POLICY_DELETED') AND n % 7 <> 0),
+valid AS (SELECT * FROM step LEFT JOIN snap ON snap.sub = step.sub_id WHERE since IS NULL OR seq >= since),
+now_policy AS (SELECT sub_id, policy_id, CASE WHEN encoded IS NULL THEN 'time' ELSE 'repeat' END AS store, encoded, CAST(expire_epoch AS BIGINT) AS expire_epoch
+  FROM valid a WHERE live AND NOT EXISTS (SELECT 1 FROM valid b WHERE b.sub_id = a.sub_id AND b.policy_id = a.policy_id AND b.seq > a.seq)),
+lock_now AS (SELECT sub_id FROM subs LEFT JOIN (SELECT sub, arg_max(kind, seq) AS k FROM ctl WHERE kind LIKE 'SUBSCRIPTION%' GROUP BY sub) ON sub = sub_id WHERE coalesce(k = 'SUBSCRIPTION_LOCKED', sub_id % 17 = 3)
+  UNION SELECT sub FROM (SELECT sub, arg_max(kind, seq) AS k FROM ctl WHERE kind LIKE 'SUBSCRIPTION%' GROUP BY sub) WHERE k = 'SUBSCRIPTION_LOCKED'),
+listed_apps AS (SELECT sub, arg_max(n, seq) AS n FROM ctl WHERE kind = 'APP_BLOCK_LIST_UPDATED' GROUP BY sub),
+app_now AS (SELECT sub_id, 3 AS app_id FROM subs WHERE sub_id % 7 = 2 AND sub_id NOT IN (SELECT sub FROM listed_apps) UNION ALL SELECT sub, n % 9 + d FROM listed_apps, range(2) AS t(d) WHERE n % 5 <> 0),
+asked AS (SELECT TIMESTAMP '2024-01-19 09:30:00' AS t),
+hours AS (SELECT sub_id, string_split(encoded, '|') AS p FROM now_policy WHERE store = 'repeat'),
+shut AS (SELECT sub_id FROM lock_now UNION SELECT sub_id FROM now_policy, asked WHERE expire_epoch > epoch(t) - 32400
+  UNION SELECT sub_id FROM hours, asked WHERE p[1] <> '' AND p[2] <> '' AND p[3] <> '' AND list_contains(string_split(p[1], ','), CAST(isodow(t) AS VARCHAR))
+    AND CASE WHEN p[2] <= p[3] THEN strftime(t, '%H:%M') BETWEEN p[2] AND p[3] ELSE strftime(t, '%H:%M') >= p[2] OR strftime(t, '%H:%M') <= p[3] END)
+"""
+
+
 def _u(*label: str) -> str:
     parts = " || '|' || ".join(x if x.startswith("'") else f"CAST({x} AS VARCHAR)" for x in label)
     return f"(CAST('0x' || substr(md5({parts}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
@@ -281,6 +306,10 @@ pe AS (SELECT seq, sub + d AS sub_id, policy, n, amount, true AS live FROM ctl,
   UNION ALL SELECT seq, sub, policy, n, amount, false FROM ctl WHERE kind IN ('POLICY_DEACTIVATE', 'POLICY_DELETED') AND n % 7 <> 0 UNION ALL SELECT seq, sub, policy, n, amount, true FROM ctl WHERE kind = 'POLICY_SNAPSHOT'),
 pl AS (SELECT *, row_number() OVER (PARTITION BY sub_id, policy ORDER BY seq DESC) AS rn FROM pe LEFT JOIN snap ON snap.sub = pe.sub_id WHERE since IS NULL OR seq >= since)
 SELECT sub_id, policy AS policy_id, CASE WHEN n % 3 = 0 THEN 'time' ELSE 'repeat' END AS store, CASE WHEN n % 3 <> 0 THEN '1,' || CAST(n % 5 + 2 AS VARCHAR) || '|09:00|10:00' END AS encoded, CASE WHEN n % 3 = 0 THEN 1700000000 + amount END AS expire_epoch FROM pl WHERE rn = 1 AND live""",
+    "policy_stored": BASE + CONTROL + POLICY_STATE + "SELECT sub_id, policy_id, kind AS type, encoded, expire_epoch FROM stored",
+    "policy_now": BASE + CONTROL + POLICY_STATE + "SELECT sub_id, policy_id, store, encoded, expire_epoch FROM now_policy",
+    "policy_pass_latest": BASE + CONTROL + POLICY_STATE + """SELECT event_id FROM ev WHERE sub_id NOT IN (SELECT sub_id FROM shut)
+  AND NOT EXISTS (SELECT 1 FROM app_now WHERE app_now.sub_id = ev.sub_id AND app_now.app_id = ev.app_id)""",
     "member_limit_latest": BASE + CONTROL + """, nl AS (SELECT fam AS family_id, sub AS sub_id, arg_max(amount, seq) AS v FROM ctl WHERE kind = 'FAMILY_SUB_LIMIT_CHANGED' GROUP BY ALL)
 SELECT family_id, sub_id, CAST(coalesce(v, member_limit) AS BIGINT) AS member_limit FROM member FULL JOIN nl USING (family_id, sub_id)""",
     "family_created": BASE + CONTROL + ", fc AS (SELECT fam + 100000 AS family_id, arg_max(sub, seq) AS s FROM ctl WHERE kind = 'FAMILY_CREATE' GROUP BY ALL) SELECT family_id, s + d AS sub_id, CAST(15728640 AS BIGINT) AS member_limit, CAST(15728640 AS BIGINT) AS family_limit FROM fc, range(3) AS t(d)",

@@ -9,6 +9,8 @@ from meterlake.functions.quota import DAILY_PLAN_LIMIT, MEMBER_LIMIT
 
 AS_OF = "2024-01-17 23:30:00"
 NEXT_MORNING = "2024-01-18 06:30:00"
+#: A moment of working hours, when policies of days and hours hold.
+FRIDAY = "2024-01-19 09:30:00"
 REPEAT_OFFSET = 10**9
 MOVED = "2024-01-09 00:00:00"
 
@@ -88,9 +90,9 @@ def policies(spark: SparkSession) -> DataFrame:
         (2, "", '{"policyType":"scheduled","data":{"days":["SAT","SUN"],"startTime":"22:00","endTime":"06:00"}}', True, False),
         (3, None, '{"policy_type":"SCHEDULED","days":["Wed","x"],"startTime":"10:00","endTime":"10:00"}', True, False),
         (4, "ONCE", '{"expire_epoch":"1705500000"}', True, False),
-        (5, "once", '{"data":{"endAt":"2024.01.20T10:00"}}', True, False),
-        (6, "ONCE", '{"endAt":"2024-01-20T10:00:30"}', True, False),
-        (7, "ONCE", '{"endAt":"tomorrow"}', True, False),
+        (5, "once", '{"data":{"endTime":"2024.01.20T10:00"}}', True, False),
+        (6, "ONCE", '{"endTime":"2024-01-20T10:00:30"}', True, False),
+        (7, "ONCE", '{"endTime":"tomorrow"}', True, False),
         (8, "ONCE", '{"expire_epoch":"1705500000"}', False, False),
         (9, "SCHEDULED", '{"days_csv":"1,2","start_hhmm":"01:00","end_hhmm":"02:00"}', True, True),
         (10, "ONCE", None, True, False),
