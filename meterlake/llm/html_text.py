@@ -3,8 +3,13 @@
 A page is read once, tag by tag. Block-level tags part it into text blocks; a block has words and the share of them inside links. A tree
 grown from LABELLED, a small table of labelled blocks, tells content from the rest by these and by the words and link shares of the blocks
 before and after: a line of links between paragraphs is text, one among other lines of links is a menu; a short line before a paragraph is a
-heading, one after the last is not. What word counts can't tell apart (a short paragraph and a short advert) rests on three marks from the
-tags around a block: an element that HTML gives another role (nav, aside, footer, form, ...), a container whose name says so, and an article.
+heading, one after the last is not. What word counts can't tell apart (a short paragraph and a short advert) rests on three marks:
+
+* role: an element that HTML gives another role (nav, aside, footer, form, ...), or, outside articles, the wording of a notice on cookies or rights;
+* name: a container whose name says so;
+* place: 0 outside articles, 1 there in an element for running text (p, h1, ...), 2 in an article, 3 in an article between paragraphs of it.
+  A short p is a verse or a last remark unless it stands among links; links between an article's paragraphs are a list of the text, those after
+  the last one a menu.
 
 A name is believed only of a container that holds a part of the page: one around its heading, its main element or the longest of its
 articles is a wrapper, whatever it is called; on a page without any of them, one that holds most of its words.
@@ -51,7 +56,15 @@ SIGNS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup popup modal overlay login search pagination pager toolbar "
     "copyright legal disclaimer contentinfo complementary skip".split()
 )
-HEADS = frozenset(("header", "banner", "head", "topbar", "top"))
+#: Words that say so outside articles only: a paper has a section of this name.
+HEADS = frozenset("header banner head topbar top discussion discussions feedback thread".split())
+#: Elements for running text, headings of parts left out: a menu has one as well.
+RUNNING = frozenset("p blockquote pre dd h1 main article".split())
+NOTICE = re.compile(r"\bcookies?\b.*\b(?:accept|agree|consent|privacy|website|site|browser|browsing)\b|\b(?:accept|agree|consent|privacy|website|site)\b.*\bcookies?\b|^(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.IGNORECASE)
+#: Longer blocks are no notices.
+NOTICE_WORDS = 80
+#: Words of a paragraph that may stand before and after links of an article's text.
+PARAGRAPH = 10
 
 #: A container with more of the page's words than this is a wrapper.
 WRAPPER = 0.8
@@ -61,23 +74,24 @@ WORDS = {"short": (1, 4, 9), "some": (18, 24), "many": (40, 120)}
 SHARES = {"text": (0.0, 0.2, 0.4), "links": (0.6, 0.8, 1.0)}
 BESIDE = {"none": ((0, 0.0),), "short": ((2, 0.0), (5, 0.0), (9, 0.1)), "links": ((2, 1.0), (6, 0.8), (14, 0.9)), "text": ((25, 0.0), (60, 0.1), (120, 0.0))}
 
-#: Labelled blocks: role and name (marks, see above), in an article, words, kind by links, the block before, the one after; content or not.
+#: Labelled blocks: role, name and place (marks, see above), words, kind by links, the block before, the one after; content or not.
 #: A star is any: such a block is labelled the same whatever the others are.
 LABELLED = """
 1 * * * * * * 0
 0 1 * * * * * 0
-0 0 1 * text * * 1
-0 0 1 * links links * 0
-0 0 1 * links * links 0
-0 0 1 * links text text 1
-0 0 1 * links text short 1
-0 0 1 * links short text 1
-0 0 1 * links text none 1
-0 0 1 * links none text 1
-0 0 1 * links short short 0
-0 0 1 * links short none 0
-0 0 1 * links none short 0
-0 0 1 * links none none 0
+0 0 3 * * * * 1
+0 0 2 * text * * 1
+0 0 2 * links links * 0
+0 0 2 * links * links 0
+0 0 2 * links text text 1
+0 0 2 * links text short 1
+0 0 2 * links short text 1
+0 0 2 * links text none 1
+0 0 2 * links none text 1
+0 0 2 * links short short 0
+0 0 2 * links short none 0
+0 0 2 * links none short 0
+0 0 2 * links none none 0
 0 0 0 * links text text 1
 0 0 0 * links links * 0
 0 0 0 * links * links 0
@@ -85,6 +99,13 @@ LABELLED = """
 0 0 0 * links * none 0
 0 0 0 * links short * 0
 0 0 0 * links * short 0
+0 0 1 * links text text 1
+0 0 1 * links links * 0
+0 0 1 * links * links 0
+0 0 1 * links none * 0
+0 0 1 * links * none 0
+0 0 1 * links short * 0
+0 0 1 * links * short 0
 0 0 0 many text * * 1
 0 0 0 some text text * 1
 0 0 0 some text short * 1
@@ -97,23 +118,35 @@ LABELLED = """
 0 0 0 short text * short 0
 0 0 0 short text * links 0
 0 0 0 short text * none 0
+0 0 1 many text * * 1
+0 0 1 some text * * 1
+0 0 1 short text text * 1
+0 0 1 short text short * 1
+0 0 1 short text none text 1
+0 0 1 short text none short 1
+0 0 1 short text none none 1
+0 0 1 short text none links 0
+0 0 1 short text links text 1
+0 0 1 short text links short 1
+0 0 1 short text links none 0
+0 0 1 short text links links 0
 """
 
 
 def labelled() -> np.ndarray:
     """The table in numbers, a row for each combination that a line stands for: features, content."""
     any_of = lambda table, sign: [x for k, xs in table.items() for x in xs if sign in (k, "*")]
-    flags = {"0": (0,), "1": (1,)}
+    flags, places = {"0": (0,), "1": (1,)}, {x: (int(x),) for x in "0123"}
     out = []
     for line in LABELLED.split("\n"):
         if line:
             *marks, words, share, before, after, content = line.split()
-            choices = [any_of(flags, m) for m in marks] + [any_of(WORDS, words), any_of(SHARES, share), any_of(BESIDE, before), any_of(BESIDE, after)]
+            choices = [any_of(t, m) for t, m in zip((flags, flags, places), marks, strict=True)] + [any_of(WORDS, words), any_of(SHARES, share), any_of(BESIDE, before), any_of(BESIDE, after)]
             out += [(*row[:5], *row[5], *row[6], int(content)) for row in product(*choices)]
     return np.array(out, float)
 
 
-def grow(rows: np.ndarray, label: np.ndarray, depth: int = 8):
+def grow(rows: np.ndarray, label: np.ndarray, depth: int = 12):
     """A tree of (feature, threshold, at most, above), with leaves 0 and 1, that splits where Gini impurity falls most."""
     if depth == 0 or label.min() == label.max():
         return int(2 * label.sum() > len(label))
@@ -162,18 +195,27 @@ def _unseen(attributes: str) -> bool:
 
 
 class Block:
-    """A text block: its text, words, words in links, whether an element's role holds it, its article (or None), the named containers around."""
+    """A text block: its text, words, words in links, whether an element's role holds it, its article (or None), the named containers around,
+    and whether it is in an element for running text."""
 
-    __slots__ = ("text", "words", "linked", "role", "article", "named")
+    __slots__ = ("text", "words", "linked", "role", "article", "named", "running")
 
-    def __init__(self, text: str, linked: int, role: bool, article: int | None, named: tuple[int, ...]):
-        self.text, self.words, self.role, self.article, self.named = text, text.count(" ") + 1, role, article, named
+    def __init__(self, text: str, linked: int, role: bool, article: int | None, named: tuple[int, ...], running: bool):
+        self.text, self.words, self.role, self.article, self.named, self.running = text, text.count(" ") + 1, role, article, named, running
         self.linked = min(self.words, linked)
 
+    @property
+    def links(self) -> bool:
+        return 2 * self.linked > self.words
+
+    @property
+    def notice(self) -> bool:
+        return self.article is None and self.words <= NOTICE_WORDS and NOTICE.search(self.text) is not None
+
 
-#: An open element: name, dropped, role, article it is in, named containers around and at it.
-Open = tuple[str, bool, bool, "int | None", tuple[int, ...]]
-OUTSIDE: Open = ("", False, False, None, ())
+#: An open element: name, dropped, role, article it is in, named containers around and at it, running text.
+Open = tuple[str, bool, bool, "int | None", tuple[int, ...], bool]
+OUTSIDE: Open = ("", False, False, None, (), False)
 
 
 def blocks(page: str) -> tuple[list[Block], set[int], dict[int, tuple[int, ...]]]:
@@ -188,7 +230,7 @@ def blocks(page: str) -> tuple[list[Block], set[int], dict[int, tuple[int, ...]]
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, state["linked"], top[2], top[3], top[4]))
+                out.append(Block(text, state["linked"], *top[2:]))
             parts.clear()
         state["linked"] = 0
 
@@ -251,7 +293,7 @@ def blocks(page: str) -> tuple[list[Block], set[int], dict[int, tuple[int, ...]]
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else n
-        stack.append((name, dropped, role, article, named))
+        stack.append((name, dropped, role, article, named, top[5] if name in INLINE else name in RUNNING))
         links += name == "a"
     flush(stack[-1] if stack else OUTSIDE)
     return out, wrappers, {k: v for k, v in around.items() if v is not None}
@@ -273,8 +315,20 @@ def features(page: str) -> tuple[list[str], list[tuple]]:
         wrappers |= set(around[max(article, key=article.get)])
     elif not wrappers:
         wrappers = {c for c, w in container.items() if w > WRAPPER * total}
+    ends: dict[int, tuple[int, int]] = {}  # of each article: its first and last paragraph
+    for i, b in enumerate(found):
+        if b.article is not None and b.words >= PARAGRAPH and not b.links and not b.role and all(c in wrappers for c in b.named):
+            ends[b.article] = (ends.get(b.article, (i,))[0], i)
+
+    def place(i: int, b: Block) -> int:
+        if b.article is None:
+            return int(b.running)
+        first, last = ends.get(b.article, (i, i))
+        return 3 if first < i < last else 2
+
     size = [(0, 0.0), *[(b.words, b.linked / b.words) for b in found], (0, 0.0)]
-    return [b.text for b in found], [(b.role, any(c not in wrappers for c in b.named), b.article is not None, *size[i + 1], *size[i], *size[i + 2]) for i, b in enumerate(found)]
+    of = [(b.role or b.notice, any(c not in wrappers for c in b.named), place(i, b), *size[i + 1], *size[i], *size[i + 2]) for i, b in enumerate(found)]
+    return [b.text for b in found], of
 
 
 def main_text(page: str, tree) -> str:

@@ -511,6 +511,40 @@ def test_a_wrapper_loses_nothing_by_its_name(name):
         assert html_text.main_text(page, html_text.trained()) == ("Head " if "h1" in inner else "") + LONG_TEXT
 
 
+MENU = '<ul><li><a href="a">Home page</a><li><a href="b">All news</a><li><a href="c">Contact</a></ul>'
+
+#: Pages whose blocks are labelled by hand, none of them in the tree's table: the main text, and the page.
+PAGES = [
+    (f"{LONG_TEXT} He agreed.", f"{MENU}<p>{LONG_TEXT}</p><p>He agreed.</p>"),
+    ("Closed today.", "<p>Closed today.</p>"),
+    ("Roses are red Violets are blue so it goes", f"{MENU}<p>Roses are red</p><p>Violets are blue</p><p>so it goes</p>{MENU}"),
+    (f"{LONG_TEXT} One thing Other thing {LONG_TEXT}", f'<article><p>{LONG_TEXT}</p><ul><li><a href="x">One thing</a><li><a href="y">Other thing</a></ul><p>{LONG_TEXT}</p></article>'),
+    (LONG_TEXT, f"<article><p>{LONG_TEXT}</p>{MENU}</article>"),
+    (LONG_TEXT, f'<div><p>{LONG_TEXT}</p></div><div class="discussion"><p>{LONG_TEXT} I liked it.</p></div>'),
+    (LONG_TEXT, f"<div>We use cookies on this website to improve your visit, and by staying here you agree to that use of them.</div><p>{LONG_TEXT}</p><p>© 2024 Acme</p>"),
+    (LONG_TEXT, f"<p>{LONG_TEXT}</p><h3>Related</h3>{MENU}"),
+    (LONG_TEXT, f"<div>Acme</div>{MENU}<p>{LONG_TEXT}</p><div>Call us now</div>"),
+    ("Bread We baked cookies. Then we ate them.", "<article><h1>Bread</h1><p>We baked cookies.</p><p>Then we ate them.</p></article>"),
+    (f"Discussion {LONG_TEXT}", f'<article><section class="discussion"><h2>Discussion</h2><p>{LONG_TEXT}</p></section></article>'),
+    ("", MENU),
+    (f"Last week {LONG_TEXT}", f"{MENU}<div>Last week</div><p>{LONG_TEXT}</p>"),
+    (f"{LONG_TEXT} More about this here {LONG_TEXT}", f'<p>{LONG_TEXT}</p><p><a href="x">More about this here</a></p><p>{LONG_TEXT}</p>'),
+    (LONG_TEXT, f"{MENU}<div>Twenty words of an advert that stands between the lines of two menus and wants you to buy this now</div>{MENU}<div>{LONG_TEXT}</div>"),
+]
+
+
+@pytest.mark.parametrize("text,page", PAGES)
+def test_pages_labelled_by_hand(text, page):
+    assert html_text.main_text(page, html_text.trained()) == text
+
+
+def test_neighbours_decide_without_an_article():
+    """Of blocks outside articles some get another verdict once nothing is known of their neighbours."""
+    tree = html_text.trained()
+    changed = [of for _, page in PAGES if "<article" not in page for of in html_text.features(page)[1] if html_text.judged(tree, of) != html_text.judged(tree, (*of[:5], 0, 0.0, 0, 0.0))]
+    assert len(changed) >= 3
+
+
 def test_line_breaks_are_spaces():
     verses = "Six short<br>lines with<br/>breaks between<br>them make one<br>block of text<br>all the same, said the poet to the page"
     for page in (f"<div>{verses}</div>", f"<article><p>{verses}</p></article>"):
