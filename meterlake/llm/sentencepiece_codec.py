@@ -7,7 +7,11 @@ any piece and come out as their UTF-8 bytes, so decoding gives back every text e
 A text starts with a space mark, as the vocabulary's own encoder has it; an empty text has no pieces. Words are cut nowhere, texts are
 read whole; a word longer than LONG is searched by itself, over the places where pieces match.
 
-Cases: a null text counts as empty; literal space marks are coded by their bytes; one row out for each row in.
+Decoding puts the bytes of pieces in a row: `decode_documents` gives texts of any lists of ids, `encode_documents` has the digest of that.
+
+Cases: a null text counts as empty, as does a null list of ids, and a null among ids as no piece; literal space marks are coded by their
+bytes; ids that the vocabulary lacks and control pieces stand for no bytes, bytes that are no UTF-8 for the replacement character; one row out
+for each row in; an input's columns are kept whatever their names, but for those that are made here.
 """
 
 from __future__ import annotations
@@ -147,12 +151,12 @@ def encode(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]
 
 
 def decode(ids: np.ndarray, at: np.ndarray, vocab: Vocabulary) -> list[bytes]:
-    """UTF-8 texts of runs of piece ids."""
+    """UTF-8 texts of runs of piece ids, without the leading space."""
     data, offsets = vocab.bytes_of()
     size = np.diff(offsets)[ids]
     out = data[ragged(offsets[ids], size)].tobytes()
     cut = np.r_[0, np.cumsum(size)][at].tolist()
-    return [out[lo + 1 : hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]  # without the leading space
+    return [out[lo + out.startswith(b" ", lo, hi) : hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _coded(path: str):
@@ -179,3 +183,24 @@ def encode_documents(docs: DataFrame, path: str = MODEL, text: str = "text") ->
     made = ["piece_ids", "n_pieces", "decoded_sha256", "round_trip"]
     rows = docs.select(whole_row(docs, *made, text).alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(_coded(path), with_row(rows, "piece_ids array<int>, n_pieces bigint, decoded_sha256 string, round_trip boolean")).select("row.*", *made)
+
+
+def _decoded(path: str):
+    def run(batches):
+        vocab = vocabulary(path)
+        for batch in batches:
+            lists = batch.column(1)
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = (ids >= 0) & (ids < len(vocab.pieces))
+            at = np.r_[0, np.cumsum(known)][np.r_[0, np.cumsum(size)]]
+            texts = [b.decode("utf-8", "replace") for b in decode(ids[known], at, vocab)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    return run
+
+
+def decode_documents(coded: DataFrame, path: str = MODEL, pieces: str = "piece_ids") -> DataFrame:
+    """coded without the piece ids, with the text that they stand for; a column of that name is replaced."""
+    rows = coded.select(whole_row(coded, pieces, "text").alias("row"), F.col(pieces).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(_decoded(path), with_row(rows, "text string")).select("row.*", "text")

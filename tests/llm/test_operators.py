@@ -465,6 +465,20 @@ def test_quality_learns_from_positives_and_unlabelled(spark, sample):
     assert {round(x.score, 6) for x in pu_quality.score(docs, none).limit(3).collect()} == {0.5}
 
 
+def test_decoding_gives_texts_back(spark):
+    texts = ["", " two  spaces ", "plain words", "a \u2581 mark", "\u4f60\u597d \U0001f600", "x" * 500, "line\nbreak", None]
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts * 2)], "doc_id bigint, text string, `a.b` string")
+    coded = sentencepiece_codec.encode_documents(df).withColumn("text", F.lit("other"))
+    back = sentencepiece_codec.decode_documents(coded)
+    assert back.columns[:2] == ["doc_id", "a.b"] and "piece_ids" not in back.columns
+    assert [r.text for r in back.orderBy("doc_id").collect()] == [t or "" for t in texts * 2]
+    vocab = pieces.vocabulary()
+    high = next(i for i, b in enumerate(vocab.byte_of) if b == 0xFF)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None, -5, 10**9, 0]), (4, [high])], "k int, piece_ids array<int>")
+    assert [r.text for r in sentencepiece_codec.decode_documents(odd).orderBy("k").collect()] == ["", "", "", "\ufffd"]
+    assert sentencepiece_codec.decode_documents(odd.limit(0)).count() == 0
+
+
 # pages
 
 
