@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +46,26 @@ def _split(total: Column, weights: Column, least: int) -> Column:
         return bound(share, grown)
 
     return F.aggregate(weights, start, step, lambda s: s["out"])
+
+
+def uniforms(labels: list[str], items: list[str]) -> np.ndarray:
+    """`uniform` of each label and item, joined as there, as a table: a row a label, a column an item."""
+    ends = [f"|{item}".encode() for item in items]
+    digests = b"".join([hashlib.md5(begin + end).digest() for begin in map(str.encode, labels) for end in ends])
+    return ((np.frombuffer(digests, ">u8")[::2] >> 12) / float(1 << 52)).reshape(len(labels), len(items))
+
+
+def splits(totals: np.ndarray, weights: np.ndarray, least: int) -> np.ndarray:
+    """`split` of many totals, none negative, by a row of weights each, with its sums and roundings in the same order."""
+    n = weights.shape[1]
+    base = np.where(totals >= n * least, least, 0)
+    left, weight, out = totals - base * n, np.zeros(len(totals)), np.empty(weights.shape, "int64")
+    for i in range(n):
+        weight += weights[:, i]
+    for i in range(n - 1):
+        exact = left * weights[:, i] / weight
+        whole = np.floor(exact)
+        share = np.minimum(left, (whole + (exact - whole >= 0.5)).astype("int64"))
+        out[:, i], left, weight = base + share, left - share, weight - weights[:, i]
+    out[:, n - 1] = base + left
+    return out
