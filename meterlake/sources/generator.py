@@ -121,6 +121,10 @@ def history_apps(days: DataFrame, apps: DataFrame) -> DataFrame:
 
 def history_slots(days: DataFrame) -> DataFrame:
     """(sub_id, day, slot, used): a day's usage over its three-hour slots, low at night and high in the evening."""
-    weights = F.array(*[F.lit(w) * (F.lit(0.85) + uniform("slot", F.col("sub_id"), F.col("day"), f"{3 * i:02d}") * F.lit(0.3)) for i, w in enumerate(SLOT_WEIGHTS)])
-    names = F.array(*[F.lit(f"{h:02d}_used") for h in range(0, 24, 3)])
-    return days.select("sub_id", "day", F.explode(F.arrays_zip(names.alias("slot"), split(F.col("used"), weights, 1).alias("used"))).alias("x")).select("sub_id", "day", "x.slot", "x.used")
+    hours = [f"{h:02d}" for h in range(0, 24, 3)]
+
+    def weigh(labels: list[str], batch: pa.RecordBatch):
+        drawn = uniforms([f"slot|{x}" for x in labels], hours)
+        return pa.array([f"{h}_used" for h in hours]), np.tile(np.arange(len(hours)), (len(labels), 1)), np.array(SLOT_WEIGHTS) * (0.85 + drawn * 0.3)
+
+    return parted(days.select("sub_id", "day", "used"), "slot", "string", weigh)

@@ -92,6 +92,6 @@ def test_history_without_apps_and_of_less_than_a_part_each(spark):
     days = spark.sql("select id as sub_id, date'2024-01-01' as day, '202401' as yyyymm, id as used from range(40)")
     apps = spark.range(1, 31).withColumnRenamed("id", "app_id")
     assert generator.history_apps(days, apps.limit(0)).count() == 0
-    for rows, parts in ((generator.history_apps(days, apps), 29),):
+    for rows, parts in ((generator.history_apps(days, apps), 29), (generator.history_slots(days), 8)):
         got = rows.groupBy("sub_id").agg(F.sum("used").alias("used"), F.count("*").alias("n"), F.min("used").alias("least")).collect()
         assert len(got) == 40 and all(r.used == r.sub_id and r.n == parts and r.least >= (r.sub_id >= parts) for r in got)
