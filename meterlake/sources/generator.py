@@ -56,8 +56,8 @@ def checked_plans(plans: DataFrame) -> DataFrame:
 
 def dealt(plans: DataFrame) -> DataFrame:
     """plans over as many tasks as a shuffle has. They are few bytes, which adaptive execution would leave to one or two tasks, but each
-    becomes thousands of rows."""
-    return plans.repartition(int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sub_id")
+    becomes thousands of rows. In turn, not by key: a shuffle by a key that a join has used before is left out of the plan."""
+    return plans.repartition(int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def history_days(plans: DataFrame, as_of: str, months: int = 5) -> DataFrame:
