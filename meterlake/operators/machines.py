@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,13 +77,19 @@ class Machine:
         return now
 
 
+@lru_cache(maxsize=1024)
+def _parsed(text: str) -> tuple:
+    """A stored list of gifts, parsed once for the events in a row that draw on it."""
+    return tuple(map(tuple, json.loads(text)))
+
+
 class Subscriber(Machine):
     """Gifts in order of their scores, then the plan."""
 
     RESULT = "gift_take bigint, plan_take bigint, rest bigint, plan_limit bigint, plan_used bigint, plan_fired int, gift_detail string"
 
-    def _gifts(self, month: str) -> list:
-        return json.loads(self.limits.get(f"gifts|{month}") or "[]")
+    def _gifts(self, month: str) -> tuple:
+        return _parsed(self.limits.get(f"gifts|{month}") or "[]")
 
     def change(self, kind: str, c) -> None:
         if kind in ("PLAN_CHANGED", STORED_PLAN):
@@ -88,7 +97,7 @@ class Subscriber(Machine):
         elif kind in ("GIFT_RECEIVED", STORED_GIFT):
             gifts = [g for g in self._gifts(c["yyyymm"]) if g[1] != c["name"]]
             score = c["score"] if kind == STORED_GIFT else max((g[0] for g in gifts), default=-1) + 1
-            gifts = sorted([*gifts, [score, c["name"], c["amount"]]])
+            gifts = sorted([*gifts, (score, c["name"], c["amount"])])
             self.limits.put(f"gifts|{c['yyyymm']}", json.dumps(gifts))
         elif kind == STORED_USE and c["name"] is None:
             period, limit = c["yyyymm"], int(self.limits.get("plan") or 0)
@@ -113,7 +122,7 @@ class Subscriber(Machine):
         self._add(f"plan|{month}", take)  # a plan may change from monthly to daily and back
         self._add(f"plan|{day}", take)
         fired = self._fires(f"plan|{month}", limit, used + take) if take > 0 else None
-        return {"gift_take": amount - left, "plan_take": take, "rest": left - take, "plan_limit": limit, "plan_used": used + take, "plan_fired": fired, "gift_detail": json.dumps(gifts)}
+        return {"gift_take": amount - left, "plan_take": take, "rest": left - take, "plan_limit": limit, "plan_used": used + take, "plan_fired": fired, "gift_detail": json.dumps(gifts) if gifts else "[]"}
 
 
 class Family(Machine):
@@ -193,11 +202,27 @@ class Family(Machine):
         return [{"sub_id": s, "member_limit": None if (own := self.limits.get(f"member|{s}")) is None else int(own), "family_limit": limit, "score": scores.get(s)} for s in subs]
 
 
+def values(column: pa.Array) -> list:
+    """A column as `to_pylist` gives it, by way of numpy where that is the same, and without a step for what is null."""
+    known = column.drop_null()
+    kind = column.type
+    plain = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind) or pa.types.is_string(kind) or kind == pa.timestamp("us")
+    some = known.to_numpy(zero_copy_only=False).tolist() if plain else known.to_pylist()
+    if len(some) == len(column):
+        return some
+    out = [None] * len(column)
+    for i, value in zip(np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)).tolist(), some, strict=True):
+        out[i] = value
+    return out
+
+
 def folded(rows: DataFrame, key: str, order: list, step: Callable[[object, dict], Iterator[dict]], start: Callable[[], object], end: Callable[[object, object], Iterator[dict]], schema: str) -> DataFrame:
     """The rows of each key, in order, through step(state, row), which yields rows; end(key, state) yields more when a key is over.
 
-    One exchange by key and a sort; rows run past one state at a time, so memory is that of a state, however many rows a key has."""
-    sorted_rows = rows.repartition(F.col(key)).sortWithinPartitions(F.col(key), *order)
+    One exchange by key and a sort; rows run past one state at a time, so memory is that of a state, however many rows a key has. The
+    exchange keeps all its partitions: by their bytes, adaptive execution would make about one a core, and the longest would be waited for."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartition(tasks, F.col(key)).sortWithinPartitions(F.col(key), *order)
     kinds = sorted_rows.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
@@ -207,7 +232,7 @@ def folded(rows: DataFrame, key: str, order: list, step: Callable[[object, dict]
         begun, now, state = False, None, None
         for batch in batches:
             out: list[dict] = []
-            for row in batch.to_pylist():
+            for row in map(dict, map(zip, repeat(batch.schema.names), zip(*map(values, batch.columns), strict=True))):
                 if not begun or row[key] != now:
                     if begun:
                         out += end(now, state)

@@ -1,10 +1,13 @@
+import datetime
+import decimal
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from meterlake.operators import versioned
-from meterlake.operators.machines import STORED_MEMBER, STORED_POOL, Family, Store, Subscriber, folded
+from meterlake.operators.machines import STORED_MEMBER, STORED_POOL, Family, Store, Subscriber, folded, values
 from meterlake.plans.catalog import Domain
 
 SMALL = "/root/testdata/sf0.001"
@@ -99,3 +102,31 @@ def test_a_key_is_folded_across_batches_after_one_exchange(spark):
         assert sorted(map(tuple, out.collect())) == [(0, 1667, True), (1, 1667, True), (2, 1666, True)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_fold_keeps_its_tasks(spark):
+    """Adaptive execution would leave rows of so few bytes to one task."""
+    rows = spark.range(5000).select((F.col("id") % 500).alias("key"), "id")
+    out = folded(rows, "key", ["id"], lambda s, r: s.append(r["id"]) or (), list, lambda k, s: [{"key": k, "n": len(s)}], "key bigint, n bigint")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 500 and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_columns_become_the_values_that_arrow_gives():
+    moment = datetime.datetime(2024, 1, 1, 2, 3, 4, 567890)
+    columns = [
+        pa.array([1, None, 2**62 + 1]), pa.array([None, None, None], pa.int64()), pa.array([], pa.string()), pa.array(["a", None, "é"]), pa.array([True, None, False]), pa.array([0.1, None, 1e300]),
+        pa.array([moment, None, moment], pa.timestamp("us")), pa.array([moment, None], pa.timestamp("us", "UTC")), pa.array([[1, None], None, []]), pa.array([[{"subId": 1, "priority": None}], None]),
+        pa.array([decimal.Decimal("1.50"), None]), pa.array([moment.date(), None]), pa.array([b"x", None]), pa.array([1, None, 3])[1:],
+    ]
+    for column in columns:
+        got = values(column)
+        assert got == column.to_pylist() and list(map(type, got)) == list(map(type, column.to_pylist())), column.type
+
+
+def test_gifts_are_parsed_anew_when_one_comes():
+    s = Subscriber(Store())
+    for n in range(3):
+        s.change(*change("GIFT_RECEIVED", name=f"g{n}", yyyymm="202401", amount=10))
+        assert s.usage(10, "202401", "20240101")["gift_take"] == 10
+    assert s.limits["gifts|202401"] == '[[0, "g0", 10], [1, "g1", 10], [2, "g2", 10]]'
